@@ -1,5 +1 @@
-"""Registered queries. Importing the modules fills the registry."""
-
-from weftline.plans.registry import QUERIES, Query, query
-
-__all__ = ["QUERIES", "Query", "query"]
+"""Registered queries over the input tables."""
