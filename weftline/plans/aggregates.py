@@ -185,23 +185,30 @@ def agg_moments(spark, folder):
 
 
 _SQL_QUANTILES = """
-SELECT event_type, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50,
-       quantile_cont(value, 0.9) AS p90, quantile_cont(value, 1.0) AS p100
+SELECT event_type, round(quantile_cont(value, 0.25), 6) AS p25,
+       round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90,
+       round(quantile_cont(value, 1.0), 6) AS p100
 FROM events GROUP BY event_type
 """
 _PROBABILITIES = {"p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
 
 
+def _quantiles(spark, folder, **options):
+    # The engines interpolate with different roundings of the last bit.
+    found = quantiles(
+        table(spark, folder, "events"), ["event_type"], "value", _PROBABILITIES, **options
+    )
+    return found.withColumns({p: F.round(p, 6) for p in _PROBABILITIES})
+
+
 @query(_SQL_QUANTILES)
 def agg_quantiles(spark, folder):
-    events = table(spark, folder, "events")
-    return quantiles(events, ["event_type"], "value", _PROBABILITIES)
+    return _quantiles(spark, folder)
 
 
 @query(_SQL_QUANTILES)
 def agg_quantiles_sliced(spark, folder):
-    events = table(spark, folder, "events")
-    return quantiles(events, ["event_type"], "value", _PROBABILITIES, slices=_slices(spark))
+    return _quantiles(spark, folder, slices=_slices(spark))
 
 
 @query("SELECT median(o_totalprice) AS median_price FROM orders")
