@@ -8,42 +8,43 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.functions.columns import same
 from weftline.operators.ordered import ROWS_PER_SLICE, order_rows
+from weftline.scratch import written
 
 
 def summed_sets(
     df: DataFrame,
     columns: Sequence[str],
-    sums: Mapping[str, Column],
+    aggregates: Mapping[str, Column],
     *,
     sets: str | Sequence[Sequence[str]] = "cube",
 ) -> DataFrame:
-    """Sums over a cube, a rollup or a list of grouping sets.
+    """Sums and counts over a cube, a rollup or a list of grouping sets.
 
     Spark repeats every input row once per grouping set. Grouping by all the
-    columns first means that only the finest groups are repeated. ``level`` is
-    Spark's grouping id.
+    columns first means that only the finest groups are repeated, and their
+    aggregates, which must be sums or counts, are added up. ``level`` is Spark's
+    grouping id.
     """
-    finest = df.groupBy(*columns).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    again = [F.sum(n).alias(n) for n in sums]
+    finest = df.groupBy(*columns).agg(*[c.alias(n) for n, c in aggregates.items()])
     if sets == "cube":
         grouped = finest.cube(*columns)
     elif sets == "rollup":
         grouped = finest.rollup(*columns)
     else:
         grouped = finest.groupingSets([[F.col(c) for c in s] for s in sets], *columns)
-    return grouped.agg(F.grouping_id().cast("int").alias("level"), *again)
+    added = [F.sum(n).alias(n) for n in aggregates]
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), *added)
 
 
 def mode(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode") -> DataFrame:
     """The most frequent value; the smallest one among equals."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    most = counts.groupBy(*keys).agg(F.max("_n").alias("_most"))
-    most = most.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "_most")
-    on = same((counts[k], most[f"_m_{k}"]) for k in keys) & (F.col("_n") == F.col("_most"))
+    # The least of (-count, value) is the highest count's smallest value.
+    best = F.min(F.struct((-F.col("_n")).alias("_minus"), F.col(value).alias("_value")))
     return (
-        counts.join(most, on)
-        .groupBy(*keys)
-        .agg(F.min(value).alias(name), F.max("_n").alias("frequency"))
+        counts.groupBy(*keys)
+        .agg(best.alias("_best"))
+        .select(*keys, F.col("_best._value").alias(name), (-F.col("_best._minus")).alias("frequency"))
     )
 
 
@@ -62,10 +63,11 @@ def quantiles(
     the two values around each wanted position are picked out. No task holds a
     group's values, unlike Spark's ``percentile``, which keeps them in a map.
     """
-    counts = (
+    counts = written(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n")),
+        "values",
     )
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     placed = (
@@ -73,8 +75,7 @@ def quantiles(
         .with_running(_through=("sum", "_n"))
         .result()
     )
-    named = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_total")
-    rows = placed.join(named, same((placed[k], named[f"_t_{k}"]) for k in keys))
+    rows = _join_groups(placed, totals, keys)
 
     def value_at(position: Column) -> Column:
         here = (position < F.col("_through")) & (position >= F.col("_through") - F.col("_n"))
@@ -107,7 +108,7 @@ def value_ranks(
     ordered, however often a value repeats; rows then join their value's ranks.
     """
     value = order.removesuffix(" desc")
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "values")
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     placed = (
         order_rows(counts, keys, [order], rows_per_slice=rows_per_slice, slices=slices)
@@ -115,11 +116,11 @@ def value_ranks(
         .with_running(_through=("sum", "_n"))
         .result()
     )
-    named = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_total")
-    placed = placed.join(named, same((placed[k], named[f"_t_{k}"]) for k in keys))
+    placed = _join_groups(placed, totals, keys)
     rank = F.col("_through") - F.col("_n") + 1
     ranks = placed.select(
-        *[F.col(c).alias(f"_r_{c}") for c in (*keys, value)],
+        *keys,
+        value,
         rank.alias("rank"),
         "dense_rank",
         F.when(F.col("_total") == 1, F.lit(0.0))
@@ -127,8 +128,7 @@ def value_ranks(
         .alias("percent_rank"),
         (F.col("_through") / F.col("_total")).alias("cume_dist"),
     )
-    on = same((df[c], ranks[f"_r_{c}"]) for c in (*keys, value))
-    return df.join(ranks, on).drop(*[f"_r_{c}" for c in (*keys, value)])
+    return _join_groups(df, ranks, (*keys, value))
 
 
 def ntile(
@@ -143,13 +143,12 @@ def ntile(
 ) -> DataFrame:
     """Deal the ordered rows of each group into equal tiles, longer ones first."""
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    named = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_total")
     rows = (
         order_rows(df, keys, order, rows_per_slice=rows_per_slice, slices=slices)
         .with_row_number("_rn")
         .result()
     )
-    rows = rows.join(named, same((rows[k], named[f"_t_{k}"]) for k in keys))
+    rows = _join_groups(rows, totals, keys)
     extra = F.col("_total") % tiles
     short = (F.col("_total") - extra) / tiles
     in_long = extra * (short + 1)
@@ -177,6 +176,18 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **aggregates: Column)
     apart and joining back combines before the exchange and lets the join split.
     """
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    named = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], *aggregates)
-    on = same((df[k], named[f"_t_{k}"]) for k in keys)
-    return df.join(named, on).drop(*[f"_t_{k}" for k in keys])
+    return _join_groups(df, totals, keys)
+
+
+def _join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join one row per group onto the rows; null keys match.
+
+    The groups are written first. Spark then plans with their true size: below
+    its broadcast threshold the rows stay where they are, above it both sides
+    are exchanged and a skewed key is split.
+    """
+    known = written(groups, "groups")
+    extra = [c for c in groups.columns if c not in keys]
+    named = known.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *extra)
+    on = same((rows[k], named[f"_g_{k}"]) for k in keys)
+    return rows.join(named, on).drop(*[f"_g_{k}" for k in keys])

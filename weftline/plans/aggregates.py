@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import money, total
+from weftline.functions.columns import cents, exact_sum, total
 from weftline.operators.aggregates import mode, quantiles, summed_sets
 from weftline.plans.registry import query
 from weftline.sources.tables import register_views, table
@@ -28,7 +28,7 @@ def _sets(spark, folder, sets):
     return summed_sets(
         lines,
         ["l_returnflag", "l_linestatus", "ship_year"],
-        {"quantity": money("l_quantity"), "n": F.lit(1)},
+        {"quantity": exact_sum(cents("l_quantity"), 2), "n": F.count(F.lit(1))},
         sets=sets,
     ).withColumn("quantity", F.col("quantity").cast("double"))
 
@@ -78,7 +78,7 @@ def agg_conditional(spark, folder):
         .groupBy("l_returnflag")
         .agg(
             F.count_if(F.col("l_discount") > 0.05).alias("discounted"),
-            total(F.when(F.col("l_tax") == 0, money("l_quantity"))).alias("untaxed_quantity"),
+            total(F.when(F.col("l_tax") == 0, cents("l_quantity")), 2).alias("untaxed_quantity"),
             F.count_distinct(F.when(F.col("l_quantity") == 50, F.col("l_suppkey"))).alias(
                 "bulk_suppliers"
             ),
@@ -161,8 +161,8 @@ SELECT k AS {key}, dxx / (n * (n - 1)) AS var_x, sqrt(dxx / (n * (n - 1))) AS st
 def agg_moments(spark, folder):
     """Variance, covariance, correlation and slope from exact sums, which do not
     change with the order in which tasks finish."""
-    x, y = money("l_quantity"), money("l_extendedprice")
-    sums = {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
+    x, y = cents("l_quantity"), cents("l_extendedprice")
+    sums = {"sx": (x, 2), "sy": (y, 2), "sxx": (x * x, 4), "syy": (y * y, 4), "sxy": (x * y, 4)}
     spread = {
         f"d{a}{b}": F.col("n") * F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}")
         for a, b in ("xx", "yy", "xy")
@@ -171,7 +171,7 @@ def agg_moments(spark, folder):
     return (
         table(spark, folder, "lineitem")
         .groupBy("l_returnflag")
-        .agg(F.count(F.lit(1)).cast("double").alias("n"), *[total(c).alias(k) for k, c in sums.items()])
+        .agg(F.count(F.lit(1)).cast("double").alias("n"), *[total(*c).alias(k) for k, c in sums.items()])
         .withColumns(spread)
         .select(
             "l_returnflag",
@@ -240,7 +240,7 @@ def agg_pivot(spark, folder):
         table(spark, folder, "orders")
         .groupBy(F.year("o_orderdate").alias("order_year"))
         .pivot("o_orderstatus", ["F", "O", "P"])
-        .agg(total(money("o_totalprice")))
+        .agg(total(cents("o_totalprice"), 2))
         .toDF("order_year", "f_price", "o_price", "p_price")
     )
 
@@ -281,12 +281,12 @@ def agg_before_join(spark, folder):
     per_part = (
         table(spark, folder, "lineitem")
         .groupBy("l_partkey")
-        .agg(F.sum(money("l_quantity")).alias("q"))
+        .agg(exact_sum(cents("l_quantity"), 2).alias("q"))
     )
     return (
         per_part.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("p_brand")
-        .agg(total(F.col("q")).alias("quantity"))
+        .agg(F.sum("q").cast("double").alias("quantity"))
     )
 
 

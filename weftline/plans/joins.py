@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import money, total
+from weftline.functions.columns import cents, total
 from weftline.operators.joins import (
     as_of_join,
     count_below,
@@ -242,7 +242,7 @@ def subquery_scalar(spark, folder):
     lines = table(spark, folder, "lineitem")
     price = (
         lines.where(F.col("l_orderkey") == F.col("o_orderkey").outer())
-        .select(total(money("l_extendedprice")))
+        .select(total(cents("l_extendedprice"), 2))
         .scalar()
     )
     return orders.select("o_orderkey", "o_totalprice", price.alias("lines_price"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import mean, money, rate, total
+from weftline.functions.columns import cents, mean, total
 from weftline.plans.registry import query
 from weftline.sources.tables import register_views, table
 
@@ -12,7 +12,7 @@ _NTZ = "timestamp_ntz"
 
 
 def _revenue():
-    return money("l_extendedprice") * (1 - rate("l_discount"))
+    return cents("l_extendedprice") * (100 - cents("l_discount"))
 
 
 # The same exact arithmetic in the SQL statements.
@@ -38,13 +38,13 @@ def pricing_summary(spark, folder):
         .where(F.col("l_shipdate") <= F.lit("2001-08-01").cast(_NTZ))
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            total(money("l_quantity")).alias("sum_qty"),
-            total(money("l_extendedprice")).alias("sum_base_price"),
-            total(_revenue()).alias("sum_disc_price"),
-            total(_revenue() * (1 + rate("l_tax"))).alias("sum_charge"),
-            mean(money("l_quantity")).alias("avg_qty"),
-            mean(money("l_extendedprice")).alias("avg_price"),
-            mean(rate("l_discount")).alias("avg_disc"),
+            total(cents("l_quantity"), 2).alias("sum_qty"),
+            total(cents("l_extendedprice"), 2).alias("sum_base_price"),
+            total(_revenue(), 4).alias("sum_disc_price"),
+            total(_revenue() * (100 + cents("l_tax")), 6).alias("sum_charge"),
+            mean(cents("l_quantity"), 2).alias("avg_qty"),
+            mean(cents("l_extendedprice"), 2).alias("avg_price"),
+            mean(cents("l_discount"), 2).alias("avg_disc"),
             F.count(F.lit(1)).alias("count_order"),
         )
     )
@@ -86,7 +86,7 @@ def shipping_priority(spark, folder):
         orders.join(building, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
         .join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("l_orderkey", "o_orderdate", "o_orderpriority")
-        .agg(total(_revenue()).alias("revenue"))
+        .agg(total(_revenue(), 4).alias("revenue"))
         .orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey")
         .limit(10)
     )
@@ -148,7 +148,7 @@ def local_supplier_volume(spark, folder):
             & (F.col("s_nationkey") == F.col("c_nationkey")),
         )
         .groupBy("n_name")
-        .agg(total(_revenue()).alias("revenue"))
+        .agg(total(_revenue(), 4).alias("revenue"))
     )
 
 
@@ -167,7 +167,7 @@ def forecast_revenue(spark, folder):
             & F.col("l_discount").between(0.05, 0.07)
             & (F.col("l_quantity") < 24)
         )
-        .agg(total(money("l_extendedprice") * rate("l_discount")).alias("revenue"))
+        .agg(total(cents("l_extendedprice") * cents("l_discount"), 4).alias("revenue"))
     )
 
 
@@ -202,7 +202,7 @@ def volume_between_nations(spark, folder):
         .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
         .where("supp_nation <> cust_nation")
         .groupBy("supp_nation", "cust_nation", F.year("l_shipdate").alias("l_year"))
-        .agg(total(_revenue()).alias("revenue"))
+        .agg(total(_revenue(), 4).alias("revenue"))
     )
 
 
@@ -226,7 +226,7 @@ def returned_items(spark, folder):
         .where("l_returnflag = 'R'")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey")
-        .agg(total(_revenue()).alias("revenue"))
+        .agg(total(_revenue(), 4).alias("revenue"))
     )
     return (
         per_customer.join(
@@ -277,7 +277,7 @@ def promotion_effect(spark, folder):
     return lines.join(
         table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")
     ).agg(
-        (F.lit(100.0) * F.coalesce(total(promo), F.lit(0.0)) / total(_revenue())).alias(
+        (F.lit(100.0) * F.coalesce(total(promo, 4), F.lit(0.0)) / total(_revenue(), 4)).alias(
             "promo_revenue"
         )
     )
@@ -297,7 +297,7 @@ def large_volume_customers(spark, folder):
     large = (
         table(spark, folder, "lineitem")
         .groupBy("l_orderkey")
-        .agg(total(money("l_quantity")).alias("sum_qty"))
+        .agg(total(cents("l_quantity"), 2).alias("sum_qty"))
         .where("sum_qty > 250")
     )
     return (
@@ -327,7 +327,7 @@ def discounted_revenue(spark, folder):
     return (
         table(spark, folder, "lineitem")
         .join(table(spark, folder, "part"), (F.col("p_partkey") == F.col("l_partkey")) & wanted)
-        .agg(total(_revenue()).alias("revenue"))
+        .agg(total(_revenue(), 4).alias("revenue"))
     )
 
 
@@ -352,7 +352,7 @@ def small_quantity_revenue(spark, folder):
     return (
         lines.join(means, "l_partkey")
         .where("l_quantity < half_mean")
-        .agg((total(money("l_extendedprice")) / 7.0).alias("avg_yearly"))
+        .agg((total(cents("l_extendedprice"), 2) / 7.0).alias("avg_yearly"))
     )
 
 

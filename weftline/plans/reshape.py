@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import epoch_micros, money, total
+from weftline.functions.columns import cents, epoch_micros, time_bucket, total
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 
@@ -334,7 +334,7 @@ def functions_json_group(spark, folder):
     return (
         table(spark, folder, "events")
         .groupBy("event_type", F.from_json("props", "k BIGINT")["k"].alias("k"))
-        .agg(F.count(F.lit(1)).alias("n"), total(money("value")).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"), total(cents("value"), 2).alias("value"))
     )
 
 

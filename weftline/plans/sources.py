@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import money, total
+from weftline.functions.columns import cents, total
 from weftline.plans.registry import query
 from weftline.scratch import fresh_path
 from weftline.sources.files import read_files, round_trip, write_bucketed, write_files
@@ -55,7 +55,7 @@ def source_partitioned(spark, folder):
         read_files(spark, path, "parquet", orders.schema)
         .where("order_year IN (1997, 1999)")
         .groupBy("o_orderpriority", "order_year")
-        .agg(F.count(F.lit(1)).alias("n"), total(money("o_totalprice")).alias("price"))
+        .agg(F.count(F.lit(1)).alias("n"), total(cents("o_totalprice"), 2).alias("price"))
     )
 
 
@@ -77,7 +77,7 @@ def source_bucketed_join(spark, folder):
         stored_orders.hint("merge")
         .join(stored_lines, F.col("o_orderkey") == F.col("l_orderkey"))
         .groupBy("o_orderkey", "o_orderpriority")
-        .agg(F.count(F.lit(1)).alias("lines"), total(money("l_extendedprice")).alias("price"))
+        .agg(F.count(F.lit(1)).alias("lines"), total(cents("l_extendedprice"), 2).alias("price"))
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import money, time_bucket
+from weftline.functions.columns import cents, exact_sum, time_bucket, total
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 from weftline.streaming.milestones import completions
@@ -36,8 +36,8 @@ def stream_tumbling(spark, folder):
     counted = (
         _events(spark, folder, "10 minutes")
         .groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(money("value")).alias("value"))
-        .select("w.start", "event_type", "n", F.col("value").cast("double"))
+        .agg(F.count(F.lit(1)).alias("n"), total(cents("value"), 2).alias("value"))
+        .select("w.start", "event_type", "n", "value")
     )
     return run_to_table(counted).select(_ntz("start").alias("started"), "event_type", "n", "value")
 
@@ -162,7 +162,7 @@ def stream_partial_totals(spark, folder):
 
     def summarise(batch):
         return batch.groupBy("user_id").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(money("value")).alias("value"), F.max("ts").alias("latest")
+            F.count(F.lit(1)).alias("n"), exact_sum(cents("value"), 2).alias("value"), F.max("ts").alias("latest")
         )
 
     return (

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from weftline.functions.vectorized import WordsOf, capitalized, elementwise_max, luhn_digit
+from weftline.operators.blocks import apply_in_blocks
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 
@@ -47,3 +49,36 @@ FROM part
 def udf_table_function(spark, folder):
     parts = table(spark, folder, "part")
     return parts.lateralJoin(WordsOf(F.col("p_name").outer())).select("p_partkey", "word", "place")
+
+
+@query("""
+WITH numbered AS (
+  SELECT event_type, event_id, ts, value,
+    (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 250 AS block
+  FROM events),
+peaks AS (
+  SELECT *, max(value) OVER (PARTITION BY event_type, block ORDER BY ts, event_id) AS peak
+  FROM numbered)
+SELECT event_type, block::BIGINT AS block, count(*) AS n, max(peak - value) AS deepest_fall
+FROM peaks GROUP BY event_type, block
+""")
+def udf_grouped_blocks(spark, folder):
+    """The deepest fall from a peak within each 250 consecutive events."""
+
+    def fall(rows: pd.DataFrame) -> pd.DataFrame:
+        below = rows["value"].cummax() - rows["value"]
+        first = rows.iloc[0]
+        return pd.DataFrame(
+            {
+                "event_type": [first["event_type"]],
+                "block": [first["block"]],
+                "n": [len(rows)],
+                "deepest_fall": [below.max()],
+            }
+        )
+
+    events = table(spark, folder, "events").select("event_type", "ts", "event_id", "value")
+    return apply_in_blocks(
+        events, ["event_type"], ["ts", "event_id"], 250, fall,
+        "event_type string, block long, n long, deepest_fall double",
+    )

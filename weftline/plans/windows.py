@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import epoch_micros, money, total
+from weftline.functions.columns import cents, epoch_micros, money, total
 from weftline.operators.aggregates import ntile, top_k, value_ranks, with_group_values
 from weftline.operators.ordered import order_rows
 from weftline.operators.timed import sessions, time_frame
@@ -239,7 +239,7 @@ def window_share_of_group(spark, folder):
         with_group_values(
             lines,
             ["l_suppkey"],
-            whole=total(money("l_extendedprice")),
+            whole=total(cents("l_extendedprice"), 2),
             supplier_lines=F.count(F.lit(1)),
         )
         .withColumn("share", F.col("l_extendedprice") / F.col("whole"))
@@ -304,7 +304,7 @@ def _sessions(spark, folder, **options):
             F.min("ts").alias("started"),
             F.max("ts").alias("ended"),
             F.count(F.lit(1)).alias("n"),
-            total(money("value")).alias("value"),
+            total(cents("value"), 2).alias("value"),
         )
     )
 
@@ -347,7 +347,7 @@ def window_tumbling(spark, folder):
     return (
         table(spark, folder, "events")
         .groupBy("event_type", F.window("ts", "1 hour").alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"), total(money("value")).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"), total(cents("value"), 2).alias("value"))
         .select("event_type", F.col("w.start").alias("started"), "n", "value")
     )
 
