@@ -13,7 +13,11 @@ def spark():
     session = build_session(
         "local[*]",
         shuffle_partitions=8,
-        **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "8g",
+            "spark.sql.maxMetadataStringLength": "2000",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -52,9 +52,9 @@ class OrderedRows:
         if not self.sliced:
             return self._with({name: local})
         carried = self._carried(
-            {"_n": F.count(F.lit(1))}, lambda w: {"_n": F.sum("_n").over(w)}
+            {"_carry_rows": F.count(F.lit(1))}, lambda w: {"_carry_rows": F.sum("_carry_rows").over(w)}
         )
-        earlier = F.coalesce(F.col("_n"), F.lit(0))
+        earlier = F.coalesce(F.col("_carry_rows"), F.lit(0))
         return self._with({name: local})._adding(carried, {name: F.col(name) + earlier})
 
     def with_running(self, **outputs: tuple[str, str]) -> OrderedRows:
@@ -72,20 +72,20 @@ class OrderedRows:
             return self._with(local)
 
         summary = {
-            f"_{n}": self._last_in_slice(c) if kind == "last" else _running(kind, F.col(c))
+            f"_carry_{n}": self._last_in_slice(c) if kind == "last" else _running(kind, F.col(c))
             for n, (kind, c) in outputs.items()
         }
         carried = self._carried(
             summary,
             lambda w: {
-                f"_{n}": _running("sum" if kind == "count" else kind, F.col(f"_{n}")).over(w)
+                f"_carry_{n}": _running("sum" if kind == "count" else kind, F.col(f"_carry_{n}")).over(w)
                 for n, (kind, _) in outputs.items()
             },
         )
         step = self._with(local)
         types = dict(zip(step.df.columns, (f.dataType for f in step.df.schema.fields)))
         merged = {
-            n: _merge(kind, F.col(f"_{n}"), F.col(n)).cast(types[n])
+            n: _merge(kind, F.col(f"_carry_{n}"), F.col(n)).cast(types[n])
             for n, (kind, _) in outputs.items()
         }
         return step._adding(carried, merged)
@@ -139,19 +139,19 @@ class OrderedRows:
         Slices are consecutive ranges, so at most one key enters each from the
         slice before: there are fewer than two of these rows per slice.
         """
-        per = self.df.groupBy(*self.keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+        per = self.df.groupBy(*self.keys, SLICE).agg(F.count(F.lit(1)).alias("_slice_rows"))
         whole = Window.partitionBy(*self.keys)
         upto = whole.orderBy(SLICE)
         return (
             per.withColumns(
                 {
-                    "_parts": F.count(F.lit(1)).over(whole),
-                    "_index": F.row_number().over(upto),
-                    "_through": F.sum("_rows").over(upto),
+                    "_slice_parts": F.count(F.lit(1)).over(whole),
+                    "_slice_index": F.row_number().over(upto),
+                    "_slice_through": F.sum("_slice_rows").over(upto),
                 }
             )
-            .where("_parts > 1")
-            .select(*self.keys, SLICE, "_index", "_rows", "_through")
+            .where("_slice_parts > 1")
+            .select(*self.keys, SLICE, "_slice_index", "_slice_rows", "_slice_through")
         )
 
     def _carried(
@@ -170,9 +170,9 @@ class OrderedRows:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         return (
-            per.withColumns({**combine(earlier), "_seen": F.count(F.lit(1)).over(earlier)})
-            .where("_seen > 0")
-            .drop("_seen")
+            per.withColumns({**combine(earlier), "_slice_seen": F.count(F.lit(1)).over(earlier)})
+            .where("_slice_seen > 0")
+            .drop("_slice_seen")
         )
 
     def _adding(self, carried: DataFrame, outputs: Mapping[str, Column]) -> OrderedRows:
@@ -184,10 +184,10 @@ class OrderedRows:
         self, rows: DataFrame, small: DataFrame, extra: Sequence[str], how: str
     ) -> DataFrame:
         on = self._partition()
-        right = small.select(*[F.col(c).alias(f"_on_{c}") for c in on], *extra)
+        right = small.select(*[F.col(c).alias(f"_slice_on_{c}") for c in on], *extra)
         # Broadcast is safe: fewer than two rows per slice, see _spanning.
-        matched = same((rows[c], right[f"_on_{c}"]) for c in on)
-        return rows.join(F.broadcast(right), matched, how).drop(*[f"_on_{c}" for c in on])
+        matched = same((rows[c], right[f"_slice_on_{c}"]) for c in on)
+        return rows.join(F.broadcast(right), matched, how).drop(*[f"_slice_on_{c}" for c in on])
 
     def _borrowed(self, reach: int, from_earlier: bool) -> DataFrame:
         """The rows within ``reach`` of a slice's start (or end), relabelled
@@ -195,33 +195,33 @@ class OrderedRows:
         toward = [_flip(name) for name in self.order] if from_earlier else self.order
         edge = Window.partitionBy(*self.keys, SLICE).orderBy(*_sort(toward))
         columns = self.df.columns
-        near = self.df.withColumn("_reach", F.row_number().over(edge)).where(
-            F.col("_reach") <= reach
+        near = self.df.withColumn("_slice_reach", F.row_number().over(edge)).where(
+            F.col("_slice_reach") <= reach
         )
-        near = self._join_spanning(near, self._spanning, ["_index", "_rows", "_through"], "inner")
+        near = self._join_spanning(near, self._spanning, ["_slice_index", "_slice_rows", "_slice_through"], "inner")
         step = F.sequence(F.lit(1), F.lit(reach))
         sign = 1 if from_earlier else -1
-        near = near.withColumn("_hop", F.explode(step)).withColumn(
-            "_target", F.col("_index") + sign * F.col("_hop")
+        near = near.withColumn("_slice_hop", F.explode(step)).withColumn(
+            "_slice_target", F.col("_slice_index") + sign * F.col("_slice_hop")
         )
         targets = self._spanning.select(
-            *[F.col(k).alias(f"_to_{k}") for k in self.keys],
-            F.col(SLICE).alias("_to_slice"),
-            F.col("_index").alias("_to_index"),
-            (F.col("_through") - F.col("_rows")).alias("_to_start"),
-            F.col("_through").alias("_to_end"),
+            *[F.col(k).alias(f"_slice_to_{k}") for k in self.keys],
+            F.col(SLICE).alias("_slice_to_slice"),
+            F.col("_slice_index").alias("_slice_to_index"),
+            (F.col("_slice_through") - F.col("_slice_rows")).alias("_slice_to_start"),
+            F.col("_slice_through").alias("_slice_to_end"),
         )
-        matched = same((near[k], targets[f"_to_{k}"]) for k in self.keys) & (
-            near["_target"] == targets["_to_index"]
+        matched = same((near[k], targets[f"_slice_to_{k}"]) for k in self.keys) & (
+            near["_slice_target"] == targets["_slice_to_index"]
         )
         if from_earlier:
-            between = F.col("_to_start") - F.col("_through")
+            between = F.col("_slice_to_start") - F.col("_slice_through")
         else:
-            between = F.col("_through") - F.col("_rows") - F.col("_to_end")
+            between = F.col("_slice_through") - F.col("_slice_rows") - F.col("_slice_to_end")
         return (
             near.join(F.broadcast(targets), matched)
-            .where(F.col("_reach") + between <= reach)
-            .withColumn(SLICE, F.col("_to_slice"))
+            .where(F.col("_slice_reach") + between <= reach)
+            .withColumn(SLICE, F.col("_slice_to_slice"))
             .select(*columns, F.lit(True).alias(HALO))
         )
 
