@@ -18,7 +18,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from weftline.functions.columns import same
-from weftline.scratch import written
+from weftline.scratch import written, written_buckets
 
 ROWS_PER_SLICE = 2_000_000
 
@@ -133,26 +133,41 @@ class OrderedRows:
         return F.max_by(F.col(column), place)
 
     @cached_property
-    def _spanning(self) -> DataFrame:
-        """Row counts of the keys that span slices.
+    def _edge_keys(self) -> DataFrame:
+        """The first and last key of each slice: a row per slice."""
+        key = F.struct(*self.keys)
+        edges = self.df.groupBy(SLICE).agg(
+            F.min(key).alias("_slice_low"), F.max(key).alias("_slice_high")
+        )
+        return written(edges, "edges")
+
+    def _at_edges(self) -> DataFrame:
+        """The rows of keys that may enter a slice or go on beyond it. Slices
+        are consecutive ranges, so those are its first and last key."""
+        if not self.keys:
+            return self.df
+        edges = self._edge_keys.withColumnRenamed(SLICE, "_slice_edge")
+        key = F.struct(*self.keys)
+        at_edge = key.eqNullSafe(F.col("_slice_low")) | key.eqNullSafe(F.col("_slice_high"))
+        return self.df.join(
+            F.broadcast(edges), (F.col(SLICE) == F.col("_slice_edge")) & at_edge
+        ).drop("_slice_edge", "_slice_low", "_slice_high")
 
-        Slices are consecutive ranges, so at most one key enters each from the
-        slice before: there are fewer than two of these rows per slice.
-        """
-        per = self.df.groupBy(*self.keys, SLICE).agg(F.count(F.lit(1)).alias("_slice_rows"))
+    @cached_property
+    def _spanning(self) -> DataFrame:
+        """Row counts of the keys that span slices: under two rows per slice."""
+        per = self._at_edges().groupBy(*self.keys, SLICE).agg(F.count(F.lit(1)).alias("_slice_rows"))
         whole = Window.partitionBy(*self.keys)
         upto = whole.orderBy(SLICE)
-        return (
-            per.withColumns(
-                {
-                    "_slice_parts": F.count(F.lit(1)).over(whole),
-                    "_slice_index": F.row_number().over(upto),
-                    "_slice_through": F.sum("_slice_rows").over(upto),
-                }
-            )
-            .where("_slice_parts > 1")
-            .select(*self.keys, SLICE, "_slice_index", "_slice_rows", "_slice_through")
+        counted = per.withColumns(
+            {
+                "_slice_parts": F.count(F.lit(1)).over(whole),
+                "_slice_index": F.row_number().over(upto),
+                "_slice_through": F.sum("_slice_rows").over(upto),
+            }
         )
+        columns = (*self.keys, SLICE, "_slice_index", "_slice_rows", "_slice_through")
+        return written(counted.where("_slice_parts > 1").select(*columns), "spanning")
 
     def _carried(
         self,
@@ -161,7 +176,7 @@ class OrderedRows:
     ) -> DataFrame:
         """What all earlier slices of the same key add up to: one row at most
         for each slice."""
-        per = self.df.groupBy(*self.keys, SLICE).agg(
+        per = self._at_edges().groupBy(*self.keys, SLICE).agg(
             *[column.alias(name) for name, column in summary.items()]
         )
         earlier = (
@@ -195,7 +210,7 @@ class OrderedRows:
         toward = [_flip(name) for name in self.order] if from_earlier else self.order
         edge = Window.partitionBy(*self.keys, SLICE).orderBy(*_sort(toward))
         columns = self.df.columns
-        near = self.df.withColumn("_slice_reach", F.row_number().over(edge)).where(
+        near = self._at_edges().withColumn("_slice_reach", F.row_number().over(edge)).where(
             F.col("_slice_reach") <= reach
         )
         near = self._join_spanning(near, self._spanning, ["_slice_index", "_slice_rows", "_slice_through"], "inner")
@@ -237,8 +252,11 @@ def order_rows(
     """Prepare ``df`` for window calculations by ``keys`` in ``order``.
 
     ``rows_per_slice`` is the largest key a single task takes. Give ``slices``
-    to split without counting. Project ``df`` to the columns in use beforehand:
-    splitting writes them once.
+    to split without counting.
+
+    Splitting reads ``df`` to count, to sample and to write it once, with one
+    exchange; the calculations that follow find their slices in place. Project
+    ``df`` to the columns in use, and write it beforehand if it is costly.
     """
     keys, order = tuple(keys), tuple(order)
     if slices is None:
@@ -249,7 +267,7 @@ def order_rows(
         slices = ceil(rows / rows_per_slice)
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *_sort(order))
     numbered = ranged.withColumn(SLICE, F.spark_partition_id())
-    return OrderedRows(written(numbered, "slices"), keys, order, sliced=True)
+    return OrderedRows(written_buckets(numbered, SLICE, slices, "slices"), keys, order, sliced=True)
 
 
 def _sort(order: Sequence[str]) -> list[Column]:

@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed value: the most buckets Spark allows by default.
+MAX_BUCKETS = 100_000
+
 _local_folders: dict[str, str] = {}
 
 
@@ -38,3 +41,20 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_buckets(df: DataFrame, column: str, buckets: int, label: str = "buckets") -> DataFrame:
+    """``written``, hashed into buckets by a column.
+
+    Work grouped by that column, or by it and others, then needs no exchange.
+    The rows are written from where they are: when each task holds one value of
+    the column, that makes one file per value.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(min(buckets, MAX_BUCKETS), column)
+    writer.option("path", fresh_path(spark, label)).saveAsTable(name)
+    rows = spark.table(name)
+    # The plan keeps the files and their bucketing; the catalog entry can go.
+    spark.sql(f"DROP TABLE {name}")
+    return rows
