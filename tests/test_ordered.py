@@ -31,10 +31,10 @@ def same_rows(a, b):
     assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
 
 
-@pytest.mark.parametrize("slices", [7, 40])
+@pytest.mark.parametrize("split", [{"slices": 7}, {"slices": 40}, {"rows_per_slice": 30}])
 @pytest.mark.parametrize("order", [("t", "id"), ("t desc", "id desc")])
 @pytest.mark.parametrize("keys", [("k",), ()])
-def test_sliced_equals_plain(rows, keys, order, slices):
+def test_sliced_equals_plain(rows, keys, order, split):
     def run(ordered):
         ordered = ordered.with_row_number("rn").with_running(
             s=("sum", "v"), c=("count", "v"), lo=("min", "v"), hi=("max", "v")
@@ -48,7 +48,7 @@ def test_sliced_equals_plain(rows, keys, order, slices):
         ).result()
 
     same_rows(
-        run(order_rows(rows, keys, order, slices=slices)), run(order_rows(rows, keys, order))
+        run(order_rows(rows, keys, order, **split)), run(order_rows(rows, keys, order))
     )
 
 
@@ -71,6 +71,10 @@ def test_large_key_is_sliced(rows):
     assert ordered.sliced
     sizes = ordered.df.groupBy("k", "_slice").count()
     assert sizes.agg(F.max("count")).first()[0] < 150
+    # Only the large keys are set apart; the others keep plain windows.
+    assert ordered.df.select("k").distinct().count() < rows.select("k").distinct().count()
+    assert not ordered.rest.sliced
+    assert ordered.df.count() + ordered.rest.df.count() == rows.count()
 
 
 def test_equal_order_values_stay_in_one_slice(rows):

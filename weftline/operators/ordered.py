@@ -1,18 +1,16 @@
 """Window calculations that survive a partition key holding most of the rows.
 
-A Spark window sends every row of a key to one task. ``order_rows`` checks the
-largest key first. While it is small, the calculations below are plain windows
-with one exchange. Beyond that, rows are range-partitioned on key and order, so
-a large key spans many slices. Each slice is calculated on its own, and what
-earlier slices contribute arrives by joining a table of at most one row per
-slice.
+A Spark window sends every row of a key to one task. ``order_rows`` counts the
+keys first. Small keys get plain windows with one exchange. Rows of large keys
+are set apart and range-partitioned on key and order, so that each large key
+spans many slices. A slice is calculated on its own, and what earlier slices
+contribute arrives by joining a table of about one row per slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import cached_property
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -21,6 +19,9 @@ from weftline.functions.columns import same
 from weftline.scratch import written, written_buckets
 
 ROWS_PER_SLICE = 2_000_000
+# Beyond this number slices grow instead, so that the driver's sample for the
+# range bounds and the broadcast tables of slices stay small.
+MAX_SLICES = 20_000
 
 SLICE = "_slice"
 HALO = "_halo"
@@ -40,22 +41,27 @@ class OrderedRows:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    sliced: bool
+    # The (key, slice) pairs of keys that span slices, or None for plain windows.
+    spanning: DataFrame | None = None
+    # The rows of small keys, when these are only those of large ones.
+    rest: OrderedRows | None = None
+
+    @property
+    def sliced(self) -> bool:
+        return self.spanning is not None
 
     # -- results -----------------------------------------------------------
 
     def result(self) -> DataFrame:
-        return self.df.drop(SLICE) if self.sliced else self.df
+        rows = self.df.drop(SLICE) if self.sliced else self.df
+        return rows.unionByName(self.rest.result()) if self.rest else rows
+
+    def with_columns(self, **outputs: Column) -> OrderedRows:
+        """Add row-wise columns; keys and order stay as they are."""
+        return self._each(lambda part: part._with(outputs))
 
     def with_row_number(self, name: str) -> OrderedRows:
-        local = F.row_number().over(self._window()).cast("bigint")
-        if not self.sliced:
-            return self._with({name: local})
-        carried = self._carried(
-            {"_carry_rows": F.count(F.lit(1))}, lambda w: {"_carry_rows": F.sum("_carry_rows").over(w)}
-        )
-        earlier = F.coalesce(F.col("_carry_rows"), F.lit(0))
-        return self._with({name: local})._adding(carried, {name: F.col(name) + earlier})
+        return self._each(lambda part: part._numbered(name))
 
     def with_running(self, **outputs: tuple[str, str]) -> OrderedRows:
         """Aggregates from the first row of the key to the current row.
@@ -66,6 +72,38 @@ class OrderedRows:
         for kind, _ in outputs.values():
             if kind not in RUNNING:
                 raise ValueError(f"unknown running aggregate {kind!r}")
+        return self._each(lambda part: part._accumulated(outputs))
+
+    def with_frame(
+        self,
+        before: int = 0,
+        after: int = 0,
+        **outputs: Callable[[WindowSpec], Column],
+    ) -> OrderedRows:
+        """Any window expressions that look at most this many rows away.
+
+        Every slice borrows the rows it needs from its neighbours, so ``lag``,
+        ``lead`` and bounded ROWS frames give what one large window would.
+        """
+        return self._each(lambda part: part._framed(before, after, outputs))
+
+    # -- one part ----------------------------------------------------------
+
+    def _each(self, step: Callable[[OrderedRows], OrderedRows]) -> OrderedRows:
+        return replace(step(self), rest=self.rest and step(self.rest))
+
+    def _numbered(self, name: str) -> OrderedRows:
+        local = F.row_number().over(self._window()).cast("bigint")
+        if not self.sliced:
+            return self._with({name: local})
+        carried = self._carried(
+            {"_carry_rows": F.count(F.lit(1))},
+            lambda w: {"_carry_rows": F.sum("_carry_rows").over(w)},
+        )
+        earlier = F.coalesce(F.col("_carry_rows"), F.lit(0))
+        return self._with({name: local})._adding(carried, {name: F.col(name) + earlier})
+
+    def _accumulated(self, outputs: Mapping[str, tuple[str, str]]) -> OrderedRows:
         upto = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = {n: _running(kind, F.col(c)).over(upto) for n, (kind, c) in outputs.items()}
         if not self.sliced:
@@ -78,29 +116,23 @@ class OrderedRows:
         carried = self._carried(
             summary,
             lambda w: {
-                f"_carry_{n}": _running("sum" if kind == "count" else kind, F.col(f"_carry_{n}")).over(w)
+                f"_carry_{n}": _running(
+                    "sum" if kind == "count" else kind, F.col(f"_carry_{n}")
+                ).over(w)
                 for n, (kind, _) in outputs.items()
             },
         )
         step = self._with(local)
-        types = dict(zip(step.df.columns, (f.dataType for f in step.df.schema.fields)))
+        types = {f.name: f.dataType for f in step.df.schema.fields}
         merged = {
             n: _merge(kind, F.col(f"_carry_{n}"), F.col(n)).cast(types[n])
             for n, (kind, _) in outputs.items()
         }
         return step._adding(carried, merged)
 
-    def with_frame(
-        self,
-        before: int = 0,
-        after: int = 0,
-        **outputs: Callable[[WindowSpec], Column],
+    def _framed(
+        self, before: int, after: int, outputs: Mapping[str, Callable[[WindowSpec], Column]]
     ) -> OrderedRows:
-        """Any window expressions that look at most this many rows away.
-
-        Every slice borrows the rows it needs from its neighbours, so ``lag``,
-        ``lead`` and bounded ROWS frames give what one large window would.
-        """
         if not self.sliced:
             return self._with({n: make(self._window()) for n, make in outputs.items()})
         rows = self.df.withColumn(HALO, F.lit(False))
@@ -111,12 +143,6 @@ class OrderedRows:
         framed = rows.withColumns({n: make(self._window()) for n, make in outputs.items()})
         return replace(self, df=framed.where(~F.col(HALO)).drop(HALO))
 
-    def with_columns(self, **outputs: Column) -> OrderedRows:
-        """Add row-wise columns; keys and order stay as they are."""
-        return self._with(outputs)
-
-    # -- parts -------------------------------------------------------------
-
     def _partition(self) -> tuple[str, ...]:
         return (*self.keys, SLICE) if self.sliced else self.keys
 
@@ -132,43 +158,6 @@ class OrderedRows:
         place = F.when(F.col(column).isNotNull(), F.struct(*self.order))
         return F.max_by(F.col(column), place)
 
-    @cached_property
-    def _edge_keys(self) -> DataFrame:
-        """The first and last key of each slice: a row per slice."""
-        key = F.struct(*self.keys)
-        edges = self.df.groupBy(SLICE).agg(
-            F.min(key).alias("_slice_low"), F.max(key).alias("_slice_high")
-        )
-        return written(edges, "edges")
-
-    def _at_edges(self) -> DataFrame:
-        """The rows of keys that may enter a slice or go on beyond it. Slices
-        are consecutive ranges, so those are its first and last key."""
-        if not self.keys:
-            return self.df
-        edges = self._edge_keys.withColumnRenamed(SLICE, "_slice_edge")
-        key = F.struct(*self.keys)
-        at_edge = key.eqNullSafe(F.col("_slice_low")) | key.eqNullSafe(F.col("_slice_high"))
-        return self.df.join(
-            F.broadcast(edges), (F.col(SLICE) == F.col("_slice_edge")) & at_edge
-        ).drop("_slice_edge", "_slice_low", "_slice_high")
-
-    @cached_property
-    def _spanning(self) -> DataFrame:
-        """Row counts of the keys that span slices: under two rows per slice."""
-        per = self._at_edges().groupBy(*self.keys, SLICE).agg(F.count(F.lit(1)).alias("_slice_rows"))
-        whole = Window.partitionBy(*self.keys)
-        upto = whole.orderBy(SLICE)
-        counted = per.withColumns(
-            {
-                "_slice_parts": F.count(F.lit(1)).over(whole),
-                "_slice_index": F.row_number().over(upto),
-                "_slice_through": F.sum("_slice_rows").over(upto),
-            }
-        )
-        columns = (*self.keys, SLICE, "_slice_index", "_slice_rows", "_slice_through")
-        return written(counted.where("_slice_parts > 1").select(*columns), "spanning")
-
     def _carried(
         self,
         summary: Mapping[str, Column],
@@ -176,7 +165,7 @@ class OrderedRows:
     ) -> DataFrame:
         """What all earlier slices of the same key add up to: one row at most
         for each slice."""
-        per = self._at_edges().groupBy(*self.keys, SLICE).agg(
+        per = self.df.groupBy(*self.keys, SLICE).agg(
             *[column.alias(name) for name, column in summary.items()]
         )
         earlier = (
@@ -200,7 +189,7 @@ class OrderedRows:
     ) -> DataFrame:
         on = self._partition()
         right = small.select(*[F.col(c).alias(f"_slice_on_{c}") for c in on], *extra)
-        # Broadcast is safe: fewer than two rows per slice, see _spanning.
+        # Broadcast is safe: about one row per slice, see _spanning_slices.
         matched = same((rows[c], right[f"_slice_on_{c}"]) for c in on)
         return rows.join(F.broadcast(right), matched, how).drop(*[f"_slice_on_{c}" for c in on])
 
@@ -210,16 +199,16 @@ class OrderedRows:
         toward = [_flip(name) for name in self.order] if from_earlier else self.order
         edge = Window.partitionBy(*self.keys, SLICE).orderBy(*_sort(toward))
         columns = self.df.columns
-        near = self._at_edges().withColumn("_slice_reach", F.row_number().over(edge)).where(
+        near = self.df.withColumn("_slice_reach", F.row_number().over(edge)).where(
             F.col("_slice_reach") <= reach
         )
-        near = self._join_spanning(near, self._spanning, ["_slice_index", "_slice_rows", "_slice_through"], "inner")
+        near = self._join_spanning(near, self.spanning, ["_slice_index", "_slice_rows", "_slice_through"], "inner")
         step = F.sequence(F.lit(1), F.lit(reach))
         sign = 1 if from_earlier else -1
         near = near.withColumn("_slice_hop", F.explode(step)).withColumn(
             "_slice_target", F.col("_slice_index") + sign * F.col("_slice_hop")
         )
-        targets = self._spanning.select(
+        targets = self.spanning.select(
             *[F.col(k).alias(f"_slice_to_{k}") for k in self.keys],
             F.col(SLICE).alias("_slice_to_slice"),
             F.col("_slice_index").alias("_slice_to_index"),
@@ -251,23 +240,64 @@ def order_rows(
 ) -> OrderedRows:
     """Prepare ``df`` for window calculations by ``keys`` in ``order``.
 
-    ``rows_per_slice`` is the largest key a single task takes. Give ``slices``
-    to split without counting.
+    Keys of more than ``rows_per_slice`` rows are cut into slices of about that
+    size. Give ``slices`` to cut all keys into so many, without counting.
 
-    Splitting reads ``df`` to count, to sample and to write it once, with one
-    exchange; the calculations that follow find their slices in place. Project
-    ``df`` to the columns in use, and write it beforehand if it is costly.
+    The large keys' rows are read to be sampled and again to be written, with
+    one exchange; calculations then find each slice in place. Project ``df`` to
+    the columns in use, and write it beforehand if it is costly to compute.
     """
     keys, order = tuple(keys), tuple(order)
-    if slices is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
-        if (largest or 0) <= rows_per_slice:
-            return OrderedRows(df, keys, order, sliced=False)
-        slices = ceil(rows / rows_per_slice)
+    if slices is not None:
+        return _sliced(df, keys, order, slices)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if not keys:
+        rows = sizes.first()[0]
+        if rows <= rows_per_slice:
+            return OrderedRows(df, keys, order)
+        return _sliced(df, keys, order, _slice_count(rows, rows_per_slice))
+    # At most one key in every rows_per_slice rows: small enough to broadcast.
+    large = written(sizes.where(F.col("_rows") > rows_per_slice), "large")
+    rows = large.agg(F.sum("_rows")).first()[0]
+    if rows is None:
+        return OrderedRows(df, keys, order)
+    named = large.select(*[F.col(k).alias(f"_large_{k}") for k in keys])
+    is_large = same((df[k], named[f"_large_{k}"]) for k in keys)
+    apart = df.join(F.broadcast(named), is_large, "left_semi")
+    rest = df.join(F.broadcast(named), is_large, "left_anti")
+    split = _sliced(apart, keys, order, _slice_count(rows, rows_per_slice))
+    return replace(split, rest=OrderedRows(rest, keys, order))
+
+
+def _slice_count(rows: int, rows_per_slice: int) -> int:
+    return min(ceil(rows / rows_per_slice), MAX_SLICES)
+
+
+def _sliced(
+    df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], slices: int
+) -> OrderedRows:
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *_sort(order))
     numbered = ranged.withColumn(SLICE, F.spark_partition_id())
-    return OrderedRows(written_buckets(numbered, SLICE, slices, "slices"), keys, order, sliced=True)
+    rows = written_buckets(numbered, SLICE, slices, "slices")
+    return OrderedRows(rows, keys, order, _spanning_slices(rows, keys))
+
+
+def _spanning_slices(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Positions and row counts of the slices of keys that span several. Slices
+    are consecutive ranges and share at most one key with the slice before, so
+    there are fewer than two of these rows per slice."""
+    per = rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_slice_rows"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(SLICE)
+    counted = per.withColumns(
+        {
+            "_slice_parts": F.count(F.lit(1)).over(whole),
+            "_slice_index": F.row_number().over(upto),
+            "_slice_through": F.sum("_slice_rows").over(upto),
+        }
+    )
+    columns = (*keys, SLICE, "_slice_index", "_slice_rows", "_slice_through")
+    return written(counted.where("_slice_parts > 1").select(*columns), "spanning")
 
 
 def _sort(order: Sequence[str]) -> list[Column]:

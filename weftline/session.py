@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     # Merge rows into sessions before the exchange, so that a hot key ships
     # sessions rather than rows.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    # A task that writes to few buckets or folders need not sort rows by them.
+    "spark.sql.maxConcurrentOutputFileWriters": "4",
     # Streaming state off the JVM heap, with each commit writing only changes.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
