@@ -278,7 +278,7 @@ def _sliced(
 ) -> OrderedRows:
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *_sort(order))
     numbered = ranged.withColumn(SLICE, F.spark_partition_id())
-    rows = written_buckets(numbered, SLICE, slices, "slices")
+    rows = written_buckets(numbered, [SLICE], slices, "slices")
     return OrderedRows(rows, keys, order, _spanning_slices(rows, keys))
 
 

@@ -168,11 +168,11 @@ SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER
   dayofweek(o_orderdate)::INTEGER AS weekday, dayofyear(o_orderdate)::INTEGER AS day_of_year,
   weekofyear(o_orderdate)::INTEGER AS week, date_trunc('month', o_orderdate)::TIMESTAMP AS month_start,
   date_trunc('week', o_orderdate)::TIMESTAMP AS week_start,
-  last_day(o_orderdate) AS month_end, o_orderdate + INTERVAL 90 DAY AS due,
-  (o_orderdate::DATE + INTERVAL 2 MONTH)::DATE AS two_months_on,
+  last_day(o_orderdate)::VARCHAR AS month_end, o_orderdate + INTERVAL 90 DAY AS due,
+  (o_orderdate::DATE + INTERVAL 2 MONTH)::DATE::VARCHAR AS two_months_on,
   date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::INTEGER AS days_in,
-  strftime(o_orderdate, '%Y/%m/%d') AS written, strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y')::DATE AS parsed,
-  make_date(year(o_orderdate), 1, 1) AS new_year
+  strftime(o_orderdate, '%Y/%m/%d') AS written, strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y')::DATE::VARCHAR AS parsed,
+  make_date(year(o_orderdate), 1, 1)::VARCHAR AS new_year
 FROM orders
 """)
 def functions_date(spark, folder):
@@ -189,13 +189,13 @@ def functions_date(spark, folder):
         F.weekofyear(when).alias("week"),
         F.date_trunc("month", when).cast("timestamp_ntz").alias("month_start"),
         F.date_trunc("week", when).cast("timestamp_ntz").alias("week_start"),
-        F.last_day(day).alias("month_end"),
+        F.last_day(day).cast("string").alias("month_end"),
         (when + F.expr("INTERVAL 90 DAY")).alias("due"),
-        F.add_months(day, 2).alias("two_months_on"),
+        F.add_months(day, 2).cast("string").alias("two_months_on"),
         F.date_diff(day, F.lit("1995-01-01").cast("date")).alias("days_in"),
         F.date_format(when, "yyyy/MM/dd").alias("written"),
-        F.to_date(F.date_format(when, "dd.MM.yyyy"), "dd.MM.yyyy").alias("parsed"),
-        F.make_date(F.year(when), F.lit(1), F.lit(1)).alias("new_year"),
+        F.to_date(F.date_format(when, "dd.MM.yyyy"), "dd.MM.yyyy").cast("string").alias("parsed"),
+        F.make_date(F.year(when), F.lit(1), F.lit(1)).cast("string").alias("new_year"),
     )
 
 

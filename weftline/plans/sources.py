@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from weftline.functions.columns import cents, total
 from weftline.plans.registry import query
 from weftline.scratch import fresh_path
-from weftline.sources.files import read_files, round_trip, write_bucketed, write_files
+from weftline.sources.files import bucketed, read_files, round_trip, write_files
 from weftline.sources.ltsv import LtsvSource
 from weftline.sources.tables import table
 
@@ -67,12 +65,10 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orde
 def source_bucketed_join(spark, folder):
     """Both tables are bucketed by order, so join and grouping need no exchange."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tag = uuid.uuid4().hex[:12]
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_extendedprice")
-    write_bucketed(orders, f"orders_{tag}", ["o_orderkey"], buckets)
-    write_bucketed(lines, f"lines_{tag}", ["l_orderkey"], buckets)
-    stored_orders, stored_lines = spark.table(f"orders_{tag}"), spark.table(f"lines_{tag}")
+    stored_orders = bucketed(orders, ["o_orderkey"], buckets)
+    stored_lines = bucketed(lines, ["l_orderkey"], buckets)
     return (
         stored_orders.hint("merge")
         .join(stored_lines, F.col("o_orderkey") == F.col("l_orderkey"))

@@ -33,12 +33,13 @@ def udf_scalar_arrow(spark, folder):
 
 
 @query("""
-SELECT label, place, max(x) AS highest FROM (
+SELECT label, place, max(x)::DOUBLE AS highest FROM (
   SELECT label, (generate_subscripts(embedding, 1) - 1)::INTEGER AS place, unnest(embedding) AS x
   FROM embeddings) GROUP BY label, place
 """)
 def udf_aggregate(spark, folder):
-    return elementwise_max(table(spark, folder, "embeddings"), "label", "embedding")
+    found = elementwise_max(table(spark, folder, "embeddings"), "label", "embedding")
+    return found.withColumn("highest", F.col("highest").cast("double"))
 
 
 @query("""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path that nothing has used before, in the application's own part of the
+    shared folder. That part can be removed once the application has ended."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/{app}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -43,16 +46,18 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_buckets(df: DataFrame, column: str, buckets: int, label: str = "buckets") -> DataFrame:
-    """``written``, hashed into buckets by a column.
+def written_buckets(
+    df: DataFrame, columns: Sequence[str], buckets: int, label: str = "buckets"
+) -> DataFrame:
+    """``written``, hashed into buckets by ``columns``.
 
-    Work grouped by that column, or by it and others, then needs no exchange.
-    The rows are written from where they are: when each task holds one value of
-    the column, that makes one file per value.
+    Grouping by them, or by them and others, then needs no exchange, and neither
+    does a join of tables bucketed alike. The rows are written from where they
+    are: partition them by ``columns`` first to get few files.
     """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(min(buckets, MAX_BUCKETS), column)
+    writer = df.write.bucketBy(min(buckets, MAX_BUCKETS), *columns)
     writer.option("path", fresh_path(spark, label)).saveAsTable(name)
     rows = spark.table(name)
     # The plan keeps the files and their bucketing; the catalog entry can go.

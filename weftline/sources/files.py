@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from weftline.scratch import fresh_path
+from weftline.scratch import fresh_path, written_buckets
 
 # Options under which a value read back equals the value written.
 LOSSLESS = {
@@ -51,13 +51,8 @@ def round_trip(df: DataFrame, kind: str) -> DataFrame:
     return read_files(df.sparkSession, path, kind, df.schema)
 
 
-def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
-    """Save a table hashed into buckets by ``keys``. Tables bucketed alike join
-    and group on those keys without an exchange."""
-    (
-        df.repartition(buckets, *keys)
-        .write.bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .option("path", fresh_path(df.sparkSession, name))
-        .saveAsTable(name)
-    )
+def bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write ``df`` hashed into buckets by ``keys``, one file to a bucket, and
+    return the written table. Tables bucketed alike join and group on those keys
+    without an exchange, as often as they are read."""
+    return written_buckets(df.repartition(buckets, *keys), keys, buckets)

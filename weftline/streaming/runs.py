@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from weftline.scratch import fresh_path, written
+from weftline.scratch import fresh_path
 from weftline.sources.tables import table
 
 
@@ -19,8 +19,8 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def replay(df: DataFrame, files: int, order: str) -> DataFrame:
     """``df`` as a stream of several files, one per micro-batch."""
-    parts = written(df.repartitionByRange(files, F.col(order)), "replay")
-    path = parts.inputFiles()[0].rsplit("/", 1)[0]
+    path = fresh_path(df.sparkSession, "replay")
+    df.repartitionByRange(files, F.col(order)).write.parquet(path)
     reader = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
     return reader.parquet(path)
 
