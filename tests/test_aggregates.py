@@ -18,7 +18,7 @@ from weftline.operators.aggregates import (
     with_group_values,
 )
 from weftline.operators.blocks import apply_in_blocks
-from weftline.operators.timed import sessions, time_frame
+from weftline.operators.timed import sessions, time_frame, trailing_sums
 
 
 @pytest.fixture(scope="module")
@@ -137,6 +137,24 @@ def test_time_frame(rows, bucket):
     same_rows(got, rows.withColumns({"n": F.count("id").over(w), "top": F.max("v").over(w)}))
 
 
+@pytest.mark.parametrize("slices", [None, 25])
+@pytest.mark.parametrize("preceding", [0, 600])
+def test_trailing_sums(rows, preceding, slices):
+    # Whole minutes make ties within a key.
+    rows = rows.withColumn("t", F.date_trunc("minute", "t").cast("timestamp_ntz"))
+    rows = rows.withColumn("a", (F.col("v") * 10).cast("decimal(10,1)"))
+    got = trailing_sums(rows, ["k"], "t", preceding, slices=slices, n="id", s="a")
+    seconds = F.timestamp_diff("SECOND", F.expr(START), F.col("t"))
+    w = Window.partitionBy("k").orderBy(seconds).rangeBetween(-preceding, 0)
+    expected = rows.withColumns({"n": F.sum("id").over(w), "s": F.coalesce(F.sum("a").over(w), F.lit(0))})
+    same_rows(got.withColumn("s", F.coalesce("s", F.lit(0))), expected)
+
+
+def test_trailing_sums_refuses_doubles(rows):
+    with pytest.raises(ValueError):
+        trailing_sums(rows, ["k"], "t", 60, s="v")
+
+
 def test_blocks_are_ordered_and_bounded(rows):
     def describe(block):
         ids = block["id"].tolist()

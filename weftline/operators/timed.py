@@ -74,3 +74,53 @@ def time_frame(
         .where("_bucket = _home")
         .drop(micros, "_home", "_bucket")
     )
+
+
+def trailing_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    preceding: float,
+    *,
+    rows_per_slice: int = ROWS_PER_SLICE,
+    slices: int | None = None,
+    **sums: str,
+) -> DataFrame:
+    """Sums over the rows of the last ``preceding`` seconds, ties included.
+
+    Every value is added at its time and taken away once it is out of reach, so
+    a running sum of these changes is the answer. Work does not grow with the
+    rows in a frame, and a key of any density splits into slices. Each output
+    is ``name=column``; columns must be integers or decimals, which lose
+    nothing when taken away again.
+    """
+    kinds = dict(df.dtypes)
+    for column in sums.values():
+        if not kinds[column].startswith(("tinyint", "smallint", "int", "bigint", "decimal")):
+            raise ValueError(f"{column} is {kinds[column]}; sum integers or decimals")
+    reach = int(preceding * 1_000_000) + 1
+    values = {f"_change_{name}": F.col(column) for name, column in sums.items()}
+    at = df.select(*keys, epoch_micros(time).alias("_micros"), *[c.alias(n) for n, c in values.items()])
+    # One row comes in and one goes out; equal times of a key become one change.
+    change = F.explode(
+        F.array(
+            F.struct(F.col("_micros").alias("_at"), *values),
+            F.struct((F.col("_micros") + reach).alias("_at"), *[(-F.col(n)).alias(n) for n in values]),
+        )
+    )
+    changes = (
+        at.select(*keys, change.alias("_c"))
+        .groupBy(*keys, F.col("_c._at").alias("_micros"))
+        .agg(*[F.sum(f"_c.{n}").alias(n) for n in values])
+        .withColumn("_side", F.lit(0))
+    )
+    rows = df.withColumns({"_micros": epoch_micros(time), "_side": F.lit(1)})
+    # At one time the change comes first, so that rows see it whole.
+    ordered = order_rows(
+        rows.unionByName(changes, allowMissingColumns=True),
+        keys,
+        ["_micros", "_side"],
+        rows_per_slice=rows_per_slice,
+        slices=slices,
+    ).with_running(**{name: ("sum", f"_change_{name}") for name in sums})
+    return ordered.result().where("_side = 1").select(*df.columns, *sums)

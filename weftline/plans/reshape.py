@@ -151,10 +151,11 @@ GROUP BY word
 def functions_word_count(spark, folder):
     """Words are counted per document first, so a common word reaches the second
     exchange once per task."""
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+"))
     return (
         table(spark, folder, "documents")
         .select("doc_id", words.alias("word"))
+        .where("word <> ''")
         .groupBy("word", "doc_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("word")

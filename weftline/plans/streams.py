@@ -12,6 +12,7 @@ from weftline.functions.columns import cents, exact_sum, time_bucket, total
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 from weftline.streaming.milestones import completions
+from weftline.streaming.reduce import earliest_per_batch
 from weftline.streaming.runs import replay, run_to_partials, run_to_table, table_stream
 
 
@@ -84,24 +85,34 @@ def stream_sessions(spark, folder):
 @query("SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events")
 def stream_distinct(spark, folder):
     """The hour is the event time, so that old keys leave the state."""
-    hours = (
-        _events(spark, folder)
-        .select("user_id", "event_type", F.date_trunc("hour", "ts").alias("hour"))
+    hours = _events(spark, folder).select(
+        "user_id", "event_type", F.unix_micros(F.date_trunc("hour", "ts")).alias("micros")
+    )
+    copies = hours.withColumn("seen", F.col("micros"))
+    kept = (
+        earliest_per_batch(copies, ["user_id", "event_type", "micros"], "seen")
+        .withColumn("hour", F.timestamp_micros("micros"))
         .withWatermark("hour", "2 hours")
         .dropDuplicates(["user_id", "event_type", "hour"])
     )
-    return run_to_table(hours).select("user_id", "event_type", _ntz("hour").alias("hour"))
+    return run_to_table(kept.select("user_id", "event_type", "hour")).select(
+        "user_id", "event_type", _ntz("hour").alias("hour")
+    )
 
 
 @query("SELECT DISTINCT props AS key FROM events")
 def stream_distinct_within_watermark(spark, folder):
     """With a delay longer than the stream, every later copy counts as one."""
-    keys = (
-        _events(spark, folder, "400 days")
-        .select("ts", F.col("props").alias("key"))
+    keys = _events(spark, folder).select(
+        F.col("props").alias("key"), F.unix_micros("ts").alias("micros")
+    )
+    kept = (
+        earliest_per_batch(keys, ["key"], "micros")
+        .withColumn("ts", F.timestamp_micros("micros"))
+        .withWatermark("ts", "400 days")
         .dropDuplicatesWithinWatermark(["key"])
     )
-    return run_to_table(keys.select("key"))
+    return run_to_table(kept.select("key"))
 
 
 @query("""

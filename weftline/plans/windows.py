@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline.functions.columns import cents, epoch_micros, money, total
 from weftline.operators.aggregates import ntile, top_k, value_ranks, with_group_values
 from weftline.operators.ordered import order_rows
-from weftline.operators.timed import sessions, time_frame
+from weftline.operators.timed import sessions, time_frame, trailing_sums
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 
@@ -187,12 +187,15 @@ def window_moving_rows(spark, folder):
     )
 
 
-@query("""
-SELECT event_id, user_id, count(*) OVER w AS recent_n,
+_TIME_RANGE = """
+SELECT event_id, {key}, count(*) OVER w AS recent_n,
   sum(value::DECIMAL(12,2)) OVER w::DOUBLE AS recent_value
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts
+FROM events WINDOW w AS (PARTITION BY {key} ORDER BY ts
                          RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)
-""")
+"""
+
+
+@query(_TIME_RANGE.format(key="user_id"))
 def window_time_range(spark, folder):
     events = table(spark, folder, "events").select(
         "event_id", "user_id", "ts", money("value").alias("amount")
@@ -208,6 +211,30 @@ def window_time_range(spark, folder):
     )
 
 
+def _trailing(spark, folder, **options):
+    events = table(spark, folder, "events").select(
+        "event_id", "event_type", "ts", cents("value").alias("amount"), F.lit(1).alias("one")
+    )
+    return (
+        trailing_sums(
+            events, ["event_type"], "ts", 6 * 3600, recent_n="one", recent_cents="amount", **options
+        )
+        .withColumn("recent_value", F.col("recent_cents") / 100)
+        .select("event_id", "event_type", "recent_n", "recent_value")
+    )
+
+
+@query(_TIME_RANGE.format(key="event_type"))
+def window_trailing_sums(spark, folder):
+    """A frame of hundreds of rows, without visiting them for every row."""
+    return _trailing(spark, folder)
+
+
+@query(_TIME_RANGE.format(key="event_type"))
+def window_trailing_sums_sliced(spark, folder):
+    return _trailing(spark, folder, slices=_slices(spark))
+
+
 @query("""
 SELECT DISTINCT user_id, first_value(event_id) OVER w AS first_event,
   last_value(event_id) OVER w AS last_event, nth_value(event_id, 3) OVER w AS third_event

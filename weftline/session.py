@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Settings that can be changed on a running session. Executor counts, memory
@@ -34,6 +37,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def share_code() -> None:
+    """Send this package's Python functions to the workers by value, for clusters
+    and processes where workers cannot import it."""
+    cloudpickle.register_pickle_by_value(import_module("weftline"))
+
+
 def build_session(
     master: str | None = None, shuffle_partitions: int | None = None, **conf: str
 ) -> SparkSession:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from weftline.streaming.reduce import earliest_per_batch
+
 
 def completions(
     stream: DataFrame, key: str, value: str, time: str, wanted: Sequence[str]
@@ -25,7 +26,7 @@ def completions(
         F.col(value).alias("value"),
         F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
     )
-    reduced = rows.mapInArrow(_earliest, rows.schema)
+    reduced = earliest_per_batch(rows, ["key", "value"], "micros")
     done = reduced.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Completion(wanted),
         outputStructType=T.StructType(
@@ -38,13 +39,6 @@ def completions(
     return done.select(F.col("key").alias(key), at.alias("completed"))
 
 
-def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        least = pa.Table.from_batches([batch]).group_by(["key", "value"])
-        found = least.aggregate([("micros", "min")]).rename_columns(["key", "value", "micros"])
-        yield from found.to_batches()
-
-
 class _Completion(StatefulProcessor):
     def __init__(self, wanted: tuple[str, ...]):
         self._wanted = wanted
