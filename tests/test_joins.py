@@ -12,6 +12,7 @@ from weftline.operators.joins import (
     null_safe_join,
     range_join,
 )
+from weftline.operators.ordered import order_rows, spread
 
 START = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 
@@ -109,3 +110,19 @@ def test_null_safe_join(sides):
     right = sides[1].select(F.col("k").alias("j"), "rid")
     expected = left.join(right, F.expr("k <=> j"))
     same_rows(null_safe_join(left, right, [("k", "j")]), expected)
+
+
+def test_left_rows_of_one_time_and_key_spread_over_slices(spark):
+    """Half of the left rows ask about the same key at the same time."""
+    left = spark.range(400).selectExpr(
+        "1 AS k", "id", f"{START} + make_interval(0, 0, 0, 0, 0, 0, if(id % 2 = 0, 100, id)) AS t"
+    )
+    right = spark.range(20).selectExpr(
+        "1 AS k", f"{START} + make_interval(0, 0, 0, 0, 0, 0, id * 11) AS t", "id AS rid", "id AS v"
+    )
+    got = as_of_join(left, right, ["k"], "t", ties=["rid"], slices=20)
+    same_rows(got, brute_as_of(left, right))
+    rows = left.withColumn("s", spread(left))
+    ordered = order_rows(rows, ["k"], ["t", "s"], slices=20)
+    sizes = ordered.df.groupBy("_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] < 100

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions.columns import epoch_micros, same, time_bucket
-from weftline.operators.ordered import ROWS_PER_SLICE, order_rows
+from weftline.operators.ordered import ROWS_PER_SLICE, order_rows, spread
 
 
 def as_of_join(
@@ -49,10 +49,12 @@ def as_of_join(
         *[F.col(c).alias(n) for c, n in zip(ties, tie_names)],
         match.alias("_match"),
     )
-    rows = left.withColumn("_side", F.lit(1)).unionByName(sightings, allowMissingColumns=True)
+    looking = left.withColumns({"_side": F.lit(1), "_spread": spread(left)})
+    rows = looking.unionByName(sightings, allowMissingColumns=True)
     # At one time, right rows (side 0) come before the left rows that see them.
+    order = [time, "_side", *tie_names, "_spread"]
     ordered = order_rows(
-        rows, keys, [time, "_side", *tie_names], rows_per_slice=rows_per_slice, slices=slices
+        rows, keys, order, rows_per_slice=rows_per_slice, slices=slices
     ).with_running(_seen=("last", "_match"))
     seen = F.col("_seen")
     if tolerance is not None:
@@ -139,12 +141,14 @@ def count_below(
         .where("_value IS NOT NULL")
         .withColumn("_side", F.lit(1))
     )
-    rows = left.withColumns({"_value": F.col(left_value), "_side": F.lit(0)})
+    rows = left.withColumns(
+        {"_value": F.col(left_value), "_side": F.lit(0), "_spread": spread(left)}
+    )
     # A left row comes before the right rows of its own value: "smaller" only.
     ordered = order_rows(
         rows.unionByName(marks, allowMissingColumns=True),
         keys,
-        ["_value", "_side"],
+        ["_value", "_side", "_spread"],
         rows_per_slice=rows_per_slice,
         slices=slices,
     ).with_running(_below=("sum", "_n"))

@@ -202,7 +202,8 @@ class OrderedRows:
         near = self.df.withColumn("_slice_reach", F.row_number().over(edge)).where(
             F.col("_slice_reach") <= reach
         )
-        near = self._join_spanning(near, self.spanning, ["_slice_index", "_slice_rows", "_slice_through"], "inner")
+        place = ["_slice_index", "_slice_rows", "_slice_through"]
+        near = self._join_spanning(near, self.spanning, place, "inner")
         step = F.sequence(F.lit(1), F.lit(reach))
         sign = 1 if from_earlier else -1
         near = near.withColumn("_slice_hop", F.explode(step)).withColumn(
@@ -269,6 +270,12 @@ def order_rows(
     return replace(split, rest=OrderedRows(rest, keys, order))
 
 
+def spread(df: DataFrame) -> Column:
+    """A last order column for rows whose order among equals does not matter.
+    Rows equal in the other order columns share a slice; this lets them part."""
+    return F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind])
+
+
 def _slice_count(rows: int, rows_per_slice: int) -> int:
     return min(ceil(rows / rows_per_slice), MAX_SLICES)
 

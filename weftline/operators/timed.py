@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from weftline.functions.columns import epoch_micros, time_bucket
-from weftline.operators.ordered import ROWS_PER_SLICE, order_rows
+from weftline.operators.ordered import ROWS_PER_SLICE, order_rows, spread
 
 
 def sessions(
@@ -100,12 +100,15 @@ def trailing_sums(
             raise ValueError(f"{column} is {kinds[column]}; sum integers or decimals")
     reach = int(preceding * 1_000_000) + 1
     values = {f"_change_{name}": F.col(column) for name, column in sums.items()}
-    at = df.select(*keys, epoch_micros(time).alias("_micros"), *[c.alias(n) for n, c in values.items()])
+    named = [c.alias(n) for n, c in values.items()]
+    at = df.select(*keys, epoch_micros(time).alias("_micros"), *named)
     # One row comes in and one goes out; equal times of a key become one change.
     change = F.explode(
         F.array(
             F.struct(F.col("_micros").alias("_at"), *values),
-            F.struct((F.col("_micros") + reach).alias("_at"), *[(-F.col(n)).alias(n) for n in values]),
+            F.struct(
+                (F.col("_micros") + reach).alias("_at"), *[(-F.col(n)).alias(n) for n in values]
+            ),
         )
     )
     changes = (
@@ -114,12 +117,14 @@ def trailing_sums(
         .agg(*[F.sum(f"_c.{n}").alias(n) for n in values])
         .withColumn("_side", F.lit(0))
     )
-    rows = df.withColumns({"_micros": epoch_micros(time), "_side": F.lit(1)})
+    rows = df.withColumns(
+        {"_micros": epoch_micros(time), "_side": F.lit(1), "_spread": spread(df)}
+    )
     # At one time the change comes first, so that rows see it whole.
     ordered = order_rows(
         rows.unionByName(changes, allowMissingColumns=True),
         keys,
-        ["_micros", "_side"],
+        ["_micros", "_side", "_spread"],
         rows_per_slice=rows_per_slice,
         slices=slices,
     ).with_running(**{name: ("sum", f"_change_{name}") for name in sums})
