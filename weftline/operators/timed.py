@@ -54,7 +54,8 @@ def time_frame(
     Rows are grouped by key and time bucket, and each is also lent to the
     buckets its frame reach extends into, so a key's rows spread over its
     buckets with one exchange. Wider buckets lend fewer rows; narrower ones
-    make smaller groups.
+    make smaller groups. Every row visits the rows of its frame: for sums over
+    dense frames use ``trailing_sums``.
     """
     bucket = bucket or preceding
     micros = "_micros"
