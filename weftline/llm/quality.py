@@ -31,44 +31,68 @@ def lines_of(text: Column) -> Column:
     return F.filter(lines, lambda line: F.length(F.btrim(line, F.lit(SPACES))) > 0)
 
 
-def line_key(host: Column, line: Column) -> Column:
-    """Hash of a line within its host. Case, digits, punctuation and spacing do not
-    count; a line of nothing else is compared as it is."""
-    plain = F.btrim(F.regexp_replace(F.lower(line), r"[\p{Punct}\d\s]+", " "))
-    return F.xxhash64(F.coalesce(host, F.lit("")), F.when(F.length(plain) > 0, plain).otherwise(line))
+def plain_lines(text: Column) -> Column:
+    """All lines in the form in which they are compared, one for each line of the text:
+    lower case, no digits or punctuation, runs of spaces cut to their first."""
+    plain = F.regexp_replace(
+        F.lower(F.coalesce(text, F.lit(""))), r"[\p{Punct}\d]+|(?<=[ \t\x0B\f\r])[ \t\x0B\f\r]+", ""
+    )
+    return F.transform(F.split(plain, "\n"), lambda line: F.btrim(line, F.lit(SPACES)))
+
+
+def line_key(host: Column, plain: Column) -> Column:
+    """Hash of a line within its host; a null host is a host of its own."""
+    return F.xxhash64(F.xxhash64(F.coalesce(host, F.lit(""))), plain)
+
+
+# Fixed value: bits of a packed window that hold its position.
+POSITION_BITS = 24
 
 
 def repeated_window_words(words: Column, width: int = 3) -> Column:
     """How many words lie in windows of ``width`` words that a text holds twice or more.
 
-    Windows are sorted by hash within the row, so equal ones are neighbours; only
-    their positions are kept. Nothing is exchanged and the work is n log n.
+    Two steps, both within the row, so nothing is exchanged and the work is n log n.
+    Hashes cut short, packed with their positions into one long, are sorted; windows
+    without an equal neighbour are unique. The few that are left are sorted by their
+    whole hash. Texts whose positions do not fit go to the second step at once.
     """
     starts = F.size(words) - width + 1
-    windows = F.sort_array(
+    whole = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)])
+    mask = (1 << POSITION_BITS) - 1
+    packed = F.sort_array(
         F.transform(
-            F.sequence(F.lit(1), F.greatest(starts, F.lit(1))),
-            lambda i: F.struct(
-                F.xxhash64(*[F.try_element_at(words, (i + k).cast("int")) for k in range(width)]).alias("h"),
-                i.alias("i"),
-            ),
+            F.sequence(F.lit(0), starts - 1),
+            lambda i: F.shiftleft(whole(i), POSITION_BITS).bitwiseOR(i.cast("long")),
         )
     )
 
+    def perhaps_twice(ordered: Column) -> Column:
+        cut = lambda v: F.shiftright(v, POSITION_BITS)
+        near = F.filter(
+            ordered,
+            lambda v, k: (cut(v) == cut(F.get(ordered, k - 1))) | (cut(v) == cut(F.get(ordered, k + 1))),
+        )
+        return F.transform(near, lambda v: v.bitwiseAND(F.lit(mask)).cast("int"))
+
     def covered(ordered: Column) -> Column:
         hash_at = lambda k: F.get(ordered, k)["h"]  # noqa: E731  null beyond the ends
         twice = F.filter(
             F.transform(
                 ordered,
                 lambda window, k: F.when(
-                    (window["h"].eqNullSafe(hash_at(k - 1))) | (window["h"].eqNullSafe(hash_at(k + 1))), window["i"]
+                    window["h"].eqNullSafe(hash_at(k - 1)) | window["h"].eqNullSafe(hash_at(k + 1)), window["i"]
                 ),
             ),
             lambda start: start.isNotNull(),
         )
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda s: F.array(*[s + k for k in range(width)])))))
 
-    found = F.get(F.transform(F.array(windows), covered), F.lit(0))
+    # A one-element array binds a value to a name, so that it is made once a row.
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    left = F.when(starts > mask, F.sequence(F.lit(0), starts - 1)).otherwise(bind(packed, perhaps_twice))
+    sorted_left = lambda i: F.sort_array(F.transform(i, lambda p: F.struct(whole(p).alias("h"), p.alias("i"))))
+    found = bind(left, lambda i: F.when(F.size(i) > 0, bind(sorted_left(i), covered)).otherwise(F.lit(0)))
     return F.when(starts > 1, found).otherwise(F.lit(0))
 
 
@@ -89,10 +113,8 @@ def limited_lines(
     lines = rows.select(
         "doc_id",
         host_key.alias("host_key"),
-        F.explode(
-            F.array_distinct(F.transform(lines_of(F.col("text")), lambda line: line_key(F.col("host"), line)))
-        ).alias("line"),
-    )
+        F.explode(F.array_distinct(F.filter(plain_lines(F.col("text")), lambda line: F.length(line) > 0))).alias("plain"),
+    ).select("doc_id", "host_key", F.xxhash64("host_key", "plain").alias("line"))
     counted = (
         lines.groupBy("line")
         .agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min("host_key").alias("host_key"))
@@ -105,17 +127,20 @@ def limited_lines(
 def removed_lines(documents: DataFrame, limited: DataFrame, *, host: str = "source") -> DataFrame:
     """One row for each line that goes: ``doc_id, line, words``. The document with the
     smallest id keeps the line, so that no content leaves the host altogether."""
-    lines = documents.select(
-        "doc_id",
-        F.explode(
-            F.transform(
-                lines_of(F.col("text")),
-                lambda line: F.struct(
-                    line_key(F.col(host), line).alias("line"), F.size(words_of(line)).alias("words")
-                ),
-            )
-        ).alias("l"),
-    ).select("doc_id", "l.line", "l.words")
+    pairs = F.zip_with(
+        F.split(F.coalesce("text", F.lit("")), "\n"),
+        plain_lines(F.col("text")),
+        lambda line, plain: F.struct(line.alias("text"), plain.alias("plain")),
+    )
+    lines = (
+        documents.select("doc_id", F.col(host).alias("host"), F.explode(pairs).alias("l"))
+        .where(F.length("l.plain") > 0)
+        .select(
+            "doc_id",
+            line_key(F.col("host"), F.col("l.plain")).alias("line"),
+            F.regexp_count("l.text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
+        )
+    )
     return lines.join(limited, "line").where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).drop("first_doc")
 
 
@@ -182,14 +207,14 @@ def keep_good_documents(documents: DataFrame, *, host: str = "source", **limits)
     ).drop("_of")
     kept = written(kept, "kept")
     rows = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]))
-    shorter = F.array_join(
-        F.filter(
-            F.split("text", "\n"),
-            lambda line: (F.length(F.btrim(line, F.lit(SPACES))) == 0)
-            | ~F.array_contains("_cut", line_key(F.col(host), line)),
+    pairs = F.zip_with(
+        F.split("text", "\n"),
+        plain_lines(F.col("text")),
+        lambda line, plain: F.when(
+            (F.length(plain) == 0) | ~F.array_contains("_cut", line_key(F.col(host), plain)), line
         ),
-        "\n",
     )
+    shorter = F.array_join(F.filter(pairs, lambda line: line.isNotNull()), "\n")
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(shorter)
     result = rows.withColumn("text", text)
     if "n_chars" in documents.columns:
@@ -206,14 +231,14 @@ WITH d AS (
   SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d
 ), lines AS (
   SELECT doc_id, host, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
-    CASE WHEN trim(regexp_replace(lower(line), '[[:punct:]\d\s]+', ' ', 'g')) <> ''
-         THEN trim(regexp_replace(lower(line), '[[:punct:]\d\s]+', ' ', 'g')) ELSE line END AS plain
+    trim(regexp_replace(regexp_replace(lower(line), '([ \t\x0B\f\r])[ \t\x0B\f\r]+', '\1', 'g'), '[[:punct:]\d]+', '', 'g'),
+      ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS plain
   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), limits AS (
   SELECT host, greatest(20, ceil(count(*) * 0.002)) AS most FROM d GROUP BY host
 ), limited AS (
   SELECT l.host, plain, min(doc_id) AS first_doc
-  FROM lines l JOIN limits USING (host) GROUP BY l.host, plain, most
+  FROM lines l JOIN limits USING (host) WHERE plain <> '' GROUP BY l.host, plain, most
   HAVING count(DISTINCT doc_id) > most
 ), removed AS (
   SELECT doc_id, sum(words) AS n FROM lines JOIN limited USING (host, plain)
