@@ -2,6 +2,7 @@
 
 from weftline.llm import (  # noqa: F401
     chat,
+    contamination,
     packing,
     quality,
     sharding,
