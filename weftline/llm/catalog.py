@@ -4,6 +4,7 @@ from weftline.llm import (  # noqa: F401
     chat,
     contamination,
     jaccard,
+    kneser_ney,
     packing,
     quality,
     sharding,
