@@ -7,6 +7,7 @@ from weftline.llm import (  # noqa: F401
     kneser_ney,
     packing,
     quality,
+    secrets,
     sharding,
 )
 from weftline.llm.registry import QUERIES

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import textbytes
-from weftline.llm.mapped import Table
+from weftline.llm.mapped import Table, opened
 from weftline.llm.registry import query
 from weftline.scratch import fresh_path, written
 from weftline.sources.tables import table
@@ -190,16 +190,16 @@ def _merge_words(store: Table):
 
 
 def _frequent_words(vocabulary: Table, base: tuple[int, ...], least: float):
-    """Numbers of words with more than ``least`` uses, from the stored shards."""
+    """Numbers and hashes of words with more than ``least`` uses, from the stored shards."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from weftline.llm.mapped import _opened
-
         for batch in batches:
             for shard in batch.column("shard").to_pylist():
-                _, (counts,) = _opened(vocabulary, shard)
-                ids = np.flatnonzero(counts > least) + base[shard]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["id"])
+                keys, (counts,) = opened(vocabulary, shard)
+                at = np.flatnonzero(counts > least)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at + base[shard], pa.int64()), pa.array(keys[at].view(np.int64))], names=["id", "hash"]
+                )
 
     return read
 
@@ -230,7 +230,7 @@ def _count_grams(order: int, vocabulary: Table, base, frequent, bits: int):
     return count
 
 
-def _merge_grams(order: int, counts: Table, frequent, bits: int, top: bool):
+def _merge_grams(order: int, counts: Table, frequent, bits: int):
     """Stores a shard's counts; gives its contexts' totals, its counts of counts and, one
     for each n-gram, the counts of the order below."""
 
@@ -288,6 +288,41 @@ def _exchange(blocks: DataFrame, shards: int) -> DataFrame:
     return blocks.repartition(shards, "shard").sortWithinPartitions("shard")
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """Counted words: their table, the number of the first word of each shard, and how
+    many tokens and types there are."""
+
+    table: Table
+    base: tuple[int, ...]
+    tokens: int
+    types: int
+
+    @property
+    def shards(self) -> int:
+        return 1 << self.table.bits
+
+
+def count_vocabulary(texts: DataFrame, folder: str) -> Vocabulary:
+    """All words and text ends of the column ``text``, counted into a table."""
+    bits = max(4, min(ROUTE_BITS, int(texts.rdd.getNumPartitions()).bit_length() + 1))
+    store = Table(f"{folder}/words", bits, ("int64",))
+    blocks = _exchange(texts.mapInArrow(_count_words(bits), BLOCK), 1 << bits)
+    words = written(blocks.mapInArrow(_merge_words(store), BLOCK), "words")
+    sizes = {r["shard"]: (r["n1"], r["n2"]) for r in words.select("shard", "n1", "n2").collect()}  # a row a shard
+    base = tuple(int(b) for b in np.cumsum([0, *(sizes.get(s, (0, 0))[0] for s in range(1 << bits))])[:-1])
+    return Vocabulary(store, base, sum(n for _, n in sizes.values()), sum(n for n, _ in sizes.values()))
+
+
+def frequent_words(spark: SparkSession, words: Vocabulary, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and hashes of the words that are more than ``share`` of all tokens: fewer
+    than ``1 / share``."""
+    shards = spark.range(0, words.shards, 1, min(words.shards, 64)).select(F.col("id").cast("int").alias("shard"))
+    found = shards.mapInArrow(_frequent_words(words.table, words.base, words.tokens * share), "id long, hash long")
+    rows = sorted((r["id"], r["hash"]) for r in found.collect())
+    return np.array([i for i, _ in rows], np.uint32), np.array([h for _, h in rows], np.int64).view(np.uint64)
+
+
 def train(documents: DataFrame, order: int = 2) -> Model:
     """Learn from the column ``text`` of all rows; null counts as empty.
 
@@ -299,26 +334,17 @@ def train(documents: DataFrame, order: int = 2) -> Model:
     spark = documents.sparkSession
     folder = fresh_path(spark, "model")
     texts = documents.select(F.col("text").cast("string").alias("text"))
-    bits = max(4, min(ROUTE_BITS, int(texts.rdd.getNumPartitions()).bit_length() + 1))
-    shards = 1 << bits
-
-    vocabulary = Table(f"{folder}/words", bits, ("int64",))
-    blocks = _exchange(texts.mapInArrow(_count_words(bits), BLOCK), shards)
-    words = written(blocks.mapInArrow(_merge_words(vocabulary), BLOCK), "words")
-    sizes = {r["shard"]: (r["n1"], r["n2"]) for r in words.select("shard", "n1", "n2").collect()}  # a row a shard
-    types = sum(n for n, _ in sizes.values())
-    tokens = sum(n for _, n in sizes.values())
-    base = tuple(int(b) for b in np.cumsum([0, *(sizes.get(s, (0, 0))[0] for s in range(shards))])[:-1])
-
-    # Fewer than 8 words a shard have more than an eighth of a shard's share of tokens.
-    common = words.select("shard").mapInArrow(_frequent_words(vocabulary, base, tokens / (8 * shards)), "id long")
-    frequent = np.array(sorted({r["id"] for r in common.collect()} | {int(START_ID)}), np.uint32)
+    words = count_vocabulary(texts, folder)
+    vocabulary, base, tokens, types = words.table, words.base, words.tokens, words.types
+    bits, shards = vocabulary.bits, words.shards
+    # Words with more than an eighth of a shard's share of tokens.
+    frequent = np.append(frequent_words(spark, words, 1 / (8 * shards))[0], START_ID)
 
     counted = texts.mapInArrow(_count_grams(order, vocabulary, base, frequent, bits), BLOCK)
     levels: list[Level] = []
     for n in range(order, 0, -1):
         counts = Table(f"{folder}/counts{n}", bits, ("int64",))
-        merged = _exchange(counted, shards).mapInArrow(_merge_grams(n, counts, frequent, bits, n == order), BLOCK)
+        merged = _exchange(counted, shards).mapInArrow(_merge_grams(n, counts, frequent, bits), BLOCK)
         merged = written(merged, f"grams{n}")
         seen = merged.where(F.col("kind") == STATISTICS).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4")]).first()
         discounts = discounts_of(*seen)

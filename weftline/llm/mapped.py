@@ -53,7 +53,7 @@ class Table:
         shards = self.shard(wanted)
         heads = np.flatnonzero(np.diff(shards, prepend=-1))
         for start, end in zip(heads, [*heads[1:], len(wanted)]):
-            known, values = _opened(self, int(shards[start]))
+            known, values = opened(self, int(shards[start]))
             if not len(known):
                 continue
             at = np.searchsorted(known, wanted[start:end])
@@ -69,7 +69,7 @@ class Table:
 _open: dict[tuple[str, int], tuple] = {}
 
 
-def _opened(table: Table, shard: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def opened(table: Table, shard: int) -> tuple[np.ndarray, list[np.ndarray]]:
     key = (table.folder, shard)
     if key not in _open:
         store, path = _at(table.folder)
