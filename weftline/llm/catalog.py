@@ -6,6 +6,7 @@ from weftline.llm import (  # noqa: F401
     jaccard,
     kneser_ney,
     packing,
+    passages,
     quality,
     secrets,
     sharding,
