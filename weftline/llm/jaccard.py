@@ -137,8 +137,10 @@ def prefix_rows(documents: DataFrame, counts, threshold: tuple[int, int]) -> Dat
 
 
 def segments(documents: DataFrame, counts, cuts: np.ndarray, wanted) -> DataFrame:
-    """``doc, fragment, part`` (shingle hashes) of the documents that a sieve lets through."""
-    schema = pa.schema([("doc", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
+    """``doc, parts`` (a list of shingle hashes for each fragment) of the documents that a
+    sieve lets through."""
+    kind = pa.list_(pa.list_(pa.int64()))
+    schema = pa.schema([("doc", pa.int64()), ("parts", kind)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sieve = counts.value, wanted.value
@@ -147,17 +149,20 @@ def segments(documents: DataFrame, counts, cuts: np.ndarray, wanted) -> DataFram
             batch = batch.filter(pa.array(sketches.known(sieve, ids)))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, _, data, offsets in textbytes.pieces(batch.column("text")):
-                docs, fragments, parts = [], [], []
+                docs, parts, ends = [], [], []
                 for doc, values in shingle_sets(data, offsets):
                     place = np.searchsorted(cuts, table[counters(values)])
-                    for fragment in np.unique(place):
-                        docs.append(ids[first + doc])
-                        fragments.append(fragment)
-                        parts.append(values[place == fragment].view(np.int64))
-                yield _records({"doc": docs, "fragment": fragments, "part": parts}, schema)
+                    docs.append(ids[first + doc])
+                    parts.append(values[np.argsort(place, kind="stable")])
+                    ends.append(np.bincount(place, minlength=len(cuts) + 1))
+                if docs:
+                    inner = np.concatenate([[0], np.cumsum(np.concatenate(ends))])
+                    lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+                    outer = pa.array(np.arange(len(docs) + 1) * (len(cuts) + 1), pa.int32())
+                    yield _records({"doc": docs, "parts": pa.ListArray.from_arrays(outer, lists)}, schema)
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.where("doc_id IS NOT NULL").mapInArrow(cut, "doc long, fragment int, part array<long>")
+    return rows.where("doc_id IS NOT NULL").mapInArrow(cut, "doc long, parts array<array<long>>")
 
 
 def _enough(overlap: Column, a: Column, b: Column, threshold: tuple[int, int]) -> Column:
@@ -166,24 +171,19 @@ def _enough(overlap: Column, a: Column, b: Column, threshold: tuple[int, int]) -
 
 
 def verified(pairs: DataFrame, documents: DataFrame, counts, cuts, threshold) -> DataFrame:
-    """The pairs (``a, b, na, nb``) whose overlaps, summed over fragments, are enough."""
+    """The pairs (``a, b, na, nb``) whose overlaps, counted fragment by fragment and summed,
+    are enough."""
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
     sieve = pairs.sparkSession.sparkContext.broadcast(sketches.id_filter(ids))
-    # Rows that repeat an id give equal segments; one is enough.
     parts = segments(documents, counts, cuts, sieve)
-    parts = written(parts.join(ids.distinct(), "doc", "left_semi").dropDuplicates(["doc", "fragment"]), "segments")
-    left = parts.withColumnsRenamed({"doc": "a", "part": "part_a"})
-    right = parts.withColumnsRenamed({"doc": "b", "part": "part_b"})
-    spread = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
-    overlaps = (
-        spread.join(left, ["a", "fragment"])
-        .join(right, ["b", "fragment"])
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("overlap"))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum("overlap").alias("overlap"))
+    both = pairs.join(parts.withColumnsRenamed({"doc": "a", "parts": "of_a"}), "a").join(
+        parts.withColumnsRenamed({"doc": "b", "parts": "of_b"}), "b"
     )
-    return overlaps.where(_enough(F.col("overlap"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
+    partial = F.zip_with("of_a", "of_b", lambda x, y: F.size(F.array_intersect(x, y)))
+    overlap = F.aggregate(partial, F.lit(0), lambda total, part: total + part)
+    # Rows that repeat an id repeat its links.
+    return both.where(_enough(overlap, F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
 
 
 def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -235,23 +235,22 @@ def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3,
     postings = written(
         meeting.join(same, "doc", "left")
         .select("h", F.coalesce("rep", "doc").alias("doc"), "n")
-        .distinct(),
+        .dropDuplicates(["h", "doc"]),
         "postings",
     )
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, component long")
     for k in range(STAR_ROUNDS + 1):
-        apart = (
-            postings.join(labels.withColumnRenamed("id", "doc"), "doc", "left")
-            .withColumn("component", F.coalesce("component", "doc"))
-            .withColumns({"low": F.min("component").over(by_shingle), "high": F.max("component").over(by_shingle)})
-            .where("low < high")
-            .drop("low", "high")
+        apart = postings.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn(
+            "component", F.coalesce("component", "doc")
         )
-        apart = written(apart, "apart")
-        if apart.isEmpty():
-            break
-        pairs = _star_pairs(apart, k) if k < STAR_ROUNDS else _all_pairs(apart, threshold)
+        if k:  # before the first round every document is apart
+            low, high = F.min("component").over(by_shingle), F.max("component").over(by_shingle)
+            apart = apart.withColumns({"low": low, "high": high}).where("low < high").drop("low", "high")
+            apart = written(apart, "apart")
+            if apart.isEmpty():
+                break
+        pairs = _star_pairs(apart, k, threshold) if k < STAR_ROUNDS else _all_pairs(apart, threshold)
         found = written(verified(pairs, documents, shared_counts, cuts, threshold), "found")
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -263,15 +262,17 @@ def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3,
     )
 
 
-def _star_pairs(apart: DataFrame, k: int) -> DataFrame:
+def _star_pairs(apart: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
     """For each document the partner of another component that it meets most often, out of
     the first of every shingle's documents (in an order of round ``k``)."""
     order = F.col("doc") if k == 0 else F.xxhash64("doc", F.lit(k))
+    over, under = threshold
     line = Window.partitionBy("h")
+    size_fits = (under * F.least("n", "first.nb")) >= (over * F.greatest("n", "first.nb"))
     first = F.min(F.struct(order.alias("o"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))).over(line)
     met = (
         apart.withColumn("first", first)
-        .where(F.col("first.cb") != F.col("component"))
+        .where((F.col("first.cb") != F.col("component")) & size_fits)
         .groupBy(F.col("doc").alias("a"), F.col("n").alias("na"), "first.b", "first.nb")
         .agg(F.count("*").alias("times"))
     )

@@ -2,8 +2,8 @@
 
 Words are found and hashed without a Python object for each. A batch is worked
 through in pieces of whole texts of about ``PIECE`` bytes, and within a long text
-in steps of that many bytes, so temporary memory is a small multiple of the longest
-text at most.
+in steps of ``STEP`` bytes, so temporary memory is a small multiple of the longest text
+at most.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 4 << 20
+PIECE = 2 << 20
+STEP = 1 << 20
 
 # Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -82,7 +83,7 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
     table = _LETTERS[LOWER] if lower else _LETTERS
     at = 0
     while at < len(start):
-        to = max(at + 1, int(np.searchsorted(start, start[at] + PIECE, side="right")))
+        to = max(at + 1, int(np.searchsorted(start, start[at] + STEP, side="right")))
         first = start[at]
         lengths = end[at:to] - start[at:to]
         begin = np.cumsum(lengths) - lengths
