@@ -33,9 +33,9 @@ def lines_of(text: Column) -> Column:
 
 def plain_lines(text: Column) -> Column:
     """All lines in the form in which they are compared, one for each line of the text:
-    lower case, no digits or punctuation, runs of spaces cut to their first."""
+    lower case, no punctuation, runs of spaces cut to their first."""
     plain = F.regexp_replace(
-        F.lower(F.coalesce(text, F.lit(""))), r"[\p{Punct}\d]+|(?<=[ \t\x0B\f\r])[ \t\x0B\f\r]+", ""
+        F.lower(F.coalesce(text, F.lit(""))), r"\p{Punct}+|(?<=[ \t\x0B\f\r])[ \t\x0B\f\r]+", ""
     )
     return F.transform(F.split(plain, "\n"), lambda line: F.btrim(line, F.lit(SPACES)))
 
@@ -168,6 +168,7 @@ def judge_documents(
     min_documents: int = 20,
     share: float = 0.002,
     min_left: float = 0.5,
+    limited: DataFrame | None = None,
 ) -> DataFrame:
     """One row a document: the facts, ``n_removed_words`` and ``kept``.
 
@@ -175,9 +176,11 @@ def judge_documents(
     leaves less than ``min_left`` of its words. Null and empty texts have no words and
     fail. Rows that repeat an id are judged each by its own text, with the lines
     removed from either counted for both. A null host is a host of its own. No rows
-    in, no rows out; other columns of the input are not read.
+    in, no rows out; other columns of the input are not read. ``limited`` may hand over
+    the lines above the limit where they are known.
     """
-    limited = limited_lines(documents, host=host, min_documents=min_documents, share=share)
+    if limited is None:
+        limited = limited_lines(documents, host=host, min_documents=min_documents, share=share)
     removed = (
         removed_lines(documents, limited, host=host)
         .groupBy("doc_id")
@@ -195,12 +198,14 @@ def judge_documents(
     )
 
 
-def keep_good_documents(documents: DataFrame, *, host: str = "source", **limits) -> DataFrame:
+def keep_good_documents(
+    documents: DataFrame, *, host: str = "source", min_documents: int = 20, share: float = 0.002, min_left: float = 0.5
+) -> DataFrame:
     """The kept documents, all columns, with the lines above the limit cut from their
-    texts and ``n_chars``, if there is such a column, brought up to date."""
-    verdicts = judge_documents(documents, host=host, **limits)
-    bounds = {k: v for k, v in limits.items() if k != "min_left"}
-    limited = limited_lines(documents, host=host, **bounds)
+    texts and ``n_chars``, if there is such a column, brought up to date. Of rows that
+    repeat an id all are kept if one is."""
+    limited = limited_lines(documents, host=host, min_documents=min_documents, share=share)
+    verdicts = judge_documents(documents, host=host, min_left=min_left, limited=limited)
     cut = removed_lines(documents, limited, host=host).groupBy("doc_id").agg(F.collect_set("line").alias("_cut"))
     kept = verdicts.where("kept").select(F.col("doc_id").alias("_id")).distinct().join(
         cut.withColumnRenamed("doc_id", "_of"), F.col("_id").eqNullSafe(F.col("_of")), "left"
@@ -231,7 +236,7 @@ WITH d AS (
   SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d
 ), lines AS (
   SELECT doc_id, host, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words,
-    trim(regexp_replace(regexp_replace(lower(line), '([ \t\x0B\f\r])[ \t\x0B\f\r]+', '\1', 'g'), '[[:punct:]\d]+', '', 'g'),
+    trim(regexp_replace(regexp_replace(lower(line), '([ \t\x0B\f\r])[ \t\x0B\f\r]+', '\1', 'g'), '[[:punct:]]+', '', 'g'),
       ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS plain
   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), limits AS (

@@ -102,9 +102,8 @@ def windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarr
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(n, np.uint64)
-    factor = np.uint64(1)
+    factors = np.cumprod(np.full(width, _BASE, np.uint64))
     for k in range(width):
-        total += values[k : k + n] * factor
-        factor *= _BASE
+        total += values[k : k + n] * factors[k]
     first = np.flatnonzero(owner[:n] == owner[width - 1 :])
     return mix(total[first]), first
