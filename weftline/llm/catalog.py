@@ -8,6 +8,7 @@ from weftline.llm import (  # noqa: F401
     packing,
     passages,
     quality,
+    repeats,
     secrets,
     sharding,
 )

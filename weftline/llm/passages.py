@@ -39,7 +39,7 @@ def shingle_sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return values, np.searchsorted(text[first], np.arange(len(offsets)))
 
 
-def _sliding(values: np.ndarray, width: int, reduce: np.ufunc, fill: int) -> np.ndarray:
+def sliding(values: np.ndarray, width: int, reduce: np.ufunc, fill: int) -> np.ndarray:
     """The smallest or largest of every ``width`` neighbours, from running extremes of
     blocks seen from both sides."""
     n = len(values)
@@ -62,11 +62,11 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, least: int) -> tuple
     """
     if len(values) < least:
         return (np.zeros(0, np.int64),) * 3
-    low = _sliding(values, least, np.minimum, 2**64 - 1)
+    low = sliding(values, least, np.minimum, 2**64 - 1)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     low[owner[: len(low)] != owner[least - 1 :]] = 0
     edge = np.zeros(least - 1, np.uint64)
-    high = _sliding(np.concatenate([edge, low, edge]), least, np.maximum, 0)
+    high = sliding(np.concatenate([edge, low, edge]), least, np.maximum, 0)
     places = np.flatnonzero((high == values) & (high > 0))
     begin, end = bounds[:-1][owner[places]].tolist(), bounds[1:][owner[places]].tolist()
     out: list[tuple[int, int, int]] = []

@@ -30,8 +30,8 @@ WORD[list(SPACES)] = False
 ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[0x30:0x3A] = ALPHANUMERIC[0x41:0x5B] = ALPHANUMERIC[0x61:0x7B] = ALPHANUMERIC[0x80:] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, and 3 modulo 8
-_LETTERS = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
+BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, and 3 modulo 8
+LETTERS = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = WORD
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each span of bytes. Spans are in order and do not overlap."""
     out = np.empty(len(start), np.uint64)
-    table = _LETTERS[LOWER] if lower else _LETTERS
+    table = LETTERS[LOWER] if lower else LETTERS
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(start, start[at] + STEP, side="right")))
@@ -90,7 +90,7 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
         total = int(lengths.sum())
         within = np.arange(total, dtype=np.int64) - np.repeat(begin, lengths)
         letters = data[np.repeat(start[at:to], lengths) + within]
-        powers = np.cumprod(np.full(int(lengths.max()) + 1, _BASE, np.uint64))
+        powers = np.cumprod(np.full(int(lengths.max()) + 1, BASE, np.uint64))
         out[at:to] = np.add.reduceat(table[letters] * powers[within], begin)
         at = to
     return mix(out)
@@ -102,7 +102,7 @@ def windows(values: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarr
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = np.zeros(n, np.uint64)
-    factors = np.cumprod(np.full(width, _BASE, np.uint64))
+    factors = np.cumprod(np.full(width, BASE, np.uint64))
     for k in range(width):
         total += values[k : k + n] * factors[k]
     first = np.flatnonzero(owner[:n] == owner[width - 1 :])
