@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from test_joins import START
 from test_ordered import same_rows
 from weftline.functions.columns import cents, exact_sum, time_bucket
-from weftline.functions.vectorized import elementwise_max
+from weftline.functions.vectorized import elementwise_max, luhn_digit
 from weftline.operators.aggregates import (
     mode,
     ntile,
@@ -25,7 +25,8 @@ from weftline.operators.timed import sessions, time_frame, trailing_sums
 def rows(spark):
     # Half of all values are equal, and key 0 holds a third of the rows.
     return spark.range(300).selectExpr(
-        "CASE WHEN id % 3 = 0 THEN 0 WHEN id = 5 THEN NULL ELSE id % 7 END AS k",
+        # Key 99 has nulls alone.
+        "CASE WHEN id % 3 = 0 THEN 0 WHEN id = 5 THEN NULL WHEN id % 17 = 3 AND id > 200 THEN 99 ELSE id % 7 END AS k",
         "id",
         "CASE WHEN id % 17 = 3 THEN NULL WHEN id % 2 = 0 THEN 5.5D ELSE id * 37 % 101 * 1.0D END AS v",
         f"{START} + make_interval(0, 0, 0, 0, 0, 0, int(id * 41 % 20000)) AS t",
@@ -37,11 +38,14 @@ def test_quantiles(rows, slices):
     probabilities = {"p0": 0.0, "p33": 0.33, "p50": 0.5, "p100": 1.0}
     got = {r.k: r for r in quantiles(rows, ["k"], "v", probabilities, slices=slices).collect()}
     values = {}
-    for r in rows.where("v IS NOT NULL").collect():
-        values.setdefault(r.k, []).append(r.v)
-    assert set(got) == set(values)
+    for r in rows.collect():
+        values.setdefault(r.k, []).extend([] if r.v is None else [r.v])
+    assert set(got) == set(values) and values[99] == []
     for key, found in values.items():
         for name, p in probabilities.items():
+            if not found:
+                assert got[key][name] is None
+                continue
             assert got[key][name] == pytest.approx(np.quantile(found, p), abs=1e-9)
 
 
@@ -69,7 +73,7 @@ def test_ntile(rows, tiles):
 
 def test_mode(rows):
     w = Window.partitionBy("k").orderBy(F.desc("n"), "v")
-    counts = rows.where("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("k", "v").agg(F.count("v").alias("n"))
     expected = counts.withColumn("p", F.row_number().over(w)).where("p = 1")
     expected = expected.select("k", F.col("v").alias("mode"), F.col("n").alias("frequency"))
     same_rows(mode(rows, ["k"], "v"), expected)
@@ -128,6 +132,7 @@ def test_sessions(rows, slices):
 
 @pytest.mark.parametrize("bucket", [100, 1000, 7777])
 def test_time_frame(rows, bucket):
+    rows = rows.withColumn("t", F.when(F.col("id") % 19 > 0, F.col("t")))
     got = time_frame(
         rows, ["k"], "t", 1000, bucket=bucket,
         n=lambda w: F.count("id").over(w), top=lambda w: F.max("v").over(w),
@@ -143,11 +148,12 @@ def test_trailing_sums(rows, preceding, slices):
     # Whole minutes make ties within a key.
     rows = rows.withColumn("t", F.date_trunc("minute", "t").cast("timestamp_ntz"))
     rows = rows.withColumn("a", (F.col("v") * 10).cast("decimal(10,1)"))
+    rows = rows.withColumn("t", F.when(F.col("id") % 19 > 0, F.col("t")))
     got = trailing_sums(rows, ["k"], "t", preceding, slices=slices, n="id", s="a")
     seconds = F.timestamp_diff("SECOND", F.expr(START), F.col("t"))
     w = Window.partitionBy("k").orderBy(seconds).rangeBetween(-preceding, 0)
-    expected = rows.withColumns({"n": F.sum("id").over(w), "s": F.coalesce(F.sum("a").over(w), F.lit(0))})
-    same_rows(got.withColumn("s", F.coalesce("s", F.lit(0))), expected)
+    expected = rows.withColumns({"n": F.sum("id").over(w), "s": F.sum("a").over(w)})
+    same_rows(got, expected)
 
 
 def test_trailing_sums_refuses_doubles(rows):
@@ -176,6 +182,13 @@ def test_blocks_are_ordered_and_bounded(rows):
 
 
 def test_elementwise_max(spark):
-    data = [(1, [1.0, -2.0]), (1, [0.5, 7.0]), (2, [3.0, 4.0]), (None, [9.0, 9.0]), (2, None)]
+    data = [(1, [1.0, -2.0]), (1, [None, 7.0]), (2, [3.0, None]), (None, [9.0]), (2, None), (2, []), (3, [None])]
     got = elementwise_max(spark.createDataFrame(data, "k int, e array<float>"), "k", "e")
-    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 1.0), (1, 1, 7.0), (2, 0, 3.0), (2, 1, 4.0)]
+    found = {(r.k, r.place): r.highest for r in got.collect()}
+    assert found == {(1, 0): 1.0, (1, 1): 7.0, (2, 0): 3.0, (2, 1): None, (None, 0): 9.0, (3, 0): None}
+
+
+def test_luhn_digit_of_nulls_and_negative_numbers(spark):
+    numbers = spark.createDataFrame([(7992739871,), (None,), (-5,), (0,)], "n long")
+    got = {r.n: r.d for r in numbers.select("n", luhn_digit("n").alias("d")).collect()}
+    assert got == {7992739871: 3, None: None, -5: None, 0: 0}

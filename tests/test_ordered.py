@@ -37,32 +37,32 @@ def same_rows(a, b):
 def test_sliced_equals_plain(rows, keys, order, split):
     def run(ordered):
         ordered = ordered.with_row_number("rn").with_running(
-            s=("sum", "v"), c=("count", "v"), lo=("min", "v"), hi=("max", "v")
+            s=("sum", "v"), c=("count", "v"), lo=("min", "v"), hi=("max", "v"), la=("last", "v")
         )
-        return ordered.with_frame(
-            before=3,
-            after=2,
-            lag2=lambda w: F.lag("id", 2).over(w),
-            lead2=lambda w: F.lead("id", 2).over(w),
-            moving=lambda w: F.sum("id").over(w.rowsBetween(-3, 1)),
-        ).result()
+        ordered = ordered.with_frame(before=3, after=1, moving=F.sum("id"), n=F.count("v"))
+        return ordered.with_shifted(lag2=("id", -2), lead2=("id", 2), far=("id", -45)).result()
 
     same_rows(
         run(order_rows(rows, keys, order, **split)), run(order_rows(rows, keys, order))
     )
 
 
-@pytest.mark.parametrize("slices", [1, 40])
-def test_running_last(rows, slices):
-    w = Window.partitionBy("k").orderBy("t", "id")
-    expected = rows.withColumn("last_v", F.last("v", ignorenulls=True).over(w))
-    got = order_rows(rows, ["k"], ["t", "id"], slices=slices).with_running(last_v=("last", "v"))
+@pytest.mark.parametrize("split", [{}, {"slices": 1}, {"slices": 40}, {"rows_per_slice": 30}])
+@pytest.mark.parametrize("order", [("t", "id"), ("t desc", "id desc")])
+def test_equals_spark_windows(rows, split, order):
+    w = Window.partitionBy("k").orderBy(*[F.desc(c[:-5]) if " " in c else F.asc(c) for c in order])
+    near = w.rowsBetween(-3, 1)
+    expected = rows.withColumns(
+        {"last_v": F.last("v", ignorenulls=True).over(w), "moving": F.sum("id").over(near), "lag": F.lag("id", 3).over(w)}
+    )
+    got = order_rows(rows, ["k"], list(order), **split).with_running(last_v=("last", "v"))
+    got = got.with_frame(before=3, after=1, moving=F.sum("id")).with_shifted(lag=("id", -3))
     same_rows(got.result(), expected)
 
 
-def test_descending_last_is_refused(rows):
+def test_too_many_slices_are_refused(rows):
     with pytest.raises(ValueError):
-        order_rows(rows, ["k"], ["t desc"], slices=4).with_running(x=("last", "v"))
+        order_rows(rows, ["k"], ["t"], rows_per_slice=10, max_slices=5)
 
 
 def test_large_key_is_sliced(rows):

@@ -8,17 +8,13 @@ import __spark_entry__ as spark_entry
 
 QUERIES = spark_entry.queries()
 
-# A median over a whole table joins a single row of totals.
-ONE_ROW_JOINS = {"agg_median", "agg_recursive_calendar"}
-
-
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize(
     "name",
-    [n for n in sorted(QUERIES) if not n.startswith(("stream_", "source_")) and n not in ONE_ROW_JOINS],
+    [n for n in sorted(QUERIES) if not re.match("stream_|source_|op\\d|pipeline", n)],
 )
 def test_no_pairwise_join(spark, small, name):
     text = plan(QUERIES[name](spark, small))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from weftline import scratch
 from weftline.streaming.milestones import completions
-from weftline.streaming.runs import replay, run_to_partials, run_to_table
+import __spark_entry__ as spark_entry
+from weftline.sources.tables import table
+from weftline.streaming.runs import Closing, replay, run_to_partials, run_to_table
 
 SCHEMA = "user_id long, kind string, ts timestamp"
 
@@ -144,3 +146,25 @@ def test_unfinished_windows_are_not_emitted(spark):
 def test_completions_without_all_values_stay_silent(spark, kind):
     stream = stream_of(spark, [[(1, kind, at("10:00"))]])
     assert run_to_table(completions(stream, "user_id", "kind", "ts", ["a", "b"])).isEmpty()
+
+
+def test_closing_gives_out_the_last_windows(spark):
+    stream = stream_of(spark, [[(1, "a", at("10:05"))], [(1, "a", at("10:10")), (2, "b", at("11:00"))]])
+    closing = Closing(stream, "ts")
+    counted = (
+        closing.stream.withWatermark("ts", "10 minutes")
+        .groupBy(F.window("ts", "1 hour").alias("w"))
+        .agg(F.count("*").alias("n"))
+        .select(F.hour("w.start").alias("h"), "n")
+    )
+    assert sorted(map(tuple, run_to_table(counted, closing).collect())) == [(10, 2), (11, 1)]
+
+
+@pytest.mark.parametrize("name", sorted(n for n in spark_entry.queries() if n.startswith("stream_")))
+def test_a_folder_of_part_files_gives_the_rows_of_one_file(spark, small, name):
+    folder = scratch.fresh_path(spark, "parts")
+    for t in ("events", "customer", "nation"):
+        table(spark, small, t).repartition(3).write.parquet(f"{folder}/{t}.parquet")
+    run = spark_entry.queries()[name]
+    of_file = sorted(map(tuple, run(spark, small).collect()))
+    assert of_file and sorted(map(tuple, run(spark, folder).collect())) == of_file

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 @F.pandas_udf(T.IntegerType())
 def luhn_digit(numbers: pd.Series) -> pd.Series:
-    """The Luhn check digit of each non-negative number."""
-    rest = numbers.to_numpy(dtype=np.int64, copy=True)
+    """The Luhn check digit of each number; null for null and for negative ones."""
+    valid = numbers.notna() & (numbers.fillna(0) >= 0)
+    rest = numbers.where(valid, 0).to_numpy(dtype=np.int64, copy=True)
     total = np.zeros_like(rest)
     doubled = True
     while (rest > 0).any():
@@ -25,7 +26,7 @@ def luhn_digit(numbers: pd.Series) -> pd.Series:
         total += digit
         rest //= 10
         doubled = not doubled
-    return pd.Series((-total % 10).astype(np.int32))
+    return pd.Series(-total % 10, dtype="Int32").where(valid.reset_index(drop=True))
 
 
 @F.arrow_udf(T.StringType())
@@ -47,7 +48,8 @@ class WordsOf:
 
 
 def elementwise_max(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """The largest value at each place of the vectors of a key.
+    """The largest value at each place of the vectors of a key; nulls do not count, and a
+    null key is a key.
 
     A grouped Python aggregate would load a whole group into one task. Here
     every Arrow batch is reduced to one partial vector per key, and a built-in
@@ -56,20 +58,25 @@ def elementwise_max(df: DataFrame, key: str, vector: str) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = np.array(batch.column(1).to_pylist(), dtype=np.float32)
-            found, groups = np.unique(keys, return_inverse=True)
-            best = np.full((len(found), vectors.shape[1]), -np.inf, dtype=np.float32)
-            np.maximum.at(best, groups, vectors)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found, batch.column(0).type), pa.array(list(best), pa.list_(pa.float32()))],
-                names=[key, vector],
+            lists = batch.column(1)
+            rows = pc.list_parent_indices(lists)
+            values = pc.list_flatten(lists)
+            at = rows.to_numpy().astype(np.int64)
+            heads = np.searchsorted(at, at, side="left")
+            flat = pa.table(
+                {
+                    key: batch.column(0).take(rows),
+                    "place": pa.array(np.arange(len(at)) - heads, pa.int32()),
+                    "x": values,
+                }
             )
+            best = flat.group_by([key, "place"]).aggregate([("x", "max")])
+            yield from best.select([key, "place", "x_max"]).rename_columns([key, "place", "x"]).to_batches()
 
-    rows = df.select(key, vector).where(F.col(key).isNotNull() & (F.size(vector) > 0))
+    rows = df.select(key, F.col(vector).cast("array<double>").alias(vector))
+    kind = df.schema[key].dataType.simpleString()
     return (
-        rows.mapInArrow(partial, rows.schema)
-        .select(key, F.posexplode(vector).alias("place", "x"))
+        rows.mapInArrow(partial, f"`{key}` {kind}, place int, x double")
         .groupBy(key, "place")
         .agg(F.max("x").alias("highest"))
     )

@@ -37,8 +37,9 @@ def summed_sets(
 
 
 def mode(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode") -> DataFrame:
-    """The most frequent value; the smallest one among equals."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    """The most frequent value; the smallest one among equals. A group of nulls alone has
+    the mode null, found 0 times."""
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
     # The least of (-count, value) is the highest count's smallest value.
     best = F.min(F.struct((-F.col("_n")).alias("_minus"), F.col(value).alias("_value")))
     return (
@@ -62,13 +63,9 @@ def quantiles(
     Values are counted first, then numbered in order by a running count, and
     the two values around each wanted position are picked out. No task holds a
     group's values, unlike Spark's ``percentile``, which keeps them in a map.
+    Nulls do not count; a group of nulls alone has null quantiles.
     """
-    counts = written(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n")),
-        "values",
-    )
+    counts = written(df.groupBy(*keys, value).agg(F.count(value).alias("_n")), "values")
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     placed = (
         order_rows(counts, keys, [value], rows_per_slice=rows_per_slice, slices=slices)
@@ -186,6 +183,10 @@ def _join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> Dat
     its broadcast threshold the rows stay where they are, above it both sides
     are exchanged and a skewed key is split.
     """
+    if not keys:  # one row of totals: constants, not a join
+        totals = groups.first()
+        types = groups.schema
+        return rows.withColumns({c: F.lit(totals[c]).cast(types[c].dataType) for c in groups.columns})
     known = written(groups, "groups")
     extra = [c for c in groups.columns if c not in keys]
     named = known.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *extra)

@@ -7,6 +7,8 @@ partitions and broadcasts sides that turn out small.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,7 +36,7 @@ def as_of_join(
     the greatest wins.
 
     The two sides are united and read in time order once, so there is no pair
-    of rows to compare.
+    of rows to compare. As in SQL, a null key or time on either side matches nothing.
     """
     values = [c for c in right.columns if c not in (*keys, time)]
     clash = set(values) & set(left.columns)
@@ -42,7 +44,7 @@ def as_of_join(
         raise ValueError(f"rename the right side's {sorted(clash)}")
     match = F.struct(F.col(time).alias(f"matched_{time}"), *values)
     tie_names = [f"_tie_{c}" for c in ties]
-    sightings = right.select(
+    sightings = right.dropna(subset=[*keys, time]).select(
         *keys,
         time,
         F.lit(0).alias("_side"),
@@ -56,7 +58,7 @@ def as_of_join(
     ordered = order_rows(
         rows, keys, order, rows_per_slice=rows_per_slice, slices=slices
     ).with_running(_seen=("last", "_match"))
-    seen = F.col("_seen")
+    seen = F.when(_all_set([*keys, time]), F.col("_seen"))
     if tolerance is not None:
         age = epoch_micros(time) - epoch_micros(seen[f"matched_{time}"])
         seen = F.when(age <= int(tolerance * 1_000_000), seen)
@@ -133,12 +135,12 @@ def count_below(
 
     The inequality join behind that count would emit pairs. A running count
     over both sides in value order reads each row once; the right side is
-    grouped by value first.
+    grouped by value first. As in SQL, nothing is below null and null keys match nothing.
     """
     marks = (
-        right.groupBy(*keys, F.col(right_value).alias("_value"))
+        right.where(_all_set([*keys, right_value]))
+        .groupBy(*keys, F.col(right_value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where("_value IS NOT NULL")
         .withColumn("_side", F.lit(1))
     )
     rows = left.withColumns(
@@ -157,7 +159,9 @@ def count_below(
         .where("_side = 0")
         .select(
             *left.columns,
-            F.when(F.col(left_value).isNotNull(), F.coalesce("_below", F.lit(0))).alias(name),
+            F.when(_all_set([*keys, left_value]), F.coalesce("_below", F.lit(0)))
+            .otherwise(F.lit(0))
+            .alias(name),
         )
     )
 
@@ -182,5 +186,9 @@ def null_safe_join(
     return left.join(right, same((left[l], right[r]) for l, r in on), how)
 
 
+def _all_set(columns: Sequence[str]) -> Column:
+    return reduce(and_, (F.col(c).isNotNull() for c in columns))
+
+
 def _equal(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]) -> Column:
     return F.expr(" AND ".join(f"`{l}` = `{r}`" for l, r in on))

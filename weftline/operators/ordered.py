@@ -9,7 +9,7 @@ contribute arrives by joining a table of about one row per slice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from math import ceil
 
@@ -19,8 +19,7 @@ from weftline.functions.columns import same
 from weftline.scratch import written, written_buckets
 
 ROWS_PER_SLICE = 2_000_000
-# Beyond this number slices grow instead, so that the driver's sample for the
-# range bounds and the broadcast tables of slices stay small.
+# The most slices for which the driver's sample for the range bounds stays small.
 MAX_SLICES = 20_000
 
 SLICE = "_slice"
@@ -74,18 +73,31 @@ class OrderedRows:
                 raise ValueError(f"unknown running aggregate {kind!r}")
         return self._each(lambda part: part._accumulated(outputs))
 
-    def with_frame(
-        self,
-        before: int = 0,
-        after: int = 0,
-        **outputs: Callable[[WindowSpec], Column],
-    ) -> OrderedRows:
-        """Any window expressions that look at most this many rows away.
-
-        Every slice borrows the rows it needs from its neighbours, so ``lag``,
-        ``lead`` and bounded ROWS frames give what one large window would.
+    def with_frame(self, before: int = 0, after: int = 0, **outputs: Column) -> OrderedRows:
+        """Aggregates over the rows from ``before`` rows back to ``after`` rows ahead.
+
+        Outputs are aggregates without a window, such as ``F.sum("x")``; the frame
+        is set here, so that no output can look beyond what a slice borrows from
+        its neighbours.
         """
-        return self._each(lambda part: part._framed(before, after, outputs))
+        return self._each(
+            lambda part: part._framed(
+                before,
+                after,
+                lambda w: {n: c.over(w.rowsBetween(-before, after)) for n, c in outputs.items()},
+            )
+        )
+
+    def with_shifted(self, **outputs: tuple[str, int]) -> OrderedRows:
+        """Values of rows nearby: ``name=(column, rows)``, negative rows being earlier.
+        Null where the key has no such row."""
+        before = max([0, *(-n for _, n in outputs.values())])
+        after = max([0, *(n for _, n in outputs.values())])
+        return self._each(
+            lambda part: part._framed(
+                before, after, lambda w: {k: F.lead(c, n).over(w) for k, (c, n) in outputs.items()}
+            )
+        )
 
     # -- one part ----------------------------------------------------------
 
@@ -109,11 +121,15 @@ class OrderedRows:
         if not self.sliced:
             return self._with(local)
 
+        # The last value of a slice is that of its highest row number, whatever the order.
+        placed = self._with({"_slice_place": F.row_number().over(self._window())})
         summary = {
-            f"_carry_{n}": self._last_in_slice(c) if kind == "last" else _running(kind, F.col(c))
+            f"_carry_{n}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_slice_place")))
+            if kind == "last"
+            else _running(kind, F.col(c))
             for n, (kind, c) in outputs.items()
         }
-        carried = self._carried(
+        carried = placed._carried(
             summary,
             lambda w: {
                 f"_carry_{n}": _running(
@@ -130,17 +146,15 @@ class OrderedRows:
         }
         return step._adding(carried, merged)
 
-    def _framed(
-        self, before: int, after: int, outputs: Mapping[str, Callable[[WindowSpec], Column]]
-    ) -> OrderedRows:
+    def _framed(self, before: int, after: int, make) -> OrderedRows:
         if not self.sliced:
-            return self._with({n: make(self._window()) for n, make in outputs.items()})
+            return self._with(make(self._window()))
         rows = self.df.withColumn(HALO, F.lit(False))
         if before:
             rows = rows.unionByName(self._borrowed(before, from_earlier=True))
         if after:
             rows = rows.unionByName(self._borrowed(after, from_earlier=False))
-        framed = rows.withColumns({n: make(self._window()) for n, make in outputs.items()})
+        framed = rows.withColumns(make(self._window()))
         return replace(self, df=framed.where(~F.col(HALO)).drop(HALO))
 
     def _partition(self) -> tuple[str, ...]:
@@ -152,12 +166,6 @@ class OrderedRows:
     def _with(self, columns: Mapping[str, Column]) -> OrderedRows:
         return replace(self, df=self.df.withColumns(dict(columns)))
 
-    def _last_in_slice(self, column: str) -> Column:
-        if any(name.endswith(" desc") for name in self.order):
-            raise ValueError("a running 'last' needs an ascending order")
-        place = F.when(F.col(column).isNotNull(), F.struct(*self.order))
-        return F.max_by(F.col(column), place)
-
     def _carried(
         self,
         summary: Mapping[str, Column],
@@ -173,11 +181,13 @@ class OrderedRows:
             .orderBy(SLICE)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        return (
+        carried = (
             per.withColumns({**combine(earlier), "_slice_seen": F.count(F.lit(1)).over(earlier)})
             .where("_slice_seen > 0")
             .drop("_slice_seen")
         )
+        # Written, so that the join with it is planned by its true size.
+        return written(carried, "carried")
 
     def _adding(self, carried: DataFrame, outputs: Mapping[str, Column]) -> OrderedRows:
         extra = [c for c in carried.columns if c not in (*self.keys, SLICE)]
@@ -189,9 +199,8 @@ class OrderedRows:
     ) -> DataFrame:
         on = self._partition()
         right = small.select(*[F.col(c).alias(f"_slice_on_{c}") for c in on], *extra)
-        # Broadcast is safe: about one row per slice, see _spanning_slices.
         matched = same((rows[c], right[f"_slice_on_{c}"]) for c in on)
-        return rows.join(F.broadcast(right), matched, how).drop(*[f"_slice_on_{c}" for c in on])
+        return rows.join(right, matched, how).drop(*[f"_slice_on_{c}" for c in on])
 
     def _borrowed(self, reach: int, from_earlier: bool) -> DataFrame:
         """The rows within ``reach`` of a slice's start (or end), relabelled
@@ -202,9 +211,11 @@ class OrderedRows:
         near = self.df.withColumn("_slice_reach", F.row_number().over(edge)).where(
             F.col("_slice_reach") <= reach
         )
-        place = ["_slice_index", "_slice_rows", "_slice_through"]
+        place = ["_slice_index", "_slice_rows", "_slice_through", "_slice_parts"]
         near = self._join_spanning(near, self.spanning, place, "inner")
-        step = F.sequence(F.lit(1), F.lit(reach))
+        # Slices are mostly longer than the reach, so most hops find no target near enough;
+        # a key has no more slices than parts to pass.
+        step = F.sequence(F.lit(1), F.least(F.lit(reach), F.col("_slice_parts").cast("int")))
         sign = 1 if from_earlier else -1
         near = near.withColumn("_slice_hop", F.explode(step)).withColumn(
             "_slice_target", F.col("_slice_index") + sign * F.col("_slice_hop")
@@ -224,7 +235,7 @@ class OrderedRows:
         else:
             between = F.col("_slice_through") - F.col("_slice_rows") - F.col("_slice_to_end")
         return (
-            near.join(F.broadcast(targets), matched)
+            near.join(targets, matched)
             .where(F.col("_slice_reach") + between <= reach)
             .withColumn(SLICE, F.col("_slice_to_slice"))
             .select(*columns, F.lit(True).alias(HALO))
@@ -238,11 +249,13 @@ def order_rows(
     *,
     rows_per_slice: int = ROWS_PER_SLICE,
     slices: int | None = None,
+    max_slices: int = MAX_SLICES,
 ) -> OrderedRows:
     """Prepare ``df`` for window calculations by ``keys`` in ``order``.
 
     Keys of more than ``rows_per_slice`` rows are cut into slices of about that
-    size. Give ``slices`` to cut all keys into so many, without counting.
+    size. Give ``slices`` to cut all keys into so many, without counting. Where more
+    than ``max_slices`` would be needed this raises: allow more, or larger slices.
 
     The large keys' rows are read to be sampled and again to be written, with
     one exchange; calculations then find each slice in place. Project ``df`` to
@@ -256,17 +269,17 @@ def order_rows(
         rows = sizes.first()[0]
         if rows <= rows_per_slice:
             return OrderedRows(df, keys, order)
-        return _sliced(df, keys, order, _slice_count(rows, rows_per_slice))
-    # At most one key in every rows_per_slice rows: small enough to broadcast.
+        return _sliced(df, keys, order, _slice_count(rows, rows_per_slice, max_slices))
+    # At most one key in every rows_per_slice rows; Spark knows the written table's size.
     large = written(sizes.where(F.col("_rows") > rows_per_slice), "large")
     rows = large.agg(F.sum("_rows")).first()[0]
     if rows is None:
         return OrderedRows(df, keys, order)
     named = large.select(*[F.col(k).alias(f"_large_{k}") for k in keys])
     is_large = same((df[k], named[f"_large_{k}"]) for k in keys)
-    apart = df.join(F.broadcast(named), is_large, "left_semi")
-    rest = df.join(F.broadcast(named), is_large, "left_anti")
-    split = _sliced(apart, keys, order, _slice_count(rows, rows_per_slice))
+    apart = df.join(named, is_large, "left_semi")
+    rest = df.join(named, is_large, "left_anti")
+    split = _sliced(apart, keys, order, _slice_count(rows, rows_per_slice, max_slices))
     return replace(split, rest=OrderedRows(rest, keys, order))
 
 
@@ -276,8 +289,11 @@ def spread(df: DataFrame) -> Column:
     return F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind])
 
 
-def _slice_count(rows: int, rows_per_slice: int) -> int:
-    return min(ceil(rows / rows_per_slice), MAX_SLICES)
+def _slice_count(rows: int, rows_per_slice: int, most: int) -> int:
+    slices = ceil(rows / rows_per_slice)
+    if slices > most:
+        raise ValueError(f"{slices} slices of {rows_per_slice} rows: allow more slices or larger ones")
+    return slices
 
 
 def _sliced(
@@ -303,7 +319,7 @@ def _spanning_slices(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             "_slice_through": F.sum("_slice_rows").over(upto),
         }
     )
-    columns = (*keys, SLICE, "_slice_index", "_slice_rows", "_slice_through")
+    columns = (*keys, SLICE, "_slice_index", "_slice_rows", "_slice_through", "_slice_parts")
     return written(counted.where("_slice_parts > 1").select(*columns), "spanning")
 
 

@@ -29,7 +29,7 @@ def sessions(
     """
     ordered = order_rows(
         df, keys, [time, tie], rows_per_slice=rows_per_slice, slices=slices
-    ).with_frame(before=1, _previous=lambda w: F.lag(time).over(w))
+    ).with_shifted(_previous=(time, -1))
     quiet = epoch_micros(time) - epoch_micros("_previous")
     starts = F.when(F.col("_previous").isNull() | (quiet >= int(gap * 1_000_000)), 1).otherwise(0)
     return (
@@ -55,7 +55,7 @@ def time_frame(
     buckets its frame reach extends into, so a key's rows spread over its
     buckets with one exchange. Wider buckets lend fewer rows; narrower ones
     make smaller groups. Every row visits the rows of its frame: for sums over
-    dense frames use ``trailing_sums``.
+    dense frames use ``trailing_sums``. Rows without a time see each other, as in SQL.
     """
     bucket = bucket or preceding
     micros = "_micros"
@@ -63,7 +63,7 @@ def time_frame(
     span = F.make_dt_interval(secs=F.lit(float(preceding)))
     last = time_bucket(F.col(time) + span, bucket)
     lent = df.withColumns({micros: epoch_micros(time), "_home": home}).withColumn(
-        "_bucket", F.explode(F.sequence(F.col("_home"), last))
+        "_bucket", F.explode_outer(F.sequence(F.col("_home"), last))
     )
     frame = (
         Window.partitionBy(*keys, "_bucket")
@@ -72,7 +72,7 @@ def time_frame(
     )
     return (
         lent.withColumns({n: make(frame) for n, make in outputs.items()})
-        .where("_bucket = _home")
+        .where("_bucket <=> _home")
         .drop(micros, "_home", "_bucket")
     )
 
@@ -93,7 +93,8 @@ def trailing_sums(
     a running sum of these changes is the answer. Work does not grow with the
     rows in a frame, and a key of any density splits into slices. Each output
     is ``name=column``; columns must be integers or decimals, which lose
-    nothing when taken away again.
+    nothing when taken away again. As in SQL a frame of nulls alone sums to null, and
+    rows without a time see each other.
     """
     kinds = dict(df.dtypes)
     for column in sums.values():
@@ -101,6 +102,7 @@ def trailing_sums(
             raise ValueError(f"{column} is {kinds[column]}; sum integers or decimals")
     reach = int(preceding * 1_000_000) + 1
     values = {f"_change_{name}": F.col(column) for name, column in sums.items()}
+    values |= {f"_seen_{name}": F.col(column).isNotNull().cast("bigint") for name, column in sums.items()}
     named = [c.alias(n) for n, c in values.items()]
     at = df.select(*keys, epoch_micros(time).alias("_micros"), *named)
     # One row comes in and one goes out; equal times of a key become one change.
@@ -108,7 +110,7 @@ def trailing_sums(
         F.array(
             F.struct(F.col("_micros").alias("_at"), *values),
             F.struct(
-                (F.col("_micros") + reach).alias("_at"), *[(-F.col(n)).alias(n) for n in values]
+                F.coalesce(F.col("_micros") + reach, F.lit(-(1 << 62))).alias("_at"), *[(-F.col(n)).alias(n) for n in values]
             ),
         )
     )
@@ -128,5 +130,9 @@ def trailing_sums(
         ["_micros", "_side", "_spread"],
         rows_per_slice=rows_per_slice,
         slices=slices,
-    ).with_running(**{name: ("sum", f"_change_{name}") for name in sums})
-    return ordered.result().where("_side = 1").select(*df.columns, *sums)
+    ).with_running(
+        **{name: ("sum", f"_change_{name}") for name in sums},
+        **{f"_any_{name}": ("sum", f"_seen_{name}") for name in sums},
+    )
+    found = [F.when(F.col(f"_any_{name}") > 0, F.col(name)).alias(name) for name in sums]
+    return ordered.result().where("_side = 1").select(*df.columns, *found)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from weftline.functions.columns import cents, exact_sum, total
 from weftline.operators.aggregates import mode, quantiles, summed_sets
 from weftline.plans.registry import query
+from weftline.plans.sizes import few_rows
 from weftline.sources.tables import register_views, table
 
 
-def _slices(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _few(spark, folder) -> int:
+    return few_rows(table(spark, folder, "events"))
 
 
 def _sql_sets(kind: str) -> str:
@@ -54,6 +55,8 @@ SELECT l_shipdate, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partke
 FROM lineitem GROUP BY l_shipdate
 """)
 def agg_distinct(spark, folder):
+    """Rows are repeated once a column. Bitmaps of keys would combine better for the parts
+    and suppliers, and worse for the orders, whose keys are sparse within a day."""
     return (
         table(spark, folder, "lineitem")
         .groupBy("l_shipdate")
@@ -162,7 +165,8 @@ def agg_moments(spark, folder):
     """Variance, covariance, correlation and slope from exact sums, which do not
     change with the order in which tasks finish."""
     x, y = cents("l_quantity"), cents("l_extendedprice")
-    sums = {"sx": (x, 2), "sy": (y, 2), "sxx": (x * x, 4), "syy": (y * y, 4), "sxy": (x * y, 4)}
+    # Products are summed in smaller lanes, which keeps them exact for far more rows.
+    sums = {"sx": (x, 2), "sy": (y, 2), "sxx": (x * x, 4, 26), "syy": (y * y, 4, 26), "sxy": (x * y, 4, 26)}
     spread = {
         f"d{a}{b}": F.col("n") * F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}")
         for a, b in ("xx", "yy", "xy")
@@ -208,13 +212,13 @@ def agg_quantiles(spark, folder):
 
 @query(_SQL_QUANTILES)
 def agg_quantiles_sliced(spark, folder):
-    return _quantiles(spark, folder, slices=_slices(spark))
+    return _quantiles(spark, folder, rows_per_slice=_few(spark, folder))
 
 
 @query("SELECT median(o_totalprice) AS median_price FROM orders")
 def agg_median(spark, folder):
     orders = table(spark, folder, "orders")
-    return quantiles(orders, [], "o_totalprice", {"median_price": 0.5}, slices=_slices(spark))
+    return quantiles(orders, [], "o_totalprice", {"median_price": 0.5})
 
 
 @query("""
@@ -313,11 +317,12 @@ def agg_recursive_calendar(spark, folder):
         .groupBy("o_orderdate")
         .agg(F.count("o_orderkey").alias("n"))
     )
-    inside = (F.col("o_orderdate") >= F.col("from_date")) & (
-        F.col("o_orderdate") < F.col("from_date") + F.expr("INTERVAL 1 YEAR")
-    )
+    # Whole years since the first date give each date its level; years start on one day.
+    first = table(spark, folder, "orders").agg(F.min("o_orderdate")).first()[0]
+    months = F.floor(F.months_between("o_orderdate", F.lit(first)) + F.lit(1e-9))
+    daily = daily.withColumn("year_number", F.floor(months / 12).cast("int"))
     return (
-        calendar.join(daily, inside, "left")
+        calendar.join(daily, F.col("level") == F.col("year_number"), "left")
         .groupBy("level", "from_date")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orders"))
     )

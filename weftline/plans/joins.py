@@ -13,6 +13,7 @@ from weftline.operators.joins import (
     range_join,
 )
 from weftline.plans.registry import query
+from weftline.plans.sizes import few_rows
 from weftline.sources.tables import register_views, table
 
 
@@ -31,10 +32,10 @@ def join_inner(spark, folder):
 
 @query("""
 SELECT o_orderkey, o_orderpriority, l_linenumber, l_quantity
-FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 40) ON o_orderkey = l_orderkey
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
 """)
 def join_left(spark, folder):
-    lines = table(spark, folder, "lineitem").where("l_quantity > 40")
+    lines = table(spark, folder, "lineitem")
     return (
         table(spark, folder, "orders")
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -44,12 +45,11 @@ def join_left(spark, folder):
 
 @query("""
 SELECT l_orderkey, l_linenumber, o_orderkey, o_orderstatus
-FROM (SELECT * FROM lineitem WHERE l_quantity > 40) RIGHT JOIN orders ON o_orderkey = l_orderkey
+FROM lineitem RIGHT JOIN orders ON o_orderkey = l_orderkey
 """)
 def join_right(spark, folder):
     return (
         table(spark, folder, "lineitem")
-        .where("l_quantity > 40")
         .join(table(spark, folder, "orders"), F.col("o_orderkey") == F.col("l_orderkey"), "right")
         .select("l_orderkey", "l_linenumber", "o_orderkey", "o_orderstatus")
     )
@@ -57,13 +57,11 @@ def join_right(spark, folder):
 
 @query("""
 SELECT c_custkey, c_name, s_suppkey, s_name
-FROM (SELECT * FROM customer WHERE c_acctbal > 9000)
-FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 2000) ON c_nationkey = s_nationkey
+FROM customer FULL JOIN supplier ON c_custkey = s_suppkey + 50
 """)
 def join_full(spark, folder):
-    customers = table(spark, folder, "customer").where("c_acctbal > 9000")
-    suppliers = table(spark, folder, "supplier").where("s_acctbal > 2000")
-    return full_outer_join(customers, suppliers, [("c_nationkey", "s_nationkey")]).select(
+    suppliers = table(spark, folder, "supplier").withColumn("peer", F.col("s_suppkey") + 50)
+    return full_outer_join(table(spark, folder, "customer"), suppliers, [("c_custkey", "peer")]).select(
         "c_custkey", "c_name", "s_suppkey", "s_name"
     )
 
@@ -120,33 +118,36 @@ SELECT c_custkey, c_acctbal,
 FROM customer
 """)
 def join_theta_count_by_key(spark, folder):
-    """The same within each customer, with rows split over slices."""
+    """The same within each customer."""
     customers = table(spark, folder, "customer").select(
         "c_custkey", "c_acctbal", (20 * F.col("c_acctbal")).alias("budget")
     )
     orders = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("c_custkey"), "o_totalprice"
     )
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return count_below(
-        customers, orders, "budget", "o_totalprice", "affordable_orders",
-        keys=["c_custkey"], slices=slices,
+        customers, orders, "budget", "o_totalprice", "affordable_orders", keys=["c_custkey"]
     ).drop("budget")
 
 
 @query("""
-SELECT c_custkey, c_acctbal, s_suppkey, s_acctbal FROM customer
-JOIN supplier ON c_acctbal BETWEEN s_acctbal - 25 AND s_acctbal + 25
+WITH width AS (SELECT 4000.0::DOUBLE / count(*) AS w FROM supplier)
+SELECT c_custkey, c_acctbal, s_suppkey, s_acctbal FROM customer, width
+JOIN supplier ON c_acctbal BETWEEN s_acctbal - w AND s_acctbal + w
 """)
 def join_range(spark, folder):
-    suppliers = table(spark, folder, "supplier").select(
+    """The denser the suppliers, the narrower the range, so a customer meets about as many
+    at any size of the tables."""
+    suppliers = table(spark, folder, "supplier")
+    width = 4000.0 / max(suppliers.count(), 1)
+    suppliers = suppliers.select(
         "s_suppkey",
         "s_acctbal",
-        (F.col("s_acctbal") - 25).alias("low"),
-        (F.col("s_acctbal") + 25).alias("high"),
+        (F.col("s_acctbal") - F.lit(width)).alias("low"),
+        (F.col("s_acctbal") + F.lit(width)).alias("high"),
     )
     customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal")
-    return range_join(customers, suppliers, "c_acctbal", "low", "high", 50.0).drop("low", "high")
+    return range_join(customers, suppliers, "c_acctbal", "low", "high", 2 * width).drop("low", "high")
 
 
 @query("""
@@ -193,8 +194,8 @@ def join_as_of(spark, folder):
 
 @query(_AS_OF)
 def join_as_of_sliced(spark, folder):
-    """The same join with every key free to span tasks."""
-    return _as_of(spark, folder, slices=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """The same join with slices small enough for many keys to span tasks."""
+    return _as_of(spark, folder, rows_per_slice=few_rows(table(spark, folder, "events")))
 
 
 @query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.columns import cents, epoch_micros, time_bucket, total
+from weftline.functions.columns import cents, epoch_micros, total
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 
@@ -149,17 +149,17 @@ SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (
 GROUP BY word
 """)
 def functions_word_count(spark, folder):
-    """Words are counted per document first, so a common word reaches the second
-    exchange once per task."""
-    words = F.explode(F.split(F.lower("text"), "[^a-z]+"))
+    """One exchange of counts combined before it. A document is one row (``doc_id`` is
+    unique), so the documents of a word are counted by its first place in each row."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    once = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("word"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
+    each = F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
     return (
         table(spark, folder, "documents")
-        .select("doc_id", words.alias("word"))
-        .where("word <> ''")
-        .groupBy("word", "doc_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+        .select(words.alias("words"))
+        .select(F.explode(F.concat(each, once)).alias("w"))
+        .groupBy("w.word")
+        .agg(F.sum("w.n").alias("n"), F.sum("w.docs").alias("docs"))
     )
 
 

@@ -34,9 +34,33 @@ def source_orc(spark, folder):
     return round_trip(table(spark, folder, "orders"), "orc")
 
 
-@query("SELECT doc_id, text, lang FROM documents")
+_DOCUMENTS = "SELECT * FROM documents"
+
+
+@query(_DOCUMENTS)
 def source_parquet(spark, folder):
-    return round_trip(table(spark, folder, "documents").select("doc_id", "text", "lang"), "parquet")
+    return round_trip(table(spark, folder, "documents"), "parquet")
+
+
+@query(_DOCUMENTS)
+def source_csv_texts(spark, folder):
+    """Texts with line ends, quotes and blanks at their ends."""
+    return round_trip(table(spark, folder, "documents"), "csv")
+
+
+@query(_DOCUMENTS)
+def source_json_texts(spark, folder):
+    return round_trip(table(spark, folder, "documents"), "json")
+
+
+@query(_DOCUMENTS)
+def source_xml_texts(spark, folder):
+    return round_trip(table(spark, folder, "documents"), "xml")
+
+
+@query(_DOCUMENTS)
+def source_orc_texts(spark, folder):
+    return round_trip(table(spark, folder, "documents"), "orc")
 
 
 @query("""

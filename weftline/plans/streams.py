@@ -1,7 +1,8 @@
 """Streaming queries, run over everything their source holds.
 
-Append mode emits a window once the watermark has passed its end. The SQL
-states the same rule: the watermark is the latest time seen minus the delay.
+Append mode emits a window once the watermark has passed its end; a row at the end of
+time closes the last ones, so the results are those of the whole table. A row later
+than the watermark's delay is dropped, as in any stream.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from weftline.plans.registry import query
 from weftline.sources.tables import table
 from weftline.streaming.milestones import completions
 from weftline.streaming.reduce import earliest_per_batch
-from weftline.streaming.runs import replay, run_to_partials, run_to_table, table_stream
+from weftline.streaming.runs import Closing, replay, run_to_partials, run_to_table, table_stream
 
 
-def _events(spark, folder, delay: str | None = None):
-    events = table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.withWatermark("ts", delay) if delay else events
+def _events(spark, folder):
+    return table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _ending(spark, folder):
+    return Closing(_events(spark, folder), "ts")
 
 
 def _ntz(column):
@@ -31,16 +35,16 @@ WITH counted AS (
          sum(value::DECIMAL(12,2))::DOUBLE AS value
   FROM events GROUP BY 1, 2)
 SELECT * FROM counted
-WHERE started + INTERVAL 1 HOUR <= (SELECT date_trunc('ms', max(ts)) - INTERVAL 10 MINUTE FROM events)
 """)
 def stream_tumbling(spark, folder):
+    closing = _ending(spark, folder)
     counted = (
-        _events(spark, folder, "10 minutes")
+        closing.stream.withWatermark("ts", "10 minutes")
         .groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), total(cents("value"), 2).alias("value"))
         .select("w.start", "event_type", "n", "value")
     )
-    return run_to_table(counted).select(_ntz("start").alias("started"), "event_type", "n", "value")
+    return run_to_table(counted, closing).select(_ntz("start").alias("started"), "event_type", "n", "value")
 
 
 @query("""
@@ -48,16 +52,16 @@ WITH counted AS (
   SELECT date_trunc('hour', ts) - to_hours(back) AS started, event_type, count(*) AS n
   FROM events, (SELECT unnest([0, 1, 2]) AS back) GROUP BY 1, 2)
 SELECT * FROM counted
-WHERE started + INTERVAL 3 HOUR <= (SELECT date_trunc('ms', max(ts)) - INTERVAL 10 MINUTE FROM events)
 """)
 def stream_sliding(spark, folder):
+    closing = _ending(spark, folder)
     counted = (
-        _events(spark, folder, "10 minutes")
+        closing.stream.withWatermark("ts", "10 minutes")
         .groupBy(F.window("ts", "3 hours", "1 hour").alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("w.start", "event_type", "n")
     )
-    return run_to_table(counted).select(_ntz("start").alias("started"), "event_type", "n")
+    return run_to_table(counted, closing).select(_ntz("start").alias("started"), "event_type", "n")
 
 
 @query("""
@@ -68,16 +72,16 @@ numbered AS (
   SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM flagged)
 SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS closes, count(*) AS n
 FROM numbered GROUP BY user_id, session
-HAVING closes <= (SELECT date_trunc('ms', max(ts)) - INTERVAL 10 MINUTE FROM events)
 """)
 def stream_sessions(spark, folder):
+    closing = _ending(spark, folder)
     merged = (
-        _events(spark, folder, "10 minutes")
+        closing.stream.withWatermark("ts", "10 minutes")
         .groupBy("user_id", F.session_window("ts", "1 hour").alias("s"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select("user_id", "s.start", "s.end", "n")
     )
-    return run_to_table(merged).select(
+    return run_to_table(merged, closing).select(
         "user_id", _ntz("start").alias("started"), _ntz("end").alias("closes"), "n"
     )
 

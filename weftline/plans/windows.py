@@ -9,11 +9,12 @@ from weftline.operators.aggregates import ntile, top_k, value_ranks, with_group_
 from weftline.operators.ordered import order_rows
 from weftline.operators.timed import sessions, time_frame, trailing_sums
 from weftline.plans.registry import query
+from weftline.plans.sizes import few_rows
 from weftline.sources.tables import table
 
 
-def _slices(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _few(spark, folder) -> int:
+    return few_rows(table(spark, folder, "events"))
 
 
 _ROW_NUMBER = """
@@ -40,7 +41,7 @@ def window_row_number(spark, folder):
 
 @query(_ROW_NUMBER)
 def window_row_number_sliced(spark, folder):
-    return _row_number(spark, folder, slices=_slices(spark))
+    return _row_number(spark, folder, rows_per_slice=_few(spark, folder))
 
 
 @query("""
@@ -54,7 +55,7 @@ def window_global_running(spark, folder):
         "o_orderkey", "o_totalprice", money("o_totalprice").alias("price")
     )
     return (
-        order_rows(orders, [], ["o_totalprice", "o_orderkey"], slices=_slices(spark))
+        order_rows(orders, [], ["o_totalprice", "o_orderkey"])
         .with_row_number("rn")
         .with_running(running_price=("sum", "price"))
         .result()
@@ -85,9 +86,7 @@ FROM orders
 """)
 def window_ntile(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return ntile(
-        orders, ["o_orderpriority"], ["o_totalprice", "o_orderkey"], 7, slices=_slices(spark)
-    ).drop("o_totalprice")
+    return ntile(orders, ["o_orderpriority"], ["o_totalprice", "o_orderkey"], 7).drop("o_totalprice")
 
 
 _LAG_LEAD = """
@@ -101,13 +100,7 @@ def _lag_lead(spark, folder, **options):
     events = table(spark, folder, "events").select("event_id", "event_type", "ts", "value")
     return (
         order_rows(events, ["event_type"], ["ts", "event_id"], **options)
-        .with_frame(
-            before=1,
-            after=2,
-            previous=lambda w: F.lag("value").over(w),
-            later=lambda w: F.lead("value", 2).over(w),
-            before_ts=lambda w: F.lag("ts").over(w),
-        )
+        .with_shifted(previous=("value", -1), later=("value", 2), before_ts=("ts", -1))
         .with_columns(micros_since=epoch_micros("ts") - epoch_micros("before_ts"))
         .result()
         .drop("ts", "value", "before_ts")
@@ -121,7 +114,7 @@ def window_lag_lead(spark, folder):
 
 @query(_LAG_LEAD)
 def window_lag_lead_sliced(spark, folder):
-    return _lag_lead(spark, folder, slices=_slices(spark))
+    return _lag_lead(spark, folder, rows_per_slice=_few(spark, folder))
 
 
 _RUNNING = """
@@ -158,7 +151,7 @@ def window_running(spark, folder):
 
 @query(_RUNNING)
 def window_running_sliced(spark, folder):
-    return _running(spark, folder, slices=_slices(spark))
+    return _running(spark, folder, rows_per_slice=_few(spark, folder))
 
 
 @query("""
@@ -173,13 +166,13 @@ def window_moving_rows(spark, folder):
         "event_id", "user_id", "ts", "value", money("value").alias("amount")
     )
     return (
-        order_rows(events, ["user_id"], ["ts", "event_id"], slices=_slices(spark))
+        order_rows(events, ["user_id"], ["ts", "event_id"])
         .with_frame(
             before=5,
             after=2,
-            moving_sum=lambda w: F.sum("amount").over(w.rowsBetween(-5, 2)),
-            moving_n=lambda w: F.count(F.lit(1)).over(w.rowsBetween(-5, 2)),
-            moving_max=lambda w: F.max("value").over(w.rowsBetween(-5, 2)),
+            moving_sum=F.sum("amount"),
+            moving_n=F.count(F.lit(1)),
+            moving_max=F.max("value"),
         )
         .result()
         .withColumn("moving_sum", F.col("moving_sum").cast("double"))
@@ -232,7 +225,7 @@ def window_trailing_sums(spark, folder):
 
 @query(_TIME_RANGE.format(key="event_type"))
 def window_trailing_sums_sliced(spark, folder):
-    return _trailing(spark, folder, slices=_slices(spark))
+    return _trailing(spark, folder, rows_per_slice=_few(spark, folder))
 
 
 @query("""
@@ -249,7 +242,8 @@ def window_first_last_nth(spark, folder):
         F.min_by("event_id", place).alias("first_event"),
         F.max_by("event_id", place).alias("last_event"),
     )
-    return ends.join(third.select("user_id", F.col("event_id").alias("third_event")), "user_id", "left")
+    named = third.select(F.col("user_id").alias("third_user"), F.col("event_id").alias("third_event"))
+    return ends.join(named, F.col("user_id").eqNullSafe(F.col("third_user")), "left").drop("third_user")
 
 
 @query("""
@@ -343,7 +337,7 @@ def sessions_numbered(spark, folder):
 
 @query(_SESSIONS)
 def sessions_numbered_sliced(spark, folder):
-    return _sessions(spark, folder, slices=_slices(spark))
+    return _sessions(spark, folder, rows_per_slice=_few(spark, folder))
 
 
 @query("""

@@ -57,7 +57,9 @@ def written_buckets(
     """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(min(buckets, MAX_BUCKETS), *columns)
+    if buckets > MAX_BUCKETS:
+        raise ValueError(f"{buckets} buckets; Spark allows {MAX_BUCKETS}")
+    writer = df.write.bucketBy(buckets, *columns)
     writer.option("path", fresh_path(spark, label)).saveAsTable(name)
     rows = spark.table(name)
     # The plan keeps the files and their bucketing; the catalog entry can go.

@@ -11,10 +11,42 @@ from weftline.scratch import fresh_path
 from weftline.sources.tables import table
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The files of one table as a stream."""
+# Bytes of new files that one micro-batch takes at most.
+BATCH_BYTES = "8g"
+# Later than every event, so that its watermark closes all windows.
+END_OF_TIME = "9000-01-01 00:00:00"
+
+
+def table_stream(
+    spark: SparkSession, folder: str, name: str, batch_bytes: str = BATCH_BYTES
+) -> DataFrame:
+    """The files of one table as a stream, be it one file or a folder of part files."""
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).parquet(folder, pathGlobFilter=f"{name}.parquet")
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes)
+    # Written as a pattern: a pattern may match a file, a plain path only a folder.
+    return reader.parquet(f"{folder}/{name}.parque[t]")
+
+
+class Closing:
+    """A stream with an end: once all input is read, a row at the end of time moves the
+    watermark past every window, so that the last ones are given out too. That row's own
+    window never closes."""
+
+    def __init__(self, stream: DataFrame, time: str):
+        self._spark = stream.sparkSession
+        self._folder = fresh_path(self._spark, "ending")
+        self._row = self._spark.createDataFrame([], stream.schema)
+        self._row.write.parquet(self._folder)
+        self._time = time
+        ending = self._spark.readStream.schema(stream.schema).parquet(self._folder)
+        self.stream = stream.unionByName(ending)
+
+    def end(self) -> None:
+        schema = self._row.schema
+        cells = [
+            F.lit(END_OF_TIME if f.name == self._time else None).cast(f.dataType).alias(f.name) for f in schema
+        ]
+        self._spark.range(1).select(*cells).write.mode("append").parquet(self._folder)
 
 
 def replay(df: DataFrame, files: int, order: str) -> DataFrame:
@@ -25,20 +57,24 @@ def replay(df: DataFrame, files: int, order: str) -> DataFrame:
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame) -> DataFrame:
+def run_to_table(stream: DataFrame, closing: Closing | None = None) -> DataFrame:
     """Run an append-mode stream over all available input; return what it wrote.
+    With ``closing``, whose stream it must come from, its open windows are closed too.
 
     Progress, state and output live in the shared folder, so a lost executor or
     driver resumes from the last committed batch.
     """
     spark = stream.sparkSession
     path = fresh_path(spark, "stream")
-    _finish(
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/progress")
-    )
+    for last in (False, True) if closing else (True,):
+        _finish(
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{path}/rows")
+            .option("checkpointLocation", f"{path}/progress")
+        )
+        if not last:
+            closing.end()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
