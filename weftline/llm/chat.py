@@ -124,8 +124,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     - ``regenerate`` empties the message, and drops every other message with a number
       not below its own that began earlier.
 
-    Deltas, edits and regenerations after which no message of their number began are
-    ignored; so are unknown kinds. Null texts and roles are empty. A message that
+    Deltas and edits before which no message of their number began are ignored, and so
+    are unknown kinds; a regeneration of such a message still drops the others. Null texts and roles are empty. A message that
     begins again is another message. Conversations are read from their last event
     back, so that what a later event overrules is known before it comes.
     """
