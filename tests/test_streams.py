@@ -18,7 +18,7 @@ SCHEMA = "user_id long, kind string, ts timestamp"
 def stream_of(spark, batches):
     """One JSON file per micro-batch, in the given order."""
     folder = Path(scratch.fresh_path(spark, "in"))
-    folder.mkdir()
+    folder.mkdir(parents=True)
     for number, rows in enumerate(batches):
         file = folder / f"{number}.json"
         file.write_text("\n".join(f'{{"user_id": {u}, "kind": "{k}", "ts": "{t}"}}' for u, k, t in rows))
@@ -109,7 +109,7 @@ def test_replay_gives_every_row_once(spark):
 def test_stream_resumes_without_repeating_rows(spark):
     """A second run over the same progress folder adds only new files."""
     folder = Path(scratch.fresh_path(spark, "in"))
-    folder.mkdir()
+    folder.mkdir(parents=True)
     out = scratch.fresh_path(spark, "out")
 
     def run():

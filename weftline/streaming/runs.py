@@ -12,17 +12,17 @@ from weftline.sources.tables import table
 
 
 # Bytes of new files that one micro-batch takes at most.
-BATCH_BYTES = "8g"
+BATCH_BYTES = 8 << 30
 # Later than every event, so that its watermark closes all windows.
 END_OF_TIME = "9000-01-01 00:00:00"
 
 
 def table_stream(
-    spark: SparkSession, folder: str, name: str, batch_bytes: str = BATCH_BYTES
+    spark: SparkSession, folder: str, name: str, batch_bytes: int = BATCH_BYTES
 ) -> DataFrame:
     """The files of one table as a stream, be it one file or a folder of part files."""
     schema = table(spark, folder, name).schema
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes))
     # Written as a pattern: a pattern may match a file, a plain path only a folder.
     return reader.parquet(f"{folder}/{name}.parque[t]")
 
