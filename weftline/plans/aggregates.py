@@ -8,6 +8,7 @@ from weftline.functions.columns import cents, exact_sum, total
 from weftline.operators.aggregates import mode, quantiles, summed_sets
 from weftline.plans.registry import query
 from weftline.plans.sizes import few_rows
+from weftline.scratch import written
 from weftline.sources.tables import register_views, table
 
 
@@ -385,3 +386,34 @@ def agg_count_min(spark, folder):
             F.count(F.lit(1)).alias("n"),
         )
     )
+
+
+@query("""
+SELECT event_type, count(*) AS n, true AS distinct_close, true AS median_close, true AS all_counted
+FROM events GROUP BY event_type
+""")
+def agg_sketches_within_bounds(spark, folder):
+    """What the sketches promise, checked on the rows that they summarise: distinct users
+    within a tenth, a median whose rank is within 0.03 of a half, and every row counted."""
+    events = table(spark, folder, "events")
+    sketched = events.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("user_id").alias("users"),
+        F.approx_count_distinct("user_id", 0.02).alias("about_users"),
+        F.percentile_approx("value", 0.5, 10_000).alias("about_median"),
+        F.kll_sketch_agg_double("value").alias("sketch"),
+    )
+    found = written(
+        sketched.select(
+            "event_type", "n", "about_median",
+            (F.abs(F.col("about_users") - F.col("users")) <= 0.1 * F.col("users")).alias("distinct_close"),
+            (F.kll_sketch_get_n_double("sketch") == F.col("n")).alias("all_counted"),
+        ),
+        "sketches",
+    )
+    below = (F.col("value") <= F.col("about_median")).cast("int")
+    return (
+        events.join(found, "event_type")
+        .groupBy("event_type", "n", "distinct_close", "all_counted")
+        .agg((F.abs(F.avg(below) - 0.5) <= 0.03).alias("median_close"))
+    )
