@@ -54,4 +54,15 @@ def test_empty_tables(spark, documents):
     row = contamination.contamination(documents([(1, "a b")]), none).first()
     assert (row["n_words"], row["n_hit"], row["contaminated"]) == (2, 0, False)
     assert contamination.contamination(documents([]), none).count() == 0
-    assert contamination.drop_contaminated(documents([(1, "a b"), (None, "c")]), none).count() == 2
+    assert contamination.decontaminate(documents([(1, "a b"), (None, "c")]), none).count() == 2
+
+
+def test_spans_are_cut_and_contaminated_rows_go(spark, documents):
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, long + " One, two THREE four\nfive six! end"), (1, "one two three four five six"), (None, long), (2, None)]
+    got = contamination.decontaminate(documents(rows).withColumn("spans", F.lit(1)), items, window=6)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "spans"]
+    found = {(r["doc_id"], r["text"]) for r in got.collect()}
+    assert found == {(1, long + " ! end"), (None, long), (2, None)}
+    assert got.where("n_chars <> length(text)").isEmpty()

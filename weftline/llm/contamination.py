@@ -9,10 +9,11 @@ a fixed bound whatever the size of the benchmark.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from weftline.sources.tables import table
 WINDOW = 13
 BLOCK_WORDS = 100_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # of a text in any case
 
 
 class Automaton:
@@ -279,28 +281,57 @@ def _runs(data, start, end, text, known, pair_table, pair_hashes, least: int) ->
     yield from zip(heads[long].tolist(), tails[long].tolist())
 
 
+def _judged(hits: DataFrame) -> DataFrame:
+    """Adds ``n_hit`` and ``contaminated``: a twentieth or more of the words hit."""
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    judged = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return hits.withColumn("n_hit", n_hit).withColumn("contaminated", judged)
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """One row a document: ``doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated``; contaminated are those with a twentieth or more of their words hit.
     See ``benchmark_hits`` for odd input."""
-    hits = benchmark_hits(documents, benchmark, **settings)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return hits.withColumn("n_hit", n_hit).select(
+    return _judged(benchmark_hits(documents, benchmark, **settings)).select(
         F.col("_row").cast(documents.schema["doc_id"].dataType).alias("doc_id"),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
     )
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents that are not contaminated, all columns. Rows without an id, and
-    rows that share one, are judged together by id: any contaminated row takes them all."""
-    found = contamination(documents, benchmark, **settings).where("contaminated")
-    bad = written(found.select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+@F.pandas_udf(StringType())
+def _without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the words of their spans, from each first word to the last."""
+    out = []
+    for text, mine in zip(texts, spans):
+        words = [m.span() for m in _WORD.finditer(text)]
+        kept, at = [], 0
+        for span in mine:
+            kept.append(text[at : words[span["first"]][0]])
+            at = words[span["last"]][1]
+        out.append("".join(kept) + text[at:])
+    return pd.Series(out)
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """The documents that are not contaminated, all columns. Spans of the benchmark in
+    them are cut from their texts, and ``n_chars``, if there is such a column, is brought
+    up to date. Each row is judged by itself, whatever its id; see ``benchmark_hits``."""
+    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text").cast("string"))
+    hits = _judged(benchmark_hits(keyed, benchmark, key="_key", **settings)).where("n_hit > 0")
+    hits = written(
+        hits.select(F.col("_row").alias("_key"), F.col("spans").alias("_spans"), F.col("contaminated").alias("_bad"))
+        .dropDuplicates(["_key"]),
+        "hits",
+    )
+    untouched = keyed.join(hits, "_key", "left_anti").select(*documents.columns)
+    cut = keyed.join(hits.where("NOT _bad"), "_key").withColumn("text", _without_words("text", "_spans"))
+    if "n_chars" in documents.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return untouched.unionByName(cut.select(*documents.columns))
 
 
 OP10_SQL = r"""
