@@ -27,8 +27,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too much of the benchmark go."""
-    return contamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold too much of the benchmark go; spans of it in others are cut."""
+    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
