@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql.datasource import (
     DataSource,
@@ -115,22 +116,22 @@ class _Writer(DataSourceArrowWriter):
         final = f"{root}/part-{uuid.uuid4().hex}.ltsv"
         with store.open_output_stream(f"{final}.tmp") as out:
             for batch in batches:
-                names = batch.schema.names
-                texts = [c.cast(pa.string()).to_pylist() for c in batch.columns]
-                for values in zip(*texts):
-                    fields = [f"{n}:{_escape(v)}" for n, v in zip(names, values) if v is not None]
-                    out.write(("\t".join(fields) + "\n").encode("utf-8"))
+                if batch.num_rows:
+                    out.write(("\n".join(_lines(batch)) + "\n").encode("utf-8"))
         return _Written(f"{final}.tmp", final)
 
     def commit(self, messages: list[_Written]) -> None:
         store, root = fs.FileSystem.from_uri(_uri(self._path))
+        old = []
         if self._overwrite:
-            for old in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-                if old.base_name.endswith(".ltsv"):
-                    store.delete_file(old.path)
+            found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            old = [f.path for f in found if f.base_name.endswith(".ltsv")]
         for message in messages:
             if message:
                 store.move(message.temporary, message.final)
+        # Last, so that a failure on the way leaves the old rows.
+        for path in old:
+            store.delete_file(path)
 
     def abort(self, messages: list[_Written]) -> None:
         store, _ = fs.FileSystem.from_uri(_uri(self._path))
@@ -154,10 +155,15 @@ def _typed(rows: list[dict], text: pa.Schema, arrow: pa.Schema) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
-def _escape(value: str) -> str:
-    for plain, written in _ESCAPES:
-        value = value.replace(plain, written)
-    return value
+def _lines(batch: pa.RecordBatch) -> list[str]:
+    """A line for each row: its fields that are not null."""
+    fields = []
+    for name, column in zip(batch.schema.names, batch.columns):
+        text = column.cast(pa.string())
+        for plain, written in _ESCAPES:
+            text = pc.replace_substring(text, plain, written)
+        fields.append(pc.binary_join_element_wise(f"{name}:", text, ""))
+    return pc.binary_join_element_wise(*fields, "\t", null_handling="skip").to_pylist()
 
 
 def _unescape(value: str) -> str:
