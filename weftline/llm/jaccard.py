@@ -101,10 +101,11 @@ def profiles(documents: DataFrame) -> DataFrame:
 
 
 def prefix_rows(documents: DataFrame, counts, threshold: tuple[int, int]) -> DataFrame:
-    """``h, doc, n`` for the rarest shingles of each document: as many as leave the rest
-    too few for the similarity. A shingle whose counter is 1 occurs nowhere else."""
+    """``h, doc, place`` for the rarest shingles of each document: as many as leave the rest
+    too few for the similarity. A shingle whose counter is 1 occurs nowhere else.
+    ``place`` packs the set's size and the shingle's position in the order."""
     over, under = threshold
-    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
@@ -113,7 +114,7 @@ def prefix_rows(documents: DataFrame, counts, threshold: tuple[int, int]) -> Dat
             ids = batch.column("doc_id")
             for first, last, data, offsets in textbytes.pieces(batch.column("text")):
                 docs = ids.slice(first, last - first).to_numpy(zero_copy_only=False)
-                hashes, owners, sizes = [], [], []
+                hashes, owners, places = [], [], []
                 for doc, values in shingle_sets(data, offsets):
                     key = _signature(values)
                     if key in met:
@@ -122,18 +123,18 @@ def prefix_rows(documents: DataFrame, counts, threshold: tuple[int, int]) -> Dat
                     n = len(values)
                     seen = table[counters(values)]
                     rare = np.argsort(seen, kind="stable")[: n - -(-over * n // under) + 1]
-                    rare = rare[seen[rare] > 1]
-                    hashes.append(values[rare])
-                    owners.append(np.full(len(rare), docs[doc], np.int64))
-                    sizes.append(np.full(len(rare), n, np.int32))
+                    at = np.flatnonzero(seen[rare] > 1)
+                    hashes.append(values[rare[at]])
+                    owners.append(np.full(len(at), docs[doc], np.int64))
+                    places.append((n << 31) + at)
                 if hashes:
                     yield _records(
-                        {"h": np.concatenate(hashes).view(np.int64), "doc": np.concatenate(owners), "n": np.concatenate(sizes)},
+                        {"h": np.concatenate(hashes).view(np.int64), "doc": np.concatenate(owners), "place": np.concatenate(places)},
                         schema,
                     )
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.where("doc_id IS NOT NULL").mapInArrow(prefixes, "h long, doc long, n int")
+    return rows.where("doc_id IS NOT NULL").mapInArrow(prefixes, "h long, doc long, place long")
 
 
 def segments(documents: DataFrame, counts, cuts: np.ndarray, wanted) -> DataFrame:
@@ -234,7 +235,12 @@ def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3,
     )
     postings = written(
         meeting.join(same, "doc", "left")
-        .select("h", F.coalesce("rep", "doc").alias("doc"), "n")
+        .select(
+            "h",
+            F.coalesce("rep", "doc").alias("doc"),
+            F.shiftright("place", 31).alias("n"),
+            F.col("place").bitwiseAND((1 << 31) - 1).alias("at"),
+        )
         .dropDuplicates(["h", "doc"]),
         "postings",
     )
@@ -251,28 +257,40 @@ def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3,
             if apart.isEmpty():
                 break
         pairs = _star_pairs(apart, k, threshold) if k < STAR_ROUNDS else _all_pairs(apart, threshold)
+        pairs = _meeting_often(pairs, apart, threshold)
         found = written(verified(pairs, documents, shared_counts, cuts, threshold), "found")
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = written(components(links), "labels")
-        postings = apart.select("h", "doc", "n")
+        postings = apart.select("h", "doc", "n", "at")
     result = classed.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return result.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
 
 
+def _may_link(n: Column, at: Column, m: Column, other_at: Column, threshold: tuple[int, int]) -> Column:
+    """Whether a shingle at these positions of two sets can be their first in common.
+
+    Sets of sizes n and m that link share ``least`` shingles or more, so the first of
+    them in the order leaves at least that many from there on in both.
+    """
+    over, under = threshold
+    least = F.ceil(over * (n + m) / (over + under))
+    fits = (under * F.least(n, m)) >= (over * F.greatest(n, m))
+    return fits & (n - at >= least) & (m - other_at >= least)
+
+
 def _star_pairs(apart: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
     """For each document the partner of another component that it meets most often, out of
     the first of every shingle's documents (in an order of round ``k``)."""
     order = F.col("doc") if k == 0 else F.xxhash64("doc", F.lit(k))
-    over, under = threshold
     line = Window.partitionBy("h")
-    size_fits = (under * F.least("n", "first.nb")) >= (over * F.greatest("n", "first.nb"))
-    first = F.min(F.struct(order.alias("o"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))).over(line)
+    first = F.min(F.struct(order.alias("o"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at"), F.col("component").alias("cb"))).over(line)
     met = (
         apart.withColumn("first", first)
-        .where((F.col("first.cb") != F.col("component")) & size_fits)
+        .where(F.col("first.cb") != F.col("component"))
+        .where(_may_link(F.col("n"), F.col("at"), F.col("first.nb"), F.col("first.at"), threshold))
         .groupBy(F.col("doc").alias("a"), F.col("n").alias("na"), "first.b", "first.nb")
         .agg(F.count("*").alias("times"))
     )
@@ -281,19 +299,29 @@ def _star_pairs(apart: DataFrame, k: int, threshold: tuple[int, int]) -> DataFra
 
 
 def _all_pairs(apart: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """All pairs of different components that meet often enough.
+    """All pairs of different components that can have a first shingle in common."""
+    left, right = (apart.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "at", "component")]) for s in "ab")
+    may = _may_link(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), threshold)
+    return (
+        left.join(right, "h")
+        .where((F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b")) & may)
+        .select(F.col("doc_a").alias("a"), F.col("n_a").alias("na"), F.col("doc_b").alias("b"), F.col("n_b").alias("nb"))
+        .distinct()
+    )
+
+
+def _meeting_often(pairs: DataFrame, postings: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs whose prefixes, the first fragment to be counted, overlap enough.
 
     Shingles common to two sets lie in both prefixes or in the rest of one, so the
-    overlap is at most their meetings and the longer rest.
+    whole overlap is at most the meetings and the longer rest.
     """
     over, under = threshold
-    right = apart.select("h", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    left = apart.select("h", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    pairs = written(pairs, "candidates")
     rest = lambda n: F.ceil(over * n / under) - 1
-    size_fits = (under * F.least("na", "nb")) >= (over * F.greatest("na", "nb"))
     met = (
-        left.join(right, "h")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_fits)
+        pairs.join(postings.select(F.col("doc").alias("a"), "h"), "a")
+        .join(postings.select(F.col("doc").alias("b"), "h"), ["b", "h"])
         .groupBy("a", "na", "b", "nb")
         .agg(F.count("*").alias("times"))
     )
