@@ -10,10 +10,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.scratch import written
 
 
 def _at(folder: str) -> tuple[fs.FileSystem, str]:
@@ -98,3 +104,28 @@ def _copied(store: fs.FileSystem, name: str):
             local.write(block)
     local.flush()
     return local
+
+
+def key_table(keys: DataFrame, folder: str, bits: int) -> Table:
+    """The column ``key`` (long) as sorted arrays, for an exact semi join within a scan."""
+    store = Table(folder, bits, ())
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+        for batch in batches:
+            of = batch.column("shard").to_numpy()
+            values = batch.column("key").to_numpy()
+            for s in np.unique(of):
+                if s != shard and held:
+                    store.write(int(shard), np.unique(np.concatenate(held)))
+                    held = []
+                shard = s
+                held.append(values[of == s].view(np.uint64))
+        if held:
+            store.write(int(shard), np.unique(np.concatenate(held)))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], names=["done"])
+
+    shard = F.shiftrightunsigned("key", 64 - bits).cast("int")
+    dealt = keys.select("key", shard.alias("shard")).repartition(1 << bits, "shard").sortWithinPartitions("shard")
+    written(dealt.mapInArrow(write, "done int"), "keys")
+    return store

@@ -15,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm import sketches, textbytes
 from weftline.llm.graph import components
+from weftline.llm.mapped import Table, key_table
 from weftline.llm.registry import query
-from weftline.scratch import written
+from weftline.scratch import fresh_path, written
 from weftline.sources.tables import table
 
 SHINGLE = 5
@@ -52,7 +53,9 @@ def sliding(values: np.ndarray, width: int, reduce: np.ufunc, fill: int) -> np.n
     return reduce(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def compact_windows(values: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def compact_windows(
+    values: np.ndarray, bounds: np.ndarray, least: int, owner: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
     """Compact windows of ``least`` or more values: first, place of the smallest, and last.
 
     ``bounds`` says where each sequence begins (and the last ends). Of equal values the
@@ -63,7 +66,8 @@ def compact_windows(values: np.ndarray, bounds: np.ndarray, least: int) -> tuple
     if len(values) < least:
         return (np.zeros(0, np.int64),) * 3
     low = sliding(values, least, np.minimum, 2**64 - 1)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    if owner is None:
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     low[owner[: len(low)] != owner[least - 1 :]] = 0
     edge = np.zeros(least - 1, np.uint64)
     high = sliding(np.concatenate([edge, low, edge]), least, np.maximum, 0)
@@ -88,29 +92,25 @@ WINDOWS = "v long, f int, doc long, l int, c int, r int"
 _WINDOWS = pa.schema([("v", pa.int64()), ("f", pa.int32()), ("doc", pa.int64()), ("l", pa.int32()), ("c", pa.int32()), ("r", pa.int32())])
 
 
-def window_rows(documents: DataFrame, functions: int, least: int) -> DataFrame:
-    """All compact windows of all documents. A text met again in a task is passed over."""
+def window_rows(documents: DataFrame, copies: Table, functions: int, least: int) -> DataFrame:
+    """All compact windows of the documents whose ``key`` is not in ``copies``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
         for batch in batches:
-            fresh = []
-            for mark in batch.column("mark").to_pylist():
-                fresh.append(mark not in met)
-                met.add(mark)
-            batch = batch.filter(pa.array(fresh))
+            batch = batch.filter(pa.array(~copies.find(batch.column("key").to_numpy().view(np.uint64))[-2]))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, _, data, offsets in textbytes.pieces(batch.column("text")):
                 values, bounds = shingle_sequences(data, offsets)
+                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 for f in range(functions):
                     hashes = textbytes.mix(values ^ _SEEDS[f])
-                    l, c, r = compact_windows(hashes, bounds, least)  # noqa: E741
-                    doc = np.searchsorted(bounds, c, side="right") - 1
+                    l, c, r = compact_windows(hashes, bounds, least, owner)  # noqa: E741
+                    doc = owner[c]
                     base = bounds[doc]
                     columns = [hashes[c].view(np.int64), np.full(len(c), f), ids[first + doc], l - base, c - base, r - base]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, _WINDOWS)], schema=_WINDOWS)
 
-    return documents.mapInArrow(run, WINDOWS)
+    return documents.select("doc_id", "text", "key").mapInArrow(run, WINDOWS)
 
 
 def sequences(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -159,11 +159,13 @@ def agreeing_regions(m: dict[str, np.ndarray], enough: int) -> list[tuple[int, i
     order = np.argsort(m["c"], kind="stable")
     m = {k: v[order] for k, v in m.items()}
     for at in range(len(order)):
+        last = regions[-1] if regions else None
+        if last and last[0] <= m["l"][at] and m["r"][at] <= last[1] and last[2] <= m["l2"][at] and m["r2"][at] <= last[3]:
+            continue  # it could add nothing
         near = (m["l"] <= m["c"][at]) & (m["c"][at] <= m["r"]) & (m["l2"] <= m["c2"][at]) & (m["c2"][at] <= m["r2"])
         if len(np.unique(m["f"][near])) < enough:
             continue
         box = [int(m["l"][near].min()), int(m["r"][near].max()), int(m["l2"][near].min()), int(m["r2"][near].max())]
-        last = regions[-1] if regions else None
         if last and box[0] <= last[1] and box[2] <= last[3] and last[2] <= box[3]:
             regions[-1] = [min(last[0], box[0]), max(last[1], box[1]), min(last[2], box[2]), max(last[3], box[3])]
         else:
@@ -246,37 +248,33 @@ def near_duplicate_passages(
     least = least_words - SHINGLE + 1
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id IS NOT NULL")
-    marked = rows.withColumn("mark", F.unhex(F.md5(F.col("text").cast("binary"))))
+    marked = rows.withColumns({"mark": F.md5(F.col("text").cast("binary")), "key": F.xxhash64("doc_id", "text")})
     groups = written(
         marked.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last"),
         "equal-texts",
     )
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     same = written(
-        marked.select("doc_id", "mark", n_words.alias("n"))
+        marked.select("doc_id", "mark", "key", n_words.alias("n"))
         .join(groups.drop("last"), "mark")
         .where("doc_id <> rep")
-        .select("doc_id", "rep", "n")
+        .select("doc_id", "key", "rep", "n")
         .distinct(),
         "copies",
     )
-    line = Window.partitionBy("v", "f")
-    shared = (
-        window_rows(marked, functions, least)
-        .withColumns({"low": F.min("doc").over(line), "high": F.max("doc").over(line)})
-        .where("low < high")
-        .drop("low", "high")
-    )
-    copies = same.select(F.col("doc_id").alias("doc"), "rep")
     # A copy's windows are those of the first of its kind.
-    open_rows = written(
-        shared.join(copies, "doc", "left").withColumn("doc", F.coalesce("rep", "doc")).drop("rep").distinct(), "windows"
-    )
+    copies = key_table(same, fresh_path(rows.sparkSession, "copies"), 8)
+    line = Window.partitionBy("v", "f")
+
+    def led_by(windows: DataFrame, order: Column) -> DataFrame:
+        first = F.min(F.struct(order.alias("o"), F.col("doc"), F.col("l"), F.col("c"), F.col("r"))).over(line)
+        return windows.withColumns({"first": first, "high": F.max("doc").over(line)})
+
+    opened = led_by(window_rows(marked, copies, functions, least), F.col("doc"))
+    open_rows = written(opened.where("first.doc < high").drop("high"), "windows")
     found = None
     for k in range(ROUNDS):
-        order = F.col("doc") if k == 0 else F.xxhash64("doc", F.lit(k))
-        first = F.min(F.struct(order.alias("o"), F.col("doc"), F.col("l"), F.col("c"), F.col("r"))).over(line)
-        led = open_rows.withColumn("first", first).where("first.doc <> doc")
+        led = open_rows.where("first.doc <> doc")
         met = (
             led.groupBy("doc", F.col("first.doc").alias("leader"))
             .agg(
@@ -293,12 +291,14 @@ def near_duplicate_passages(
                 passages.select(F.col("leader").alias("doc"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))
             )
             boxes = settled.groupBy("doc").agg(F.collect_set(F.struct("a0", "a1")).alias("boxes"))
-            open_rows = written(
-                open_rows.join(boxes, "doc", "left")
-                .where(~F.coalesce(F.exists("boxes", lambda b: (b["a0"] <= F.col("c")) & (F.col("c") < b["a1"])), F.lit(False)))
-                .drop("boxes"),
-                "windows",
-            )
+            settled_here = F.exists("boxes", lambda b: (b["a0"] <= F.col("c")) & (F.col("c") < b["a1"]))
+            rest = (
+                open_rows.drop("first")
+                .join(boxes, "doc", "left")
+                .where(~F.coalesce(settled_here, F.lit(False)))
+                .drop("boxes")
+            )
+            open_rows = written(led_by(rest, F.xxhash64("doc", F.lit(k + 1))).drop("high"), "windows")
     passages = found.select(
         F.col("doc").alias("doc_id"), F.col("a0").alias("start"), (F.col("a1") + SHINGLE - 1).alias("stop"),
         F.col("leader").alias("match_id"), F.col("b0").alias("match_start"), (F.col("b1") + SHINGLE - 1).alias("match_stop"),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import textbytes
-from weftline.llm.mapped import Table
+from weftline.llm.mapped import Table, key_table
 from weftline.llm.passages import sliding
 from weftline.llm.registry import query
 from weftline.scratch import fresh_path, written
@@ -420,31 +420,6 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def _key_table(keys: DataFrame, folder: str, bits: int) -> Table:
-    """A one-column table of keys as sorted arrays."""
-    store = Table(folder, bits, ())
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-        for batch in batches:
-            of = batch.column("shard").to_numpy()
-            values = batch.column("key").to_numpy()
-            for s in np.unique(of):
-                if s != shard and held:
-                    store.write(int(shard), np.unique(np.concatenate(held)))
-                    held = []
-                shard = s
-                held.append(values[of == s].view(np.uint64))
-        if held:
-            store.write(int(shard), np.unique(np.concatenate(held)))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], names=["done"])
-
-    shard = F.shiftrightunsigned("key", 64 - bits).cast("int")
-    dealt = keys.select("key", shard.alias("shard")).repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    written(dealt.mapInArrow(write, "done int"), "keys")
-    return store
-
-
 def find_repeats(documents: DataFrame) -> Repeats:
     """The spans of each document to remove, stored in the shared folder."""
     spark = documents.sparkSession
@@ -459,7 +434,7 @@ def find_repeats(documents: DataFrame) -> Repeats:
     )
     firsts = marks.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
     again = marks.join(firsts, "mark").where("doc_id > rep").select("key")
-    copies = _key_table(again, f"{folder}/copies", bits)
+    copies = key_table(again, f"{folder}/copies", bits)
 
     def exchange(blocks: DataFrame) -> DataFrame:
         return blocks.repartition(1 << bits, "shard").sortWithinPartitions("shard")
