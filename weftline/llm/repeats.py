@@ -42,7 +42,8 @@ TUPLE = LENGTH - PERIOD + 1
 COVER = (1, 5, 11, 24, 25, 27)
 BEFORE = PERIOD - 1
 FLUSH_BYTES = 8 << 20
-GROUP_ROWS = 100_000
+GROUP_ROWS = 16_000
+STEP = 256 << 10
 
 _SAMPLED = np.zeros(PERIOD, bool)
 _SAMPLED[list(COVER)] = True
@@ -61,8 +62,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def string_hashes(data: np.ndarray, widths: tuple[int, ...]) -> list[np.ndarray]:
     """For each width the hashes of all strings of so many bytes, along the last axis.
 
-    Strings of a power of two come from two halves; other widths from such parts.
+    Strings of a power of two come from two halves; other widths from such parts. Long
+    data is worked through in overlapping steps, so the parts stay small.
     """
+    if data.ndim == 1 and len(data) > 2 * STEP:
+        over = max(widths) - 1
+        steps = [string_hashes(data[at : at + STEP + over], widths) for at in range(0, len(data), STEP)]
+        return [np.concatenate([s[k][:STEP] for s in steps]) for k in range(len(widths))]
     parts = {1: textbytes.LETTERS[data]}
     n, size = data.shape[-1], 1
     while size * 2 <= min(max(widths), n):
