@@ -41,7 +41,7 @@ TUPLE = LENGTH - PERIOD + 1
 # Every difference modulo 31 is one of two of these.
 COVER = (1, 5, 11, 24, 25, 27)
 BEFORE = PERIOD - 1
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 3 << 20
 GROUP_ROWS = 16_000
 STEP = 256 << 10
 
