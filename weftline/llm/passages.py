@@ -279,10 +279,8 @@ def near_duplicate_passages(
             led.groupBy("doc", F.col("first.doc").alias("leader"))
             .agg(
                 F.collect_list(F.struct("f", "l", "c", "r", F.col("first.l").alias("l2"), F.col("first.c").alias("c2"), F.col("first.r").alias("r2"))).alias("met"),
-                F.count_distinct("f").alias("functions"),
             )
-            .where(F.col("functions") >= enough)
-            .drop("functions")
+            .where(F.size(F.array_distinct("met.f")) >= enough)
         )
         passages = written(_verify(met, rows, least, enough, threshold), "passages")
         found = passages if found is None else found.unionByName(passages)
