@@ -187,7 +187,9 @@ def judge_documents(
         .agg(F.sum("words").alias("n_removed_words"))
         .withColumnRenamed("doc_id", "_id")
     )
-    facts = quality_facts(documents)
+    # Written, so that a filter on the verdict is not pushed into the counting, where it
+    # would cut the words of a text again for each of them.
+    facts = written(quality_facts(documents), "facts")
     judged = facts.join(removed, facts["doc_id"].eqNullSafe(removed["_id"]), "left").drop("_id")
     left = F.col("n_words") - F.coalesce("n_removed_words", F.lit(0))
     return judged.withColumns(
