@@ -130,26 +130,97 @@ def sequences(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.distinct(), "doc", "left_semi").dropDuplicates(["doc"])
 
 
-def dense_runs(hits: np.ndarray, least: int, cost: int) -> list[tuple[int, int]]:
-    """Disjoint runs of ``least`` or more places in which hits outweigh misses, a miss
-    costing ``cost`` hits; the heaviest run of each stretch is taken first."""
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(hits))]
-    while todo:
-        start, stop = todo.pop()
-        if stop - start < least:
-            continue
-        sums = np.concatenate([[0], np.cumsum(np.where(hits[start:stop], 1, -cost))])
-        lowest = np.minimum.accumulate(sums)
-        gain = sums - lowest
-        end = int(np.argmax(gain))
-        begin = int(np.flatnonzero(sums[: end + 1] == lowest[end])[-1])
-        if gain[end] < least // 4:
+def distinct_within(before: np.ndarray, counted: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """How many different counted values each run from a start to before a stop holds (a row
+    a start); ``before`` is the place of the same value before each place, or -1."""
+    out = np.zeros((len(starts), len(stops)), np.int32)
+    for k, start in enumerate(starts.tolist()):
+        sums = np.concatenate([[0], np.cumsum((before[start:] < start) & counted[start:])])
+        out[k] = np.where(stops > start, sums[np.maximum(stops - start, 0)], 0)
+    return out
+
+
+def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs equal in both begin, and where they end, in ``a``."""
+    order = np.argsort(b, kind="stable")
+    low, high = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
+    many = high - low
+    i = np.repeat(np.arange(len(a)), many)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + low[i]]
+    begins, ends = (i == 0) | (j == 0), (i == len(a) - 1) | (j == len(b) - 1)
+    begins[~begins] = a[i[~begins] - 1] != b[j[~begins] - 1]
+    ends[~ends] = a[i[~ends] + 1] != b[j[~ends] + 1]
+    return np.unique(i[begins]), np.unique(i[ends]) + 1
+
+
+def _before(values: np.ndarray) -> np.ndarray:
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1)
+    same = values[order[1:]] == values[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _widened(values: np.ndarray, start: int, stop: int, least: int) -> tuple[int, int]:
+    """The run widened to ``least`` places, where that adds the fewest different values."""
+    if stop - start >= least:
+        return start, stop
+    ways = range(max(0, stop - least), min(start, len(values) - least) + 1)
+    return min(((s, s + least) for s in ways), key=lambda w: len(np.unique(values[w[0] : w[1]])))
+
+
+def best_stretch(a: np.ndarray, b: np.ndarray, least: int, threshold: float) -> tuple[int, int, int, int, float] | None:
+    """Of all pairs of stretches of ``least`` or more places, one in each sequence, whose sets
+    have the similarity, one that shares the most values; None where there is no such pair.
+
+    A stretch pair that cuts a run equal in both grows no less similar with the rest of the
+    run, and one that begins or ends outside such runs grows no less similar without
+    that edge while it is longer than ``least``. So only beginnings and ends of runs are
+    tried, and shorter stretches of that kind with what they lack. Stretches
+    that their own values rule out are passed over, the others taken by how much they can share.
+    """
+    if min(len(a), len(b)) < least:
+        return None
+    hits, hits_b = np.isin(a, b), np.isin(b, a)
+    if not hits.any():
+        return None
+    (starts, stops), (starts_b, stops_b) = _runs(a, b), _runs(b, a)
+    before, before_b = _before(a), _before(b)
+    size = distinct_within(before, np.ones(len(a), bool), starts, stops)
+    size_b = distinct_within(before_b, np.ones(len(b), bool), starts_b, stops_b)
+    most = distinct_within(before, hits, starts, stops)
+    most_b = distinct_within(before_b, hits_b, starts_b, stops_b)
+    # Similar sets share (1 + t) / t of half their sizes together: one side's lack is the other's to make up.
+    weigh = lambda shared, n: (1 + threshold) / 2 * shared - threshold * n
+    lack, lack_b = weigh(most, size), weigh(most_b, size_b)
+    can = (most > 0) & (most >= threshold * size) & (lack + lack_b[most_b > 0].max() >= -1e-9)
+    tries = np.argwhere(can)
+    tries = tries[np.lexsort((size[can], -most[can]))]
+    best: tuple | None = None
+    for x, y in tries.tolist():
+        if best and most[x, y] <= best[0]:
+            break
+        start, stop = int(starts[x]), int(stops[y])
+        # A stretch with more than it lacks can only gain by the whole of the other side's runs.
+        fits = (most_b > (best[0] if best else 0)) & (lack_b + lack[x, y] >= -1e-9)
+        if not fits.any():
             continue
-        if end - begin >= least:
-            out.append((start + begin, start + end))
-        todo += [(start, start + begin), (start + end, stop)]
-    return sorted(out)
+        rows = np.flatnonzero(fits.any(axis=1))
+        shared = distinct_within(before_b, np.isin(b, a[start:stop]), starts_b[rows], stops_b)
+        near = shared >= threshold * (size[x, y] + size_b[rows] - shared) - 1e-9
+        near &= shared > (best[0] if best else 0)
+        found = np.argwhere(near)
+        order = np.lexsort((size_b[rows][near], -shared[near]))
+        for p, q in found[order].tolist():
+            mine = _widened(a, start, stop, least)
+            theirs = _widened(b, int(starts_b[rows[p]]), int(stops_b[q]), least)
+            one, other = np.unique(a[slice(*mine)]), np.unique(b[slice(*theirs)])
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            similar = both / (len(one) + len(other) - both)
+            if similar >= threshold:
+                best = (int(shared[p, q]), (*mine, *theirs, similar))
+                break
+    return best[1] if best else None
 
 
 def agreeing_regions(m: dict[str, np.ndarray], enough: int) -> list[tuple[int, int, int, int]]:
@@ -175,19 +246,18 @@ def agreeing_regions(m: dict[str, np.ndarray], enough: int) -> list[tuple[int, i
 
 def near_passages(a: np.ndarray, b: np.ndarray, matches: dict, *, least: int, enough: int, threshold: float) -> list[tuple]:
     """Verified passages: first and past-last shingle in ``a`` and in ``b``, and their
-    similarity. Sets of equal size with similarity s share 2s / (1 + s) of each."""
-    cost = int(round(2 * threshold / (1 - threshold)))
+    similarity. The stretches of a region that share the most come first, then what lies
+    beside them in either document."""
     found: dict[tuple, float] = {}
-    for la, ra, lb, rb in agreeing_regions(matches, enough):
-        part, other = a[la : ra + 1], b[lb : rb + 1]
-        for x, y in dense_runs(np.isin(part, other), least, cost):
-            back = np.isin(other, part[x:y])
-            for p, q in dense_runs(back, least, cost):
-                mine, theirs = np.unique(part[x:y]), np.unique(other[p:q])
-                both = len(np.intersect1d(mine, theirs, assume_unique=True))
-                similar = both / (len(mine) + len(theirs) - both)
-                if similar >= threshold:
-                    found[(la + x, la + y, lb + p, lb + q)] = similar
+    todo = [(la, ra + 1, lb, rb + 1) for la, ra, lb, rb in agreeing_regions(matches, enough)]
+    while todo:
+        la, ra, lb, rb = todo.pop()
+        best = best_stretch(a[la:ra], b[lb:rb], least, threshold)
+        if best is None:
+            continue
+        x, y, p, q = best[0] + la, best[1] + la, best[2] + lb, best[3] + lb
+        found[(x, y, p, q)] = best[4]
+        todo += [(la, x, lb, rb), (y, ra, lb, rb), (x, y, lb, p), (x, y, q, rb)]
     return [(*k, s) for k, s in sorted(found.items())]
 
 
