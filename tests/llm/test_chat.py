@@ -88,3 +88,17 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert got == {1: 2, None: 1, 2: 2}
     empty = chat.events_of(spark.createDataFrame([], schema))
     assert chat.read_back(chat.render_messages(chat.fold_events(empty))).count() == 0
+
+
+def test_repeated_rows_and_rows_without_a_turn_keep_their_texts(spark):
+    rows = [(1, 0, "user", "q")] + [(1, 1, "assistant", "abcd")] * 3 + [(1, 1, "assistant", "abXY"), (1, 2, "assistant", None)]
+    rows += [(2, None, "assistant", "zebra apple!"), (2, None, "assistant", "b a"), (2, 0, None, "x"), (None, None, "assistant", "zebra apple!")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.render_messages(chat.fold_events(chat.events_of(table)))).collect()}
+    for conv in {r[0] for r in rows}:
+        mine = sorted(((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv))
+        text = "".join(f"{r}\n{x}\n" for *_, r, x in mine)
+        learned = "".join(x for *_, r, x in mine if r == "assistant")
+        r = got[conv]
+        assert (r["n_turns"], r["turns_sha256"]) == (len(mine), hashlib.sha256(text.encode()).hexdigest())
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from weftline.llm.registry import query
+from weftline.operators.ordered import order_rows
+from weftline.scratch import written
 from weftline.sources.tables import table
 
 MESSAGE, DELTA, EDIT, REGENERATE = "message", "delta", "edit", "regenerate"
@@ -259,7 +261,11 @@ def read_back(rendered: DataFrame, template: Template = Template()) -> DataFrame
 
 def events_of(conversations: DataFrame) -> DataFrame:
     """A table of turns as an event log. Assistant texts come as a message with the
-    first half and a delta with the rest, as they are streamed; others whole."""
+    first half and a delta with the rest, as they are streamed; others whole.
+
+    Every row is a message of its own: messages are numbered within a conversation by
+    turn, role and text (nulls first), so rows that repeat a turn and rows without one
+    keep their texts. The numbers are written, and ``seq`` follows them."""
     text = F.coalesce("text", F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
     learned = F.col("role") == "assistant"
@@ -272,11 +278,13 @@ def events_of(conversations: DataFrame) -> DataFrame:
         event(MESSAGE, F.substring(text, 1, half)),
         event(DELTA, F.substring(text, half + 1, F.length(text))),
     )
-    return conversations.select(
-        "conv_id", "turn", "role", F.posexplode(F.when(learned, streamed).otherwise(whole)).alias("step", "e")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    numbered = order_rows(rows, keys=["conv_id"], order=["turn", "role", "text"]).with_row_number("message").result()
+    return written(numbered, "turns").select(
+        "conv_id", "message", "role", F.posexplode(F.when(learned, streamed).otherwise(whole)).alias("step", "e")
     ).select(
-        "conv_id", (F.col("turn") * 2 + F.col("step")).alias("seq"), F.col("e.kind").alias("kind"),
-        F.col("turn").alias("message"), "role", F.col("e.part").alias("text"),
+        "conv_id", (F.col("message") * 2 + F.col("step")).alias("seq"), F.col("e.kind").alias("kind"),
+        "message", "role", F.col("e.part").alias("text"),
     )
 
 
