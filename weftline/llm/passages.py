@@ -293,6 +293,41 @@ def _verify(pairs: DataFrame, documents: DataFrame, least: int, enough: int, thr
     return both.select("doc", "leader", "met", "a", "b").mapInArrow(run, PAIRS)
 
 
+def _meeting(windows: DataFrame, other: Column, enough: int) -> DataFrame:
+    """The pairs of documents whose windows and ``other`` agree under ``enough`` functions, the
+    larger id as ``doc``, with the windows of both as ``met``."""
+    mine, theirs = F.struct("l", "c", "r"), F.struct(*[other[n].alias(n) for n in ("l", "c", "r")])
+    larger = F.col("doc") > other["doc"]
+    one, two = F.when(larger, mine).otherwise(theirs), F.when(larger, theirs).otherwise(mine)
+    sides = windows.select("f", F.greatest("doc", other["doc"]).alias("doc"), F.least("doc", other["doc"]).alias("leader"), one.alias("a"), two.alias("b"))
+    window = F.struct("f", "a.l", "a.c", "a.r", F.col("b.l").alias("l2"), F.col("b.c").alias("c2"), F.col("b.r").alias("r2"))
+    met = sides.groupBy("doc", "leader").agg(F.collect_list(window).alias("met"))
+    return met.where(F.size(F.array_distinct("met.f")) >= enough)
+
+
+def _settled(windows: DataFrame, passages: DataFrame) -> DataFrame:
+    """Adds ``settled``: whether a window's smallest place lies in a passage that is matched
+    with one of a smaller document. The places of that other one stay open."""
+    boxes = passages.groupBy("doc").agg(F.collect_set(F.struct("a0", "a1")).alias("boxes"))
+    here = F.exists("boxes", lambda b: (b["a0"] <= F.col("c")) & (F.col("c") < b["a1"]))
+    return windows.join(boxes, "doc", "left").withColumn("settled", F.coalesce(here, F.lit(False))).drop("boxes")
+
+
+def _left_over(windows: DataFrame, passages: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of windows with one hash that no passage settles: the larger document's is
+    open, or the documents are in different components. ``other`` is the smaller's."""
+    line = Window.partitionBy("v", "f")
+    marked = _settled(windows, passages).join(labels.withColumnRenamed("id", "doc"), "doc", "left")
+    marked = marked.withColumn("component", F.coalesce("component", "doc"))
+    work = (F.min("component").over(line) < F.max("component").over(line)) | (
+        F.max(F.when(~F.col("settled"), F.col("doc"))).over(line) > F.min("doc").over(line)
+    )
+    rest = written(marked.withColumn("work", work).where("work").drop("work"), "rest")
+    other = F.struct("doc", "l", "c", "r", "component").alias("other")
+    pairs = rest.join(rest.select("v", "f", other), ["v", "f"])
+    return pairs.where("doc > other.doc AND (NOT settled OR component <> other.component)")
+
+
 def near_duplicate_passages(
     documents: DataFrame,
     *,
@@ -306,9 +341,10 @@ def near_duplicate_passages(
     match_start, match_stop, similarity`` (Jaccard, of distinct shingles) and
     ``class_id``, the smallest id of all documents that such passages link.
 
-    Passages are matched with the one of the smallest id that shares their hash (then,
-    where that fails, with another), so a passage of many documents gives a row for each,
-    not for each pair. Documents equal as a whole give one row to the smallest id.
+    Passages are matched with the one of the smallest id that shares their hash (then with
+    another), so a passage of many documents gives a row for each, not for each pair.
+    What stays unmatched, or in different classes, then meets pair by pair: no pair of
+    documents that agrees under enough functions is left out for its leader's sake. Documents equal as a whole give one row to the smallest id.
     Recall is that of ``functions`` min-hashes of which ``enough`` must agree: an
     identical passage is always found, one of just ``threshold`` in 96 of 100.
 
@@ -341,32 +377,19 @@ def near_duplicate_passages(
         return windows.withColumns({"first": first, "high": F.max("doc").over(line)})
 
     opened = led_by(window_rows(marked, copies, functions, least), F.col("doc"))
-    open_rows = written(opened.where("first.doc < high").drop("high"), "windows")
-    found = None
+    all_rows = written(opened.where("first.doc < high").drop("high"), "windows")
+    open_rows, found = all_rows, None
     for k in range(ROUNDS):
         led = open_rows.where("first.doc <> doc")
-        met = (
-            led.groupBy("doc", F.col("first.doc").alias("leader"))
-            .agg(
-                F.collect_list(F.struct("f", "l", "c", "r", F.col("first.l").alias("l2"), F.col("first.c").alias("c2"), F.col("first.r").alias("r2"))).alias("met"),
-            )
-            .where(F.size(F.array_distinct("met.f")) >= enough)
-        )
-        passages = written(_verify(met, rows, least, enough, threshold), "passages")
+        passages = written(_verify(_meeting(led, F.col("first"), enough), rows, least, enough, threshold), "passages")
         found = passages if found is None else found.unionByName(passages)
         if k < ROUNDS - 1:
-            settled = passages.select("doc", "a0", "a1").unionByName(
-                passages.select(F.col("leader").alias("doc"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))
-            )
-            boxes = settled.groupBy("doc").agg(F.collect_set(F.struct("a0", "a1")).alias("boxes"))
-            settled_here = F.exists("boxes", lambda b: (b["a0"] <= F.col("c")) & (F.col("c") < b["a1"]))
-            rest = (
-                open_rows.drop("first")
-                .join(boxes, "doc", "left")
-                .where(~F.coalesce(settled_here, F.lit(False)))
-                .drop("boxes")
-            )
-            open_rows = written(led_by(rest, F.xxhash64("doc", F.lit(k + 1))).drop("high"), "windows")
+            rest = _settled(all_rows, found).where("NOT settled").drop("settled", "first")
+            open_rows = written(led_by(rest, F.xxhash64("doc", F.lit(k + 1))).where("first.doc <> doc").drop("high"), "windows")
+    links = found.select(F.col("doc").alias("a"), F.col("leader").alias("b")).unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    left = _left_over(all_rows.drop("first"), found, components(links))
+    passages = written(_verify(_meeting(left, F.col("other"), enough), rows, least, enough, threshold), "passages")
+    found = found.unionByName(passages)
     passages = found.select(
         F.col("doc").alias("doc_id"), F.col("a0").alias("start"), (F.col("a1") + SHINGLE - 1).alias("stop"),
         F.col("leader").alias("match_id"), F.col("b0").alias("match_start"), (F.col("b1") + SHINGLE - 1).alias("match_stop"),
