@@ -195,7 +195,15 @@ def best_stretch(a: np.ndarray, b: np.ndarray, least: int, threshold: float) ->
     lack, lack_b = weigh(most, size), weigh(most_b, size_b)
     can = (most > 0) & (most >= threshold * size) & (lack + lack_b[most_b > 0].max() >= -1e-9)
     tries = np.argwhere(can)
-    tries = tries[np.lexsort((size[can], -most[can]))]
+    # Of those that share as much, the least different values, then the longest: repeats stay together.
+    tries = tries[np.lexsort((starts[tries[:, 0]] - stops[tries[:, 1]], size[can], -most[can]))]
+    # By places: what a stretch of b can gain at most, no value that repeats counting as lacking.
+    values, place, many = np.unique(b, return_inverse=True, return_counts=True)
+    lacking = np.where(many[place] == 1, -threshold, 0.0)
+    values_a, first, many_a = np.unique(a, return_index=True, return_counts=True)
+    at = np.minimum(np.searchsorted(values_a, b), len(values_a) - 1)
+    at = np.where(values_a[at] == b, first[at], -1)
+    once = not (many_a[np.isin(values_a, b)] > 1).any()
     best: tuple | None = None
     for x, y in tries.tolist():
         if best and most[x, y] <= best[0]:
@@ -205,12 +213,16 @@ def best_stretch(a: np.ndarray, b: np.ndarray, least: int, threshold: float) ->
         fits = (most_b > (best[0] if best else 0)) & (lack_b + lack[x, y] >= -1e-9)
         if not fits.any():
             continue
+        met = (at >= start) & (at < stop) if once else np.isin(b, a[start:stop])
+        sums = np.concatenate([[0.0], np.cumsum(np.where(met, 1.0, lacking))])
+        if (sums - np.minimum.accumulate(sums)).max() < threshold * size[x, y] - 1e-6:
+            continue
         rows = np.flatnonzero(fits.any(axis=1))
-        shared = distinct_within(before_b, np.isin(b, a[start:stop]), starts_b[rows], stops_b)
+        shared = distinct_within(before_b, met, starts_b[rows], stops_b)
         near = shared >= threshold * (size[x, y] + size_b[rows] - shared) - 1e-9
         near &= shared > (best[0] if best else 0)
         found = np.argwhere(near)
-        order = np.lexsort((size_b[rows][near], -shared[near]))
+        order = np.lexsort((starts_b[rows[found[:, 0]]] - stops_b[found[:, 1]], size_b[rows][near], -shared[near]))
         for p, q in found[order].tolist():
             mine = _widened(a, start, stop, least)
             theirs = _widened(b, int(starts_b[rows[p]]), int(stops_b[q]), least)
