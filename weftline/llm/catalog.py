@@ -9,6 +9,7 @@ from weftline.llm import (  # noqa: F401
     packing,
     passages,
     quality,
+    repair,
     repeats,
     secrets,
     sharding,
