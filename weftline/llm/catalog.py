@@ -3,6 +3,7 @@
 from weftline.llm import (  # noqa: F401
     chat,
     contamination,
+    extract,
     infill,
     jaccard,
     kneser_ney,
