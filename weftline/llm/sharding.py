@@ -18,16 +18,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.registry import query
+from weftline.operators.ordered import order_rows
 from weftline.scratch import written
 from weftline.sources.tables import table
 
 ORDER = ("_curve", "_group", "_id")
 
 
-def order_preserving_number(text: Column) -> Column:
-    """The first seven UTF-8 bytes of a string as a number; sorts as the bytes do."""
-    digits = F.rpad(F.substring(F.hex(text), 1, 14), 14, "0")
-    return F.conv(digits, 16, 10).cast("long")
+def string_edges(values: DataFrame, cells: int) -> list[str]:
+    """At most ``cells - 1`` values that cut the rows of a one-column table of strings into
+    cells of about equal size, by whole strings: a cell ends with its edge.
+
+    Distinct values are counted and put in order; those edges alone come to the driver.
+    """
+    name = values.columns[0]
+    counts = values.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n"))
+    counts = written(counts, "values")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    running = order_rows(counts, keys=[], order=[name]).with_running(_upto=("sum", "_n")).result()
+    # The last value in each cell of the running count.
+    ends = F.floor(F.col("_upto") * cells / F.lit(max(total, 1))) > F.floor((F.col("_upto") - F.col("_n")) * cells / F.lit(max(total, 1)))
+    return sorted(r[0] for r in running.where(ends & (F.col("_upto") < total)).select(name).collect())
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -71,14 +82,15 @@ def hilbert_shards(
     row_id: Column,
     group: Column,
     bits: int = 5,
-    group_share: float = 0.005,
+    group_share: float = 0.05,
 ) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (long, from 0 in each shard) to all rows.
 
     Shards are runs along the curve of near-equal total ``size``: a row goes where
     its midpoint falls. Rows of one ``group`` lie side by side and stay in one shard
     while the group is below ``group_share`` of a shard; larger groups are cut like
-    any other run. ``dimensions`` are numeric columns; nulls take the lowest cell.
+    any other run. A small group lies where its member of the smallest id would.
+    ``dimensions`` are numeric or string columns; nulls take the lowest cell.
 
     Ties in curve, group and id are broken by nothing visible: such rows are equal
     in all that the result shows but for columns outside ``dimensions``. Repeated
@@ -89,30 +101,48 @@ def hilbert_shards(
     over tasks, and written once; running sums need one total a partition.
     """
     spark = rows.sparkSession
-    names = list(dimensions)
-    inner = {f"_d{i}": dimensions[n].cast("double") for i, n in enumerate(names)}
-    placed = rows.drop("shard", "slot").withColumns(
+    inner = {f"_d{i}": column for i, column in enumerate(dimensions.values())}
+    placed = rows.drop("shard", "slot", "curve").withColumns(
         {**inner, "_size": size.cast("long"), "_id": row_id, "_group": group}
     )
+    # Strings become the number of edges below them: 2 ** bits - 1 numbers or strings a
+    # dimension, whatever the size of the table.
+    texts = {c: string_edges(placed.select(c), 2**bits) for c, kind in placed.select(*inner).dtypes if kind == "string"}
+    numbers = [c for c in inner if c not in texts]
+    placed = placed.withColumns({c: F.col(c).cast("double") for c in numbers})
     cuts = placed.agg(
-        *[
-            F.percentile_approx(c, [k / 2**bits for k in range(1, 2**bits)], 1000).alias(c)
-            for c in inner
-        ]
+        F.lit(0).alias("_none"), *[F.percentile_approx(c, [k / 2**bits for k in range(1, 2**bits)], 1000).alias(c) for c in numbers]
     ).first()
-    # 2 ** bits - 1 numbers a dimension, whatever the size of the table.
-    edges = [sorted(set(cuts[c] or [])) for c in inner]
+    edges = {c: sorted(set(cuts[c] or [])) for c in numbers}
+    names = tuple(inner)
+
+    def cell(c: str) -> Column:
+        if c in edges:
+            return F.col(c)
+        below = F.filter(F.array(*map(F.lit, texts[c])).cast("array<string>"), lambda edge: edge < F.col(c))
+        return F.coalesce(F.size(below), F.lit(0)).cast("double")
 
     @F.pandas_udf("long")
     def curve(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for parts in columns:
+            values = (p.to_numpy(dtype="float64", na_value=np.nan) for p in parts)
             cells = [
-                np.where(np.isnan(v), 0, np.searchsorted(np.array(e), v, side="left"))
-                for e, v in zip(edges, (p.to_numpy(dtype="float64", na_value=np.nan) for p in parts))
+                np.where(np.isnan(v), 0, np.searchsorted(np.array(edges[c]), v, side="left") if c in edges else v).astype(np.int64)
+                for c, v in zip(names, values)
             ]
             yield pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
 
-    placed = placed.withColumn("_curve", curve(*inner)).drop(*inner)
+    placed = placed.withColumn("_curve", curve(*map(cell, inner))).drop(*inner)
+    placed = written(placed, "placed")
+    # Equal rows belong together wherever their other columns would put them.
+    groups = placed.groupBy("_group").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_curve")).alias("_first"), F.count("*").alias("_many")
+    )
+    lead = written(
+        groups.where("_many > 1").select(F.col("_group").alias("_of"), F.col("_first._curve").alias("_at")), "groups"
+    )
+    placed = placed.join(lead, placed["_group"].eqNullSafe(lead["_of"]), "left")
+    placed = placed.withColumn("_curve", F.coalesce("_at", "_curve")).drop("_of", "_at")
     ordered = placed.repartitionByRange(*ORDER).withColumn("_part", F.spark_partition_id())
     ordered = written(ordered, "hilbert")
 
@@ -165,8 +195,8 @@ def op9_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        order_preserving_number(F.col("lang")).alias("_lang"),
-        order_preserving_number(F.col("source")).alias("_source"),
+        F.col("lang").alias("_lang"),
+        F.col("source").alias("_source"),
         F.xxhash64(text).alias("_text"),
     )
     placed = hilbert_shards(
