@@ -59,6 +59,22 @@ def test_lines_above_the_limit_go_but_for_the_first(documents):
     assert texts[0] == rows[0][1] and texts[3] == rows[3][1].replace(banner.upper() + "\n", "")
 
 
+def test_repeated_rows_are_one_document_and_judged_apart(documents):
+    rng = random.Random(2)
+    line = "Subscribe to our letter, now!"
+    # One document of many rows and one other hold the line: two documents.
+    rows = [(1, line + "\n" + body(rng), "h")] * 25 + [(2, line + "\n" + body(rng), "h"), (3, body(rng), "h")]
+    got = quality.judge_documents(documents(rows))
+    assert got.where("n_removed_words > 0").count() == 0 and got.count() == len(rows)
+    # Nine documents hold it; of one id one row is nothing else, one does not have it.
+    good = body(rng)
+    rows = [(k, body(rng) + "\n" + line, "h") for k in range(8)] + [(9, line, "h"), (9, good, "h"), (9, good + "\n" + line, "h"), (9, good + "\n" + line, "h"), (None, good, "h"), (None, good + "\n" + line, "h")]
+    got = sorted((r["n_words"], r["n_removed_words"], r["kept"]) for r in quality.judge_documents(documents(rows), min_documents=5).where("doc_id = 9 OR doc_id IS NULL").collect())
+    assert got == [(5, 5, False), (80, 0, True), (80, 0, True), (85, 5, True), (85, 5, True), (85, 5, True)]
+    kept = quality.keep_good_documents(documents(rows), min_documents=5).where("doc_id = 9 OR doc_id IS NULL").collect()
+    assert [r["text"] for r in kept] == [good] * 5
+
+
 def test_empty_table(documents):
     assert quality.judge_documents(documents([])).count() == 0
     assert quality.keep_good_documents(documents([])).count() == 0

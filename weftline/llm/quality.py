@@ -96,61 +96,92 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
     return F.when(starts > 1, found).otherwise(F.lit(0))
 
 
+def row_mark(host: Column, text: Column) -> Column:
+    """Tells apart the rows of one id; rows equal in host and text are judged alike."""
+    return F.xxhash64(F.coalesce(host, F.lit("")), F.coalesce(text, F.lit("")))
+
+
+def repeated_ids(documents: DataFrame) -> DataFrame:
+    """``_again, repeated``: the ids that more than one row has, written; mostly none."""
+    ids = documents.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    return written(ids.select(F.col("doc_id").alias("_again"), F.lit(True).alias("repeated")), "repeated-ids")
+
+
+def count_documents(rows: DataFrame, keys: list[str], **smallest: str) -> DataFrame:
+    """Distinct ids (null is one) per ``keys`` as ``n``, and the smallest value of columns.
+
+    A row is a document where its id is its own, so counts are reduced in every task. Only
+    rows of repeated ids (``repeated``, where there is such a column) are made distinct first.
+    """
+    least = [F.min(column).alias(name) for name, column in smallest.items()]
+    if "repeated" not in rows.columns:
+        return rows.groupBy(*keys).agg(F.count("*").alias("n"), *least)
+    own = F.when(F.col("repeated"), F.struct("doc_id"))
+    apart = rows.groupBy(*keys, own.alias("own")).agg(F.count("*").alias("n"), *least)
+    documents = F.sum(F.when(F.col("own").isNull(), F.col("n")).otherwise(1)).alias("n")
+    return apart.groupBy(*keys).agg(documents, *[F.min(name).alias(name) for name in smallest])
+
+
 def limited_lines(
     documents: DataFrame, *, host: str = "source", min_documents: int = 20, share: float = 0.002
 ) -> DataFrame:
     """Lines held by more documents of a host than the limit allows.
 
     The limit is ``min_documents`` or ``share`` of the host's documents, whichever is
-    more. Returns ``line`` (the key) and ``first_doc``, the smallest id that holds it.
-    Written once, so that joins with it are planned by its true size.
+    more. Documents are ids: rows that repeat one count once. Returns ``line`` (the key)
+    and ``first_doc``, the smallest id that holds it. Written once, so that joins with it
+    are planned by its true size.
     """
-    rows = documents.select(F.col("doc_id"), F.col(host).alias("host"), F.col("text"))
-    host_key = F.xxhash64(F.coalesce("host", F.lit("")))
-    hosts = rows.groupBy(host_key.alias("host_key")).agg(
-        F.greatest(F.lit(min_documents), F.ceil(F.count("*") * F.lit(share))).alias("limit")
-    )
-    lines = rows.select(
-        "doc_id",
-        host_key.alias("host_key"),
-        F.explode(F.array_distinct(F.filter(plain_lines(F.col("text")), lambda line: F.length(line) > 0))).alias("plain"),
-    ).select("doc_id", "host_key", F.xxhash64("host_key", "plain").alias("line"))
-    counted = (
-        lines.groupBy("line")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min("host_key").alias("host_key"))
-        .where(F.col("n") > min_documents)
+    host_key = F.xxhash64(F.coalesce(F.col(host), F.lit("")))
+    rows = documents.select("doc_id", host_key.alias("host_key"), "text")
+    again = repeated_ids(documents)
+    marks = ["doc_id", "host_key"]
+    if not again.isEmpty():
+        rows = rows.join(again, rows["doc_id"].eqNullSafe(again["_again"]), "left").drop("_again")
+        marks.append("repeated")
+    hosts = count_documents(rows.drop("text"), ["host_key"]).select(
+        "host_key", F.greatest(F.lit(min_documents), F.ceil(F.col("n") * F.lit(share))).alias("limit")
     )
+    held = F.array_distinct(F.filter(plain_lines(F.col("text")), lambda line: F.length(line) > 0))
+    lines = rows.select(*marks, F.explode(held).alias("plain"))
+    lines = lines.select(*marks, F.xxhash64("host_key", "plain").alias("line"))
+    counted = count_documents(lines, ["line"], first_doc="doc_id", host_key="host_key")
+    counted = counted.where(F.col("n") > min_documents)
     over = counted.join(hosts, "host_key").where(F.col("n") > F.col("limit"))
     return written(over.select("line", "first_doc"), "lines")
 
 
 def removed_lines(documents: DataFrame, limited: DataFrame, *, host: str = "source") -> DataFrame:
-    """One row for each line that goes: ``doc_id, line, words``. The document with the
-    smallest id keeps the line, so that no content leaves the host altogether."""
+    """One row for each line that goes: ``doc_id, mark, place, line, words``. The document
+    with the smallest id keeps the line, so that no content leaves the host altogether."""
     pairs = F.zip_with(
         F.split(F.coalesce("text", F.lit("")), "\n"),
         plain_lines(F.col("text")),
         lambda line, plain: F.struct(line.alias("text"), plain.alias("plain")),
     )
+    mark = row_mark(F.col(host), F.col("text"))
     lines = (
-        documents.select("doc_id", F.col(host).alias("host"), F.explode(pairs).alias("l"))
+        documents.select("doc_id", mark.alias("mark"), F.col(host).alias("host"), F.posexplode(pairs).alias("place", "l"))
         .where(F.length("l.plain") > 0)
         .select(
-            "doc_id",
+            "doc_id", "mark", "place",
             line_key(F.col("host"), F.col("l.plain")).alias("line"),
             F.regexp_count("l.text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
         )
-    )
+    )
     return lines.join(limited, "line").where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).drop("first_doc")
 
 
-def quality_facts(documents: DataFrame) -> DataFrame:
-    """Word and line counts of every text with the verdict that they allow by themselves."""
+def quality_facts(documents: DataFrame, *, host: str = "source") -> DataFrame:
+    """Word and line counts of every text with the verdict that they allow by themselves,
+    and the row's ``mark``."""
     text = F.coalesce("text", F.lit(""))
-    words = documents.select("doc_id", text.alias("text"), words_of(text).alias("words"))
+    mark = row_mark(F.col(host), F.col("text"))
+    words = documents.select("doc_id", mark.alias("mark"), text.alias("text"), words_of(text).alias("words"))
     lines = lines_of(F.col("text"))
     return words.select(
         "doc_id",
+        "mark",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -170,27 +201,29 @@ def judge_documents(
     min_left: float = 0.5,
     limited: DataFrame | None = None,
 ) -> DataFrame:
-    """One row a document: the facts, ``n_removed_words`` and ``kept``.
+    """One row a row: the facts, ``mark``, ``n_removed_words`` and ``kept``.
 
     A document is kept unless its base rules fail or removing lines above the limit
     leaves less than ``min_left`` of its words. Null and empty texts have no words and
-    fail. Rows that repeat an id are judged each by its own text, with the lines
-    removed from either counted for both. A null host is a host of its own. No rows
+    fail. Rows that repeat an id are judged each by its own host and text, and count as one
+    document towards the limits. A null host is a host of its own, a null id an id. No rows
     in, no rows out; other columns of the input are not read. ``limited`` may hand over
     the lines above the limit where they are known.
     """
     if limited is None:
         limited = limited_lines(documents, host=host, min_documents=min_documents, share=share)
+    # Rows equal in id, host and text lose the same lines; each line is counted once for them.
+    lost = removed_lines(documents, limited, host=host).groupBy("doc_id", "mark", "place").agg(F.first("words").alias("words"))
     removed = (
-        removed_lines(documents, limited, host=host)
-        .groupBy("doc_id")
+        lost.groupBy("doc_id", "mark")
         .agg(F.sum("words").alias("n_removed_words"))
-        .withColumnRenamed("doc_id", "_id")
+        .withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
     )
     # Written, so that a filter on the verdict is not pushed into the counting, where it
     # would cut the words of a text again for each of them.
-    facts = written(quality_facts(documents), "facts")
-    judged = facts.join(removed, facts["doc_id"].eqNullSafe(removed["_id"]), "left").drop("_id")
+    facts = written(quality_facts(documents, host=host), "facts")
+    same_row = facts["doc_id"].eqNullSafe(removed["_id"]) & (facts["mark"] == removed["_mark"])
+    judged = facts.join(removed, same_row, "left").drop("_id", "_mark")
     left = F.col("n_words") - F.coalesce("n_removed_words", F.lit(0))
     return judged.withColumns(
         {
@@ -204,16 +237,17 @@ def keep_good_documents(
     documents: DataFrame, *, host: str = "source", min_documents: int = 20, share: float = 0.002, min_left: float = 0.5
 ) -> DataFrame:
     """The kept documents, all columns, with the lines above the limit cut from their
-    texts and ``n_chars``, if there is such a column, brought up to date. Of rows that
-    repeat an id all are kept if one is."""
+    texts and ``n_chars``, if there is such a column, brought up to date. Every row goes or
+    stays by its own verdict, whatever others have its id."""
     limited = limited_lines(documents, host=host, min_documents=min_documents, share=share)
     verdicts = judge_documents(documents, host=host, min_left=min_left, limited=limited)
-    cut = removed_lines(documents, limited, host=host).groupBy("doc_id").agg(F.collect_set("line").alias("_cut"))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id")).distinct().join(
-        cut.withColumnRenamed("doc_id", "_of"), F.col("_id").eqNullSafe(F.col("_of")), "left"
-    ).drop("_of")
-    kept = written(kept, "kept")
-    rows = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]))
+    cut = removed_lines(documents, limited, host=host).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("_cut"))
+    cut = cut.withColumnsRenamed({"doc_id": "_of", "mark": "_of_mark"})
+    stay = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    kept = stay.join(cut, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_mark") == F.col("_of_mark")), "left")
+    kept = written(kept.drop("_of", "_of_mark"), "kept")
+    mark = row_mark(documents[host], documents["text"])
+    rows = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]) & (mark == kept["_mark"]))
     pairs = F.zip_with(
         F.split("text", "\n"),
         plain_lines(F.col("text")),
@@ -279,4 +313,4 @@ FROM facts
 @query(OP6_SQL)
 def op6_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its counts and verdict; the source is the host."""
-    return judge_documents(table(spark, folder, "documents"))
+    return judge_documents(table(spark, folder, "documents")).drop("mark")
