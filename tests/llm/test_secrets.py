@@ -61,3 +61,22 @@ def test_no_candidates(documents):
     assert secrets.scan_secrets(documents([(1, "plain words")])).count() == 0
     assert secrets.scan_secrets(documents([])).count() == 0
     assert secrets.mask_secrets(documents([(1, "plain words")])).first()["text"] == "plain words"
+
+
+def test_coverage_reads_the_whole_candidate():
+    words = frozenset(secrets._hash([b"password", b"secret"]))
+
+    def plain(candidate):
+        at = total = 0
+        while at < len(candidate):
+            end = next((e for e in range(min(len(candidate), at + 12), at + 2, -1) if candidate[at:e].lower() in ("password", "secret")), at)
+            total, at = total + end - at, max(end, at + 1)
+        return total / len(candidate)
+
+    long = "x" * 512 + "password" * 64
+    assert secrets.covered(long, words) == 0.5
+    rng = random.Random(3)
+    for _ in range(20):
+        made = "".join(rng.choice(["password", "Secret", "x", "pass", "9"]) for _ in range(rng.randrange(1, 400)))
+        assert secrets.covered(made, words) == plain(made)
+    assert secrets.covered("", words) == 0.0

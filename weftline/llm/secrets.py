@@ -37,6 +37,8 @@ PATTERNS = (
 _SCAN = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS))
 CONTEXT = 48
 BUCKETS = 16
+BLOCK = 512
+SHORTEST, LONGEST = 3, 12  # bytes of a dictionary word within a candidate
 CLASSES = 38  # a-z, 0-9, upper case and others
 
 _CLASS = np.full(256, 37, np.int64)
@@ -89,21 +91,23 @@ def _hash(words: list[bytes]) -> list[int]:
 def covered(candidate: str, dictionary: frozenset[int]) -> float:
     """The share of a candidate's characters that lie in dictionary words of 3 to 12
     letters, the longest taken first from the left."""
-    letters = candidate[:512].lower().encode()
-    spans = [(s, e) for s in range(len(letters)) for e in range(min(len(letters), s + 12), s + 2, -1)]
-    if not spans:
-        return 0.0
-    known = iter(h in dictionary for h in _hash([letters[s:e] for s, e in spans]))
+    letters = candidate.lower().encode()
     found: dict[int, int] = {}
-    for (s, e), hit in zip(spans, known):
-        if hit and s not in found:
-            found[s] = e
+    # Words begin in a block of bytes and may end beyond it.
+    for block in range(0, len(letters), BLOCK):
+        starts = range(block, min(block + BLOCK, len(letters)))
+        spans = [(s, e) for s in starts for e in range(min(len(letters), s + LONGEST), s + SHORTEST - 1, -1)]
+        if not spans:
+            continue
+        for (s, e), h in zip(spans, _hash([letters[s:e] for s, e in spans])):
+            if h in dictionary and s not in found:
+                found[s] = e
     at = total = 0
     while at < len(letters):
         end = found.get(at, at)
         total += end - at
         at = max(end, at + 1)
-    return total / len(letters)
+    return total / len(letters) if letters else 0.0
 
 
 def features(candidate: str, path: str, before: str, after: str, knowledge: Knowledge) -> list[float]:
