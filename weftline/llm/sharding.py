@@ -125,6 +125,7 @@ def hilbert_shards(
     @F.pandas_udf("long")
     def curve(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for parts in columns:
+            parts = parts if isinstance(parts, tuple) else (parts,)  # one dimension comes bare
             values = (p.to_numpy(dtype="float64", na_value=np.nan) for p in parts)
             cells = [
                 np.where(np.isnan(v), 0, np.searchsorted(np.array(edges[c]), v, side="left") if c in edges else v).astype(np.int64)
