@@ -25,15 +25,19 @@ RUNTIME_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Python sees batches bounded by bytes, so long texts do not make them large.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     # Stream-stream joins keep their state in one store per partition, not four.
     "spark.sql.streaming.join.stateFormatVersion": "3",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session, where it has none of its own."""
+    given = spark.conf.getAll
     for name, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(name, value)
+        if name not in given:
+            spark.conf.set(name, value)
     return spark
 
 
