@@ -13,31 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm import contamination, jaccard, packing, quality, secrets
 from weftline.plans.registry import Query
 from weftline.scratch import written
+from weftline.session import tune
 from weftline.sources.tables import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that many documents of a source share; depleted and poor documents go."""
+    tune(spark)
     return quality.keep_good_documents(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of the smallest id."""
+    tune(spark)
     return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of the benchmark go; spans of it in others are cut."""
+    tune(spark)
     return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked."""
+    tune(spark)
     return secrets.mask_secrets(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in bins of bounded length: a row a piece."""
+    tune(spark)
     return packing.pack_documents(docs)
 
 
