@@ -11,6 +11,7 @@ passages are compared shingle by shingle.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,6 +141,19 @@ def distinct_within(before: np.ndarray, counted: np.ndarray, starts: np.ndarray,
     return out
 
 
+def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sequences with their values as small numbers, so that sets of them are arrays."""
+    _, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return codes[: len(a)], codes[len(a) :]
+
+
+def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each coded value is one of the others."""
+    marks = np.zeros(int(max(values.max(initial=0), others.max(initial=0))) + 1, bool)
+    marks[others] = True
+    return marks[values]
+
+
 def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs equal in both begin, and where they end, in ``a``."""
     order = np.argsort(b, kind="stable")
@@ -161,78 +175,252 @@ def _before(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _widened(values: np.ndarray, start: int, stop: int, least: int) -> tuple[int, int]:
+def _widened(before: np.ndarray, start: int, stop: int, least: int) -> tuple[int, int]:
     """The run widened to ``least`` places, where that adds the fewest different values."""
     if stop - start >= least:
         return start, stop
-    ways = range(max(0, stop - least), min(start, len(values) - least) + 1)
-    return min(((s, s + least) for s in ways), key=lambda w: len(np.unique(values[w[0] : w[1]])))
+    first, last = max(0, stop - least), min(start, len(before) - least)
+    ways = np.lib.stride_tricks.sliding_window_view(before[first : last + least], least)
+    first += int((ways < np.arange(first, last + 1)[:, None]).sum(axis=1).argmin())
+    return first, first + least
+
+
+def _weighed(values: np.ndarray, hits: np.ndarray, gain: float, loss: float) -> np.ndarray:
+    """Sums of ``gain`` for each hit and ``loss`` for each other value that stands once. A hit
+    counts each time and a repeated other value not at all, so the sum over a stretch is at
+    least what its different values would give."""
+    weights = np.where(hits, gain, -loss)
+    if not hits.all():
+        weights[~hits & (np.bincount(values)[values] > 1)] = 0.0
+    return np.concatenate([[0.0], np.cumsum(weights)])
+
+
+def _first_starts(sums: np.ndarray, stops: np.ndarray, floor: float) -> np.ndarray:
+    """For each end the first start from which the sum is not below ``floor``, near enough for
+    rounding; past the end where none is."""
+    return np.searchsorted(-np.minimum.accumulate(sums), floor - sums[stops] - 1e-6, side="left")
+
+
+def open_segments(
+    a: np.ndarray, b: np.ndarray, least: int, threshold: float
+) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int]:
+    """Where in each of two sequences stretches of ``least`` places or more can lie that hold
+    to the threshold t, and how many values they can share; nothing that can pass is left out.
+
+    Of a stretch's different values at least t are in the other sequence. And of both together,
+    (1 + t) / 2 for each of those less t for each value is not below 0, so what one lacks
+    at its best is the most that the other may.
+    """
+    sides = []
+    if min(len(a), len(b)) < least:
+        return [], [], 0
+    for values, others in ((a, b), (b, a)):
+        hits = _among(values, others)
+        own = _weighed(values, hits, 1 - threshold, threshold)
+        both = _weighed(values, hits, (1 - threshold) / 2, threshold)
+        most = float((both[least:] - np.minimum.accumulate(both)[: len(both) - least]).max())
+        sides.append((own, both, most, hits))
+    out, shared = [], []
+    for (own, both, _, hits), (_, _, other, _) in zip(sides, sides[::-1]):
+        stops = np.arange(least, len(own))
+        starts = np.maximum(_first_starts(own, stops, 0.0), _first_starts(both, stops, -other))
+        fits = starts <= stops - least
+        starts, stops = starts[fits], stops[fits]
+        cover = np.zeros(len(own) + 1, np.int64)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, stops, -1)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover)[: len(own)] > 0])))
+        out.append(list(zip(edges[0::2].tolist(), edges[1::2].tolist())))
+        before = np.concatenate([[0], np.cumsum(hits)])
+        shared.append(int((before[stops] - before[starts]).max(initial=0)))
+    return out[0], out[1], min(shared)
+
+
+def chained_stretch(a: np.ndarray, b: np.ndarray, least: int, threshold: float) -> tuple | None:
+    """A pair of stretches with the similarity along the longest run of values that both
+    sequences have once and in one order, as a first answer: shared values, places of both and the
+    similarity. None where that does not give one."""
+    size = int(max(a.max(), b.max())) + 1
+    single = (np.bincount(a, minlength=size) == 1) & (np.bincount(b, minlength=size) == 1)
+    place = np.zeros(size, np.int64)
+    place[b] = np.arange(len(b))
+    i = np.flatnonzero(single[a])
+    j = place[a[i]]
+    if not len(i):
+        return None
+    if (np.diff(j) < 0).any():
+        kept = _longest_rising(j.tolist())
+        i, j = i[kept], j[kept]
+    # From match k to match m: (1 + t) * matches - t * places is not below 0.
+    f = (1 + threshold) * np.arange(len(i)) - threshold * (i + j)
+    first = np.searchsorted(-np.minimum.accumulate(f), -(f + (1 - threshold) + 1e-9), side="left")
+    span = np.arange(len(i)) - first
+    m = int(np.argmax(span))
+    k = int(first[m])
+    mine = _widened(_before(a), int(i[k]), int(i[m]) + 1, least)
+    theirs = _widened(_before(b), int(j[k]), int(j[m]) + 1, least)
+    shared, similar = _similarity(a[slice(*mine)], b[slice(*theirs)])
+    return (shared, (*mine, *theirs, similar)) if similar >= threshold else None
+
+
+def _longest_rising(values: list[int]) -> list[int]:
+    """Where the values of a longest rising subsequence stand."""
+    tails: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(values)
+    for k, value in enumerate(values):
+        x = bisect_left(tails, value)
+        before[k] = at[x - 1] if x else -1
+        if x == len(tails):
+            tails.append(value)
+            at.append(k)
+        else:
+            tails[x], at[x] = value, k
+    out, k = [], at[-1]
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def _similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
+    """Different values that two coded stretches share, and their Jaccard similarity."""
+    size = int(max(a.max(), b.max())) + 1
+    one, other = np.bincount(a, minlength=size) > 0, np.bincount(b, minlength=size) > 0
+    both = int((one & other).sum())
+    return both, both / int((one | other).sum())
 
 
 def best_stretch(a: np.ndarray, b: np.ndarray, least: int, threshold: float) -> tuple[int, int, int, int, float] | None:
     """Of all pairs of stretches of ``least`` or more places, one in each sequence, whose sets
     have the similarity, one that shares the most values; None where there is no such pair.
 
+    Places that no passing stretch can hold are cut away first, in turn in both, which settles
+    most regions in a few passes. In what is left, values that both have once and in
+    one order give a first answer, and only stretches that could share more are tried.
+    """
+    if min(len(a), len(b)) < least:
+        return None
+    return _best_stretch(*_coded(a, b), least, threshold)
+
+
+def _best_stretch(a: np.ndarray, b: np.ndarray, least: int, threshold: float) -> tuple[int, int, int, int, float] | None:
+    best: tuple | None = None
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        la, ra, lb, rb = todo.pop()
+        cuts, cuts_b, most = open_segments(a[la:ra], b[lb:rb], least, threshold)
+        if best and most <= best[0]:
+            continue
+        parts = [(la + x, la + y, lb + p, lb + q) for x, y in cuts for p, q in cuts_b]
+        if parts != [(la, ra, lb, rb)]:
+            todo += parts
+            continue
+        found = _best_within(a[la:ra], b[lb:rb], least, threshold, best[0] if best else 0, most)
+        if found:
+            x, y, p, q, similar = found[1]
+            best = (found[0], (la + x, la + y, lb + p, lb + q, similar))
+    return best[1] if best else None
+
+
+def _best_within(a: np.ndarray, b: np.ndarray, least: int, threshold: float, floor: int, limit: int) -> tuple | None:
+    """Shared values and places of a pair of stretches that shares more than ``floor``, the most
+    of all such pairs, which is ``limit`` at most.
+
     A stretch pair that cuts a run equal in both grows no less similar with the rest of the
     run, and one that begins or ends outside such runs grows no less similar without
     that edge while it is longer than ``least``. So only beginnings and ends of runs are
     tried, and shorter stretches of that kind with what they lack. Stretches
     that their own values rule out are passed over, the others taken by how much they can share.
     """
-    if min(len(a), len(b)) < least:
-        return None
-    hits, hits_b = np.isin(a, b), np.isin(b, a)
-    if not hits.any():
+    hits, hits_b = _among(a, b), _among(b, a)
+    if np.count_nonzero(np.bincount(a[hits])) <= floor:
         return None
+    best = chained_stretch(a, b, least, threshold)
+    if best and best[0] <= floor:
+        best = None
+    if best and best[0] >= min(limit, np.count_nonzero(np.bincount(a[hits]))):
+        return best
+    floor = best[0] if best else floor
     (starts, stops), (starts_b, stops_b) = _runs(a, b), _runs(b, a)
     before, before_b = _before(a), _before(b)
     size = distinct_within(before, np.ones(len(a), bool), starts, stops)
     size_b = distinct_within(before_b, np.ones(len(b), bool), starts_b, stops_b)
     most = distinct_within(before, hits, starts, stops)
     most_b = distinct_within(before_b, hits_b, starts_b, stops_b)
+    # A short stretch counts as widened.
+    size = np.where(stops - starts[:, None] < least, _fewest(before, least, starts, stops), size)
+    size_b = np.where(stops_b - starts_b[:, None] < least, _fewest(before_b, least, starts_b, stops_b), size_b)
     # Similar sets share (1 + t) / t of half their sizes together: one side's lack is the other's to make up.
     weigh = lambda shared, n: (1 + threshold) / 2 * shared - threshold * n
     lack, lack_b = weigh(most, size), weigh(most_b, size_b)
-    can = (most > 0) & (most >= threshold * size) & (lack + lack_b[most_b > 0].max() >= -1e-9)
+    can = (most > floor) & (most >= threshold * size) & (lack + lack_b[most_b > 0].max() >= -1e-9)
     tries = np.argwhere(can)
     # Of those that share as much, the least different values, then the longest: repeats stay together.
     tries = tries[np.lexsort((starts[tries[:, 0]] - stops[tries[:, 1]], size[can], -most[can]))]
     # By places: what a stretch of b can gain at most, no value that repeats counting as lacking.
-    values, place, many = np.unique(b, return_inverse=True, return_counts=True)
-    lacking = np.where(many[place] == 1, -threshold, 0.0)
-    values_a, first, many_a = np.unique(a, return_index=True, return_counts=True)
-    at = np.minimum(np.searchsorted(values_a, b), len(values_a) - 1)
-    at = np.where(values_a[at] == b, first[at], -1)
-    once = not (many_a[np.isin(values_a, b)] > 1).any()
-    best: tuple | None = None
+    lacking = np.where(np.bincount(b)[b] == 1, -threshold, 0.0)
+    size_of = int(max(a.max(), b.max())) + 1
+    many = np.bincount(a, minlength=size_of)
+    place = np.full(size_of, -1)
+    place[a] = np.arange(len(a))
+    at, once = place[b], not (many[b] > 1).any()
     for x, y in tries.tolist():
-        if best and most[x, y] <= best[0]:
+        if most[x, y] <= floor:
             break
         start, stop = int(starts[x]), int(stops[y])
         # A stretch with more than it lacks can only gain by the whole of the other side's runs.
-        fits = (most_b > (best[0] if best else 0)) & (lack_b + lack[x, y] >= -1e-9)
+        fits = (most_b > floor) & (lack_b + lack[x, y] >= -1e-9)
         if not fits.any():
             continue
-        met = (at >= start) & (at < stop) if once else np.isin(b, a[start:stop])
+        met = (at >= start) & (at < stop) if once else _among(b, a[start:stop])
         sums = np.concatenate([[0.0], np.cumsum(np.where(met, 1.0, lacking))])
         if (sums - np.minimum.accumulate(sums)).max() < threshold * size[x, y] - 1e-6:
             continue
         rows = np.flatnonzero(fits.any(axis=1))
         shared = distinct_within(before_b, met, starts_b[rows], stops_b)
         near = shared >= threshold * (size[x, y] + size_b[rows] - shared) - 1e-9
-        near &= shared > (best[0] if best else 0)
+        near &= shared > floor
         found = np.argwhere(near)
         order = np.lexsort((starts_b[rows[found[:, 0]]] - stops_b[found[:, 1]], size_b[rows][near], -shared[near]))
         for p, q in found[order].tolist():
-            mine = _widened(a, start, stop, least)
-            theirs = _widened(b, int(starts_b[rows[p]]), int(stops_b[q]), least)
-            one, other = np.unique(a[slice(*mine)]), np.unique(b[slice(*theirs)])
-            both = len(np.intersect1d(one, other, assume_unique=True))
-            similar = both / (len(one) + len(other) - both)
+            mine = _widened(before, start, stop, least)
+            theirs = _widened(before_b, int(starts_b[rows[p]]), int(stops_b[q]), least)
+            _, similar = _similarity(a[slice(*mine)], b[slice(*theirs)])
             if similar >= threshold:
-                best = (int(shared[p, q]), (*mine, *theirs, similar))
+                floor = int(shared[p, q])
+                best = (floor, (*mine, *theirs, similar))
                 break
-    return best[1] if best else None
+    return best
+
+
+def _fewest(before: np.ndarray, least: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The fewest different values in any ``least`` neighbouring places that hold the run from a
+    start (a row) to before a stop, where one holds it."""
+    n = len(before) - least + 1
+    # A value is new to the stretches that begin after its last place before.
+    added = np.zeros(n + 1, np.int64)
+    places = np.arange(len(before))
+    low, high = np.maximum(before + 1, places - least + 1), np.minimum(places, n - 1)
+    fits = low <= high
+    np.add.at(added, low[fits], 1)
+    np.add.at(added, high[fits] + 1, -1)
+    # The least of any neighbours from that of two overlapping powers of two of them.
+    levels = [np.cumsum(added)[:n]]
+    while 2 ** len(levels) <= min(n, least):
+        half = 2 ** (len(levels) - 1)
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+    first = np.broadcast_to(np.maximum(stops - least, 0), (len(starts), len(stops)))
+    last = np.broadcast_to(np.minimum(starts, n - 1)[:, None], first.shape)
+    width = np.clip(last - first + 1, 1, 2 ** len(levels) - 1)
+    level = np.frexp(width.astype(np.float64))[1] - 1
+    out = np.zeros(first.shape, np.int64)
+    for k, table in enumerate(levels):
+        here = level == k
+        if here.any():
+            f, w = np.minimum(first[here], len(table) - 1), width[here]
+            out[here] = np.minimum(table[f], table[np.clip(f + w - 2**k, 0, len(table) - 1)])
+    return out
 
 
 def agreeing_regions(m: dict[str, np.ndarray], enough: int) -> list[tuple[int, int, int, int]]:
@@ -262,9 +450,10 @@ def near_passages(a: np.ndarray, b: np.ndarray, matches: dict, *, least: int, en
     beside them in either document."""
     found: dict[tuple, float] = {}
     todo = [(la, ra + 1, lb, rb + 1) for la, ra, lb, rb in agreeing_regions(matches, enough)]
+    a, b = _coded(a, b)
     while todo:
         la, ra, lb, rb = todo.pop()
-        best = best_stretch(a[la:ra], b[lb:rb], least, threshold)
+        best = _best_stretch(a[la:ra], b[lb:rb], least, threshold) if min(ra - la, rb - lb) >= least else None
         if best is None:
             continue
         x, y, p, q = best[0] + la, best[1] + la, best[2] + lb, best[3] + lb
