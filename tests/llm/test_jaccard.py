@@ -75,3 +75,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r["id"]: r["component"] for r in components(frame).collect()}
     ids = {i for pair in links for i in pair if pair[0] != pair[1]}
     assert got == {i: c for i, c in smallest_reachable(links, ids).items()}
+
+
+def test_an_id_with_several_texts_keeps_all_its_links(documents):
+    rng = random.Random(6)
+    a, b, c = ([f"{name}{rng.randrange(10**6)}" for _ in range(60)] for name in "abc")
+    near = [*b[:30], "changed", *b[31:]]
+    rows = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (7, " ".join(near)), (8, " ".join(c)), (8, None), (9, ""), (11, " ".join(c)), (5, " ".join(b))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(documents(rows)).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (5, 3), (7, 3), (8, 8), (8, 8), (9, 9), (11, 8)]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in jaccard.one_of_each(documents(rows[::-1])).collect())
+    # The other text of 5 is a copy of nothing that stays.
+    assert kept == sorted([(3, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (8, " ".join(c)), (8, ""), (9, "")])

@@ -60,7 +60,7 @@ def _records(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("slice", pa.int32()), ("packed", pa.binary())])
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("slice", pa.int32()), ("packed", pa.binary())])
 
 
 def _signature(values: np.ndarray) -> tuple[int, int]:
@@ -70,7 +70,8 @@ def _signature(values: np.ndarray) -> tuple[int, int]:
 
 
 def profiles(documents: DataFrame) -> DataFrame:
-    """A row a document (``doc_id, n, s1, s2``), and a task's shingle counters as slices."""
+    """A row a row (``doc_id, mark, n, s1, s2``; the mark is of its text), and a task's
+    shingle counters as slices."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, np.uint32)
@@ -86,26 +87,32 @@ def profiles(documents: DataFrame) -> DataFrame:
                     counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
                 size = last - first
                 yield _records(
-                    {"doc_id": batch.column("doc_id").slice(first, size), "n": n, "s1": s1, "s2": s2, "slice": pa.nulls(size, pa.int32()), "packed": pa.nulls(size, pa.binary())},
+                    {"doc_id": batch.column("doc_id").slice(first, size), "mark": batch.column("mark").slice(first, size), "n": n, "s1": s1, "s2": s2, "slice": pa.nulls(size, pa.int32()), "packed": pa.nulls(size, pa.binary())},
                     _PROFILE,
                 )
         packed = sketches.slices(counts)
         none = [None] * len(packed)
         yield _records(
-            {"doc_id": none, "n": none, "s1": none, "s2": none, "slice": [k for k, _ in packed], "packed": [p for _, p in packed]},
+            {"doc_id": none, "mark": none, "n": none, "s1": none, "s2": none, "slice": [k for k, _ in packed], "packed": [p for _, p in packed]},
             _PROFILE,
         )
 
-    schema = "doc_id long, n long, s1 long, s2 long, slice int, packed binary"
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(profile, schema)
+    schema = "doc_id long, mark long, n long, s1 long, s2 long, slice int, packed binary"
+    rows = documents.select(F.col("doc_id").cast("long"), text_mark(F.col("text")).alias("mark"), F.col("text").cast("string"))
+    return rows.mapInArrow(profile, schema)
 
 
-def prefix_rows(documents: DataFrame, counts, threshold: tuple[int, int]) -> DataFrame:
-    """``h, doc, place`` for the rarest shingles of each document: as many as leave the rest
+def text_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def prefix_rows(documents: DataFrame, counts, several, threshold: tuple[int, int]) -> DataFrame:
+    """``h, doc, t, place`` for the rarest shingles of each set: as many as leave the rest
     too few for the similarity. A shingle whose counter is 1 occurs nowhere else.
-    ``place`` packs the set's size and the shingle's position in the order."""
+    ``place`` packs the set's size and the shingle's position in the order. ``t`` tells
+    apart the sets of an id that the sieve ``several`` knows, and is 0 for others."""
     over, under = threshold
-    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("t", pa.int64()), ("place", pa.int64())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
@@ -114,7 +121,8 @@ def prefix_rows(documents: DataFrame, counts, threshold: tuple[int, int]) -> Dat
             ids = batch.column("doc_id")
             for first, last, data, offsets in textbytes.pieces(batch.column("text")):
                 docs = ids.slice(first, last - first).to_numpy(zero_copy_only=False)
-                hashes, owners, places = [], [], []
+                apart = sketches.known(several.value, docs)
+                hashes, owners, kinds, places = [], [], [], []
                 for doc, values in shingle_sets(data, offsets):
                     key = _signature(values)
                     if key in met:
@@ -126,44 +134,61 @@ def prefix_rows(documents: DataFrame, counts, threshold: tuple[int, int]) -> Dat
                     at = np.flatnonzero(seen[rare] > 1)
                     hashes.append(values[rare[at]])
                     owners.append(np.full(len(at), docs[doc], np.int64))
+                    kinds.append(np.full(len(at), key[0] if apart[doc] else 0, np.int64))
                     places.append((n << 31) + at)
                 if hashes:
                     yield _records(
-                        {"h": np.concatenate(hashes).view(np.int64), "doc": np.concatenate(owners), "place": np.concatenate(places)},
+                        {"h": np.concatenate(hashes).view(np.int64), "doc": np.concatenate(owners), "t": np.concatenate(kinds), "place": np.concatenate(places)},
                         schema,
                     )
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.where("doc_id IS NOT NULL").mapInArrow(prefixes, "h long, doc long, place long")
+    return rows.where("doc_id IS NOT NULL").mapInArrow(prefixes, "h long, doc long, t long, place long")
+
+
+def row_key(doc: Column, s1: Column) -> Column:
+    """Id and signature in one number, for a sieve."""
+    return s1.bitwiseXOR(F.shiftleft(doc, 20)).bitwiseXOR(F.shiftrightunsigned(doc, 44))
+
+
+def _row_keys(docs: np.ndarray, s1: np.ndarray) -> np.ndarray:
+    ids = docs.astype(np.int64).view(np.uint64)
+    return (s1.view(np.uint64) ^ (ids << np.uint64(20)) ^ (ids >> np.uint64(44))).view(np.int64)
 
 
 def segments(documents: DataFrame, counts, cuts: np.ndarray, wanted) -> DataFrame:
-    """``doc, parts`` (a list of shingle hashes for each fragment) of the documents that a
-    sieve lets through."""
+    """``doc, s1, parts`` (a list of shingle hashes for each fragment) of the sets that a
+    sieve of row keys lets through; rows that repeat give one."""
     kind = pa.list_(pa.list_(pa.int64()))
-    schema = pa.schema([("doc", pa.int64()), ("parts", kind)])
+    schema = pa.schema([("doc", pa.int64()), ("s1", pa.int64()), ("parts", kind)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sieve = counts.value, wanted.value
         for batch in batches:
+            # Set signatures are not known before the sets are; a first sieve takes the ids.
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(sketches.known(sieve, ids)))
+            batch = batch.filter(pa.array(sketches.known(sieve[0], ids)))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, _, data, offsets in textbytes.pieces(batch.column("text")):
-                docs, parts, ends = [], [], []
+                docs, marks, parts, ends = [], [], [], []
                 for doc, values in shingle_sets(data, offsets):
+                    s1 = _signature(values)[0]
+                    if not sketches.known(sieve[1], _row_keys(ids[first + doc : first + doc + 1], np.array([s1])))[0]:
+                        continue
                     place = np.searchsorted(cuts, table[counters(values)])
                     docs.append(ids[first + doc])
+                    marks.append(s1)
                     parts.append(values[np.argsort(place, kind="stable")])
                     ends.append(np.bincount(place, minlength=len(cuts) + 1))
                 if docs:
                     inner = np.concatenate([[0], np.cumsum(np.concatenate(ends))])
                     lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
                     outer = pa.array(np.arange(len(docs) + 1) * (len(cuts) + 1), pa.int32())
-                    yield _records({"doc": docs, "parts": pa.ListArray.from_arrays(outer, lists)}, schema)
+                    yield _records({"doc": docs, "s1": marks, "parts": pa.ListArray.from_arrays(outer, lists)}, schema)
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.where("doc_id IS NOT NULL").mapInArrow(cut, "doc long, parts array<array<long>>")
+    found = rows.where("doc_id IS NOT NULL").mapInArrow(cut, "doc long, s1 long, parts array<array<long>>")
+    return found.dropDuplicates(["doc", "s1"])
 
 
 def _enough(overlap: Column, a: Column, b: Column, threshold: tuple[int, int]) -> Column:
@@ -171,32 +196,30 @@ def _enough(overlap: Column, a: Column, b: Column, threshold: tuple[int, int]) -
     return under * overlap >= over * (a + b - overlap)
 
 
-def verified(pairs: DataFrame, documents: DataFrame, counts, cuts, threshold) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, counts, cuts, threshold) -> DataFrame:
     """The pairs (``a, b, na, nb``) whose overlaps, counted fragment by fragment and summed,
-    are enough."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    sieve = pairs.sparkSession.sparkContext.broadcast(sketches.id_filter(ids))
+    are enough. ``nodes`` names a row that has the set of each node."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("rep").alias(f"doc_{k}"), F.col("s1").alias(f"s1_{k}"))
+    pairs = written(pairs.join(side("a"), "a").join(side("b"), "b"), "pairs")
+    rows = pairs.select(F.explode(F.array(*[F.struct(F.col(f"doc_{k}").alias("doc"), F.col(f"s1_{k}").alias("s1")) for k in "ab"])).alias("r")).select("r.*")
+    sieves = (sketches.id_filter(rows.select("doc")), sketches.id_filter(rows.select(row_key(F.col("doc"), F.col("s1")).alias("key"))))
+    sieve = pairs.sparkSession.sparkContext.broadcast(sieves)
     parts = segments(documents, counts, cuts, sieve)
-    both = pairs.join(parts.withColumnsRenamed({"doc": "a", "parts": "of_a"}), "a").join(
-        parts.withColumnsRenamed({"doc": "b", "parts": "of_b"}), "b"
-    )
+    both = pairs
+    for k in "ab":
+        both = both.join(parts.withColumnsRenamed({"doc": f"doc_{k}", "s1": f"s1_{k}", "parts": f"of_{k}"}), [f"doc_{k}", f"s1_{k}"])
     partial = F.zip_with("of_a", "of_b", lambda x, y: F.size(F.array_intersect(x, y)))
     overlap = F.aggregate(partial, F.lit(0), lambda total, part: total + part)
-    # Rows that repeat an id repeat its links.
-    return both.where(_enough(overlap, F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
+    found = written(both.where(_enough(overlap, F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct(), "found")
+    sieve.destroy()
+    return found
 
 
-def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
-    """One row a row of ``documents``: ``doc_id, n_shingles, component_id``.
-
-    Two documents link when their sets' Jaccard similarity is at least ``threshold`` (a
-    fraction). The component is named by its smallest id. Null and blank texts have
-    no shingles and their own component; rows without an id are counted but link with
-    nothing, and their component is null. Rows that repeat an id are a row each, and the
-    smallest id of all that hold the same set names it. No rows in, no rows out; other
-    columns of the input are not read. Sets are compared by 64-bit shingle hashes.
-    """
+def link_sets(documents: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``jaccard_components`` and ``one_of_each`` stand on: rows (``doc_id, mark, n, node``,
+    null where a row has no shingles or no id), nodes (``node, rep, n, s1, s2``: the different
+    sets, each with the smallest id that has it) and links (``a, b``) that connect the
+    nodes of each group of similar sets. All are written."""
     spark = documents.sparkSession
     profile = written(profiles(documents), "profiles")
     counts = sketches.merged(
@@ -210,34 +233,30 @@ def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3,
     )
     shared_counts = spark.sparkContext.broadcast(counts)
 
-    rows = profile.where("slice IS NULL").select("doc_id", "n", "s1", "s2")
-    copies = written(
-        rows.where("n > 0 AND doc_id IS NOT NULL")
-        .groupBy("n", "s1", "s2")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"))
-        .where("many > 1")
-        .drop("many"),
-        "classes",
-    )
-    classed = written(
-        rows.join(copies, ["n", "s1", "s2"], "left").select(
-            "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")
-        ),
-        "classed",
-    )
-    same = classed.where("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct()
+    rows = profile.where("slice IS NULL").drop("slice", "packed")
+    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # Numbers that stay as they are, as the table is written.
+    nodes = written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    named = nodes.select("n", "s1", "s2", "node").withColumn("named", F.lit(True))
+    placed = rows.join(named, ["n", "s1", "s2"], "left")
+    placed = written(placed.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))).drop("named", "s2"), "rows")
+    of_ids = placed.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    several = spark.sparkContext.broadcast(sketches.id_filter(written(of_ids.where("low < high").select("doc_id"), "several")))
 
     by_shingle = Window.partitionBy("h")
     meeting = (
-        prefix_rows(documents, shared_counts, threshold)
-        .withColumns({"low": F.min("doc").over(by_shingle), "high": F.max("doc").over(by_shingle)})
-        .where("low < high")
+        prefix_rows(documents, shared_counts, several, threshold)
+        .withColumns({f"{side}_{c}": least(c).over(by_shingle) for c in ("doc", "t") for side, least in (("low", F.min), ("high", F.max))})
+        .where("low_doc < high_doc OR low_t < high_t")
+        .select("h", "doc", "t", "place")
     )
+    homes = placed.where("node IS NOT NULL").select(F.col("doc_id").alias("doc"), "s1", "node").distinct()
     postings = written(
-        meeting.join(same, "doc", "left")
+        meeting.join(homes, "doc")
+        .where("t = 0 OR t = s1")
         .select(
             "h",
-            F.coalesce("rep", "doc").alias("doc"),
+            F.col("node").alias("doc"),
             F.shiftright("place", 31).alias("n"),
             F.col("place").bitwiseAND((1 << 31) - 1).alias("at"),
         )
@@ -250,7 +269,7 @@ def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3,
         apart = postings.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn(
             "component", F.coalesce("component", "doc")
         )
-        if k:  # before the first round every document is apart
+        if k:  # before the first round every set is apart
             low, high = F.min("component").over(by_shingle), F.max("component").over(by_shingle)
             apart = apart.withColumns({"low": low, "high": high}).where("low < high").drop("low", "high")
             apart = written(apart, "apart")
@@ -258,14 +277,48 @@ def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3,
                 break
         pairs = _star_pairs(apart, k, threshold) if k < STAR_ROUNDS else _all_pairs(apart, threshold)
         pairs = _meeting_often(pairs, apart, threshold)
-        found = written(verified(pairs, documents, shared_counts, cuts, threshold), "found")
+        found = verified(pairs, nodes, documents, shared_counts, cuts, threshold)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = written(components(links), "labels")
         postings = apart.select("h", "doc", "n", "at")
-    result = classed.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return result.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
+    for held in (shared_counts, several):
+        held.destroy()
+    return placed, nodes, links
+
+
+def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, first``: the smallest id that has a set of the node's component."""
+    labels = components(links).withColumnsRenamed({"id": "node"})
+    inside = nodes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    inside = written(inside, "inside")
+    firsts = inside.groupBy("component").agg(F.min("rep").alias("first"))
+    return inside.join(firsts, "component").select("node", "first")
+
+
+def jaccard_components(documents: DataFrame, *, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
+    """One row a row of ``documents``: ``doc_id, n_shingles, component_id``.
+
+    Two documents link when their sets' Jaccard similarity is at least ``threshold`` (a
+    fraction). The component is named by its smallest id. Null and blank texts have
+    no shingles and their own component; rows without an id are counted but link with
+    nothing, and their component is null. Rows that repeat an id are a row each; an id with
+    several texts links whatever is linked with any of them, and all its rows have one
+    component. No rows in, no rows out; other columns of the input are not read. Sets are
+    compared by 64-bit shingle hashes.
+    """
+    placed, nodes, links = link_sets(documents, threshold)
+    ids = placed.where("doc_id IS NOT NULL").groupBy("doc_id")
+    # The nodes of an id with several sets belong together, and its rows without a set too.
+    apart = ids.agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("n").alias("least"))
+    apart = written(apart.where("low < high OR (least = 0 AND low IS NOT NULL)").select(F.col("doc_id").alias("_doc"), "low"), "apart")
+    bridges = placed.join(apart, F.col("doc_id") == F.col("_doc")).where("node <> low")
+    links = links.unionByName(bridges.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    firsts = written(_grouped(nodes, links), "firsts")
+    node = F.coalesce("node", "low")
+    found = placed.join(apart, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "n", node.alias("node"))
+    return found.join(firsts, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id")
     )
 
 
@@ -330,12 +383,18 @@ def _meeting_often(pairs: DataFrame, postings: DataFrame, threshold: tuple[int,
     return met.where(_enough(most, F.col("na"), F.col("nb"), threshold)).select("a", "na", "b", "nb")
 
 
-def one_of_each(documents: DataFrame, **settings) -> DataFrame:
-    """One document of each component, the one with the smallest id, all columns. Of rows
-    that repeat an id all are kept, and so are rows without one."""
-    found = jaccard_components(documents, **settings)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return documents.join(gone, documents["doc_id"] == gone["_gone"], "left_anti")
+def one_of_each(documents: DataFrame, *, threshold: tuple[int, int] = (3, 4)) -> DataFrame:
+    """One document of each group of similar texts, the one with the smallest id, all columns.
+
+    Rows are judged each by its own text: one of an id whose other texts are copies stays
+    where its text is none. Of rows that repeat an id within a group all are kept, and so
+    are rows without an id or without words."""
+    placed, nodes, links = link_sets(documents, threshold)
+    rows = placed.join(_grouped(nodes, links), "node")
+    gone = rows.where("doc_id <> first").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    gone = written(gone, "copies")
+    copy = (documents["doc_id"] == gone["_gone"]) & (text_mark(documents["text"]) == gone["_mark"])
+    return documents.join(gone, copy, "left_anti")
 
 
 OP8_SQL = r"""
