@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 2 << 20
+PIECE = 512 << 10
 STEP = 1 << 20
 
 # Space, tab, line feed, vertical tab, form feed, carriage return.
