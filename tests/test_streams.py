@@ -1,16 +1,17 @@
 """Streams over several micro-batches, with late rows and restarts."""
 
 import os
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline import scratch
-from weftline.streaming.milestones import completions
+from weftline.streaming.milestones import DAY, completions
 import __spark_entry__ as spark_entry
 from weftline.sources.tables import table
-from weftline.streaming.runs import Closing, replay, run_to_partials, run_to_table
+from weftline.streaming.runs import Closing, replay, run_to_end, run_to_partials, run_to_table
 
 SCHEMA = "user_id long, kind string, ts timestamp"
 
@@ -78,7 +79,8 @@ def test_completions_use_state_from_earlier_batches_and_emit_once(spark):
             [(1, "a", at("12:00")), (1, "c", at("12:00")), (2, "c", at("10:20"))],
         ],
     )
-    done = run_to_table(completions(stream, "user_id", "kind", "ts", ["a", "b", "c"]))
+    closing = Closing(stream, "ts")
+    done = run_to_table(completions(closing.stream, "user_id", "kind", "ts", ["a", "b", "c"], delay="3 hours"), closing)
     assert done.columns == ["user_id", "completed"]
     assert sorted((r.user_id, str(r.completed)) for r in done.collect()) == [
         (1, "2024-01-01 11:00:00"),
@@ -88,10 +90,70 @@ def test_completions_use_state_from_earlier_batches_and_emit_once(spark):
 
 def test_completions_of_a_hot_key(spark):
     rows = [(7, "abc"[i % 3], f"2024-01-01T00:{i // 60 % 60:02d}:{i % 60:02d}Z") for i in range(3000)]
-    done = run_to_table(completions(stream_of(spark, [rows]), "user_id", "kind", "ts", ["a", "b", "c"]))
+    closing = Closing(stream_of(spark, [rows]), "ts")
+    done = run_to_table(completions(closing.stream, "user_id", "kind", "ts", ["a", "b", "c"]), closing)
     assert [(r.user_id, str(r.completed)) for r in done.collect()] == [(7, "2024-01-01 00:00:02")]
 
 
+def test_completions_in_any_order_within_the_delay_leave_no_state(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(30), rng.choice("abcz"), f"2024-01-{1 + k // 24:02d}T{k % 24:02d}:00:00Z") for k in range(300)]
+    first = {}
+    for user, kind, ts in rows:
+        first[user, kind] = min(ts, first.get((user, kind), ts))
+    users = {u for u, *_ in rows}
+    wanted = sorted((u, max(first[u, k] for k in "abc")[:10]) for u in users if all((u, k) in first for k in "abc"))
+    newest_first = [rows[k : k + 60] for k in range(0, 300, 60)][::-1]
+    for batches in (newest_first, rng.sample(newest_first, 5)):
+        closing = Closing(stream_of(spark, batches), "ts")
+        run = run_to_end(completions(closing.stream, "user_id", "kind", "ts", ["a", "b", "c"], delay="20 days"), closing)
+        got = [(r.user_id, str(r.completed)[:10]) for r in run.rows.collect()]
+        assert sorted(got, key=str) == sorted(wanted, key=str)
+        assert (run.late, run.held, run.batches) == (0, 0, 6)
+
+
+def test_completions_forget_keys_after_a_while_and_count_late_rows(spark):
+    def day(k, user, kind):
+        return (user, kind, f"2024-01-{k:02d}T00:00:00Z")
+
+    batches = [
+        [day(1, 1, "a"), day(2, 1, "b"), day(1, 2, "a")],
+        [day(10, 3, "a")],  # 1 is given out; what 2 has shown is forgotten
+        [day(11, 3, "b"), day(11, 2, "b")],
+        [day(12, 1, "a"), day(3, 4, "a")],  # 4 comes too late
+        [day(13, 1, "b"), day(30, 5, "a")],
+        [day(30, 5, "z")],
+    ]
+    closing = Closing(stream_of(spark, batches), "ts")
+    run = run_to_end(completions(closing.stream, "user_id", "kind", "ts", ["a", "b"], delay="1 day", remember=3 * DAY), closing)
+    done = sorted((r.user_id, str(r.completed)[:10]) for r in run.rows.collect())
+    assert done == [(1, "2024-01-02"), (1, "2024-01-13"), (3, "2024-01-11")]
+    assert (run.late, run.held) == (1, 0)
+
+
+def test_rows_out_and_rows_late_are_all_rows(spark):
+    """Newest first: what the watermark has passed is dropped, and said to be."""
+    rows = [(k, "a", f"2024-01-{1 + k // 24:02d}T{k % 24:02d}:30:00Z") for k in range(240)]
+    batches = [rows[k : k + 48] for k in range(0, 240, 48)][::-1]
+    closing = Closing(stream_of(spark, batches), "ts")
+    # One row a window: each dropped group is a row.
+    counted = closing.stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n")).select("n")
+    run = run_to_end(counted, closing)
+    given = run.rows.agg(F.sum("n")).first()[0]
+    assert run.late > 0 and given + run.late == len(rows) and run.held == 1
+
+
+def test_replay_keeps_the_order_of_batches(spark):
+    seen = []
+
+    def summarise(batch):
+        seen.append(batch.agg(F.min("id"), F.max("id")).first())
+        return batch
+
+    run_to_partials(replay(spark.range(500).orderBy(F.desc("id")), 5, "id"), summarise)
+    assert [tuple(r) for r in seen] == sorted(tuple(r) for r in seen) and len(seen) == 5
+
+
 def test_replay_gives_every_row_once(spark):
     batches = []
 

@@ -7,6 +7,8 @@ than the watermark's delay is dropped, as in any stream.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from weftline.functions.columns import cents, exact_sum, time_bucket, total
@@ -14,7 +16,9 @@ from weftline.plans.registry import query
 from weftline.sources.tables import table
 from weftline.streaming.milestones import completions
 from weftline.streaming.reduce import earliest_per_batch
-from weftline.streaming.runs import Closing, replay, run_to_partials, run_to_table, table_stream
+from weftline.streaming.runs import Closing, replay, run_to_end, run_to_partials, run_to_table, table_stream
+
+EVENTS_PER_BATCH = 20_000_000
 
 
 def _events(spark, folder):
@@ -25,6 +29,16 @@ def _ending(spark, folder):
     return Closing(_events(spark, folder), "ts")
 
 
+def _replayed(spark, folder):
+    """The events as several files in the order of time, one a micro-batch."""
+    events = table(spark, folder, "events")
+    return replay(events, _batches(events), "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _batches(events):
+    return min(64, max(3, ceil(events.count() / EVENTS_PER_BATCH)))
+
+
 def _ntz(column):
     return F.col(column).cast("timestamp_ntz")
 
@@ -181,7 +195,7 @@ def stream_partial_totals(spark, folder):
         )
 
     return (
-        run_to_partials(replay(events, 4, "ts"), summarise)
+        run_to_partials(replay(events, _batches(events), "ts"), summarise)
         .groupBy("user_id")
         .agg(F.sum("n").alias("n"), F.sum("value").cast("double").alias("value"), F.max("latest").alias("latest"))
     )
@@ -194,8 +208,26 @@ SELECT user_id, max(first_ts) AS completed FROM (
 GROUP BY user_id HAVING count(*) = 3
 """)
 def stream_custom_state(spark, folder):
-    """When each user had viewed, clicked and purchased."""
-    events = _events(spark, folder)
-    return run_to_table(
-        completions(events, "user_id", "event_type", "ts", ["view", "click", "purchase"])
+    """When each user had viewed, clicked and purchased, over several micro-batches in the
+    order of time; each user is given out when the watermark has passed that time."""
+    closing = Closing(_replayed(spark, folder), "ts")
+    done = completions(closing.stream, "user_id", "event_type", "ts", ["view", "click", "purchase"])
+    return run_to_table(done, closing)
+
+
+@query("SELECT count(*) AS events, 0::BIGINT AS late, 0::BIGINT AS held FROM events")
+def stream_accounts(spark, folder):
+    """Every event of several micro-batches is in a closed window, reported late or left in
+    state: in the order of time none is late, and after the closing row none is left."""
+    closing = Closing(_replayed(spark, folder), "ts")
+    counted = (
+        closing.stream.withWatermark("ts", "10 minutes")
+        .groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("n")
+    )
+    run = run_to_end(counted, closing)
+    # The closing row's own window stays open.
+    return run.rows.agg(F.sum("n").alias("events")).select(
+        "events", F.lit(run.late).cast("bigint").alias("late"), F.lit(run.held - 1).cast("bigint").alias("held")
     )

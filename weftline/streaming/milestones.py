@@ -10,57 +10,113 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weftline.streaming.reduce import earliest_per_batch
 
+DAY = 86_400
+
 
 def completions(
-    stream: DataFrame, key: str, value: str, time: str, wanted: Sequence[str]
+    stream: DataFrame,
+    key: str,
+    value: str,
+    time: str,
+    wanted: Sequence[str],
+    *,
+    delay: str = "10 minutes",
+    remember: int = 400 * DAY,
 ) -> DataFrame:
     """Emit each key once, with the time at which it had shown every wanted value.
 
+    Rows may come in any order as long as none is more than ``delay`` older than the
+    newest before it; later ones are dropped. A key is held until the watermark has passed
+    its completion, when no earlier row can change it, and then emitted by a timer. What
+    a key has shown, or that it was emitted, is forgotten ``remember`` seconds of event time
+    after its latest row: state is bounded by the keys of that time, and a key that comes
+    back later starts anew. Null keys, values and times are left out.
+
     Each task first reduces its rows to the earliest time per key and value, so
-    a hot key sends a handful of rows on. State holds one time per key and
-    wanted value. Within a micro-batch rows may come in any order.
+    a hot key sends a handful of rows on. State holds one time per key and wanted value.
     """
     wanted = tuple(wanted)
-    rows = stream.where(F.col(value).isin(*wanted)).select(
-        F.col(key).cast("bigint").alias("key"),
-        F.col(value).alias("value"),
+    counts = F.col(value).isin(*wanted) & F.col(key).isNotNull()
+    # Other rows go on without key and value, one a batch: they move the watermark too.
+    counts = F.coalesce(counts, F.lit(False))
+    rows = stream.select(
+        counts.alias("counts"),
+        F.when(counts, F.col(key).cast("bigint")).otherwise(0).alias("key"),
+        F.when(counts, F.col(value)).alias("value"),
         F.unix_micros(F.col(time).cast("timestamp")).alias("micros"),
     )
-    reduced = earliest_per_batch(rows, ["key", "value"], "micros")
-    done = reduced.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Completion(wanted),
+    reduced = earliest_per_batch(rows.where("micros IS NOT NULL"), ["counts", "key", "value"], "micros")
+    timed = reduced.withColumn("at", F.timestamp_micros("micros")).withWatermark("at", delay)
+    done = timed.groupBy("counts", "key").transformWithStateInPandas(
+        statefulProcessor=_Completion(wanted, remember * 1000),
         outputStructType=T.StructType(
             [T.StructField("key", T.LongType()), T.StructField("micros", T.LongType())]
         ),
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
     at = F.timestamp_micros("micros").cast("timestamp_ntz")
     return done.select(F.col("key").alias(key), at.alias("completed"))
 
 
 class _Completion(StatefulProcessor):
-    def __init__(self, wanted: tuple[str, ...]):
+    """Of a key: the earliest time of each value, and whether it was emitted. One timer at a
+    time: at the completion, or else when the key is forgotten."""
+
+    def __init__(self, wanted: tuple[str, ...], remember: int):
         self._wanted = wanted
+        self._remember = remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._seen = handle.getMapState("seen", "value string", "micros bigint")
-        self._done = handle.getValueState("done", "at bigint")
+        # When the key was last seen, its timer, and whether it was emitted.
+        self._key = handle.getValueState("key", "latest bigint, timer bigint, emitted boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self._done.exists():
+        if not key[0]:
             return
+        # Spark fires timers after the rows of a batch; one that is due comes first.
+        now = timerValues.getCurrentWatermarkInMs()
+        if self._key.exists() and self._key.get()[1] <= now:
+            self._handle.deleteTimer(self._key.get()[1])
+            yield from self._due(key, now)
+        latest, timer, emitted = self._key.get() if self._key.exists() else (0, None, False)
         for part in rows:
-            for value, micros in part.groupby("value")["micros"].min().items():
+            latest = max(latest, int(part["micros"].max()) // 1000)
+            for value, micros in part.groupby("value")["micros"].min().items() if not emitted else ():
                 known = self._seen.getValue((value,))
                 if known is None or micros < known[0]:
                     self._seen.updateValue((value,), (int(micros),))
+        at = None if emitted else self._completed()
+        self._set(latest, timer, emitted, latest + self._remember if at is None else -(-at // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._due(key, timerValues.getCurrentWatermarkInMs())
+
+    def _due(self, key, now: int) -> Iterator[pd.DataFrame]:
+        """The key's timer: give the key out or forget it, or both."""
+        latest, _, emitted = self._key.get()
+        at = None if emitted else self._completed()
+        self._seen.clear()
+        forget = max(latest, at // 1000 if at is not None else 0) + self._remember
+        if at is None or forget <= now:
+            self._key.clear()
+        else:
+            self._set(latest, None, True, forget)
+        if at is not None:
+            yield pd.DataFrame({"key": [key[1]], "micros": [at]})
+
+    def _completed(self) -> int | None:
         times = [self._seen.getValue((value,)) for value in self._wanted]
-        if all(t is not None for t in times):
-            at = max(t[0] for t in times)
-            self._done.update((at,))
-            self._seen.clear()
-            yield pd.DataFrame({"key": [key[0]], "micros": [at]})
+        return max(t[0] for t in times) if all(t is not None for t in times) else None
+
+    def _set(self, latest: int, timer: int | None, emitted: bool, due: int) -> None:
+        if timer != due:
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(due)
+        self._key.update((latest, due, emitted))
 
     def close(self) -> None:
         pass
