@@ -5,9 +5,10 @@ smaller id. Comparing all suffixes would move every byte of the corpus many time
 over, so they are sampled: the residues of a difference cover modulo 31 are such that any
 two places have a common distance below 31 at which both are sampled. Two equal
 strings of 50 bytes therefore hold equal sampled tuples of 20 bytes at the same distance.
-Sampled tuples are sorted and named by equality; the remaining suffixes are merged through
-them, each compared with its neighbours of the same tuple over the 50 bytes wanted.
-That depth is fixed, so names need no recursion.
+Sampled tuples are dealt by their hash and grouped by equality, and within a group strings of 50
+bytes are grouped by theirs. So of the difference-cover algorithm the sampling is kept, and
+grouping by hashes stands in for naming by rank, for the recursion on names and for the merge
+with comparison of neighbours: at a fixed depth equality is all that is asked, and no order.
 
 Before the sort, passages without a repeated fingerprint (the smallest hash of every 31
 neighbouring tuples) are set aside, whole equal texts are one text, and equal
