@@ -323,7 +323,7 @@ def frequent_words(spark: SparkSession, words: Vocabulary, share: float) -> tupl
     return np.array([i for i, _ in rows], np.uint32), np.array([h for _, h in rows], np.int64).view(np.uint64)
 
 
-def train(documents: DataFrame, order: int = 2) -> Model:
+def train(documents: DataFrame, order: int = 3) -> Model:
     """Learn from the column ``text`` of all rows; null counts as empty.
 
     Two passes over the texts: one for the vocabulary, one for the n-grams. No rows give
