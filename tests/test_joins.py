@@ -1,9 +1,13 @@
 """Join operators against brute force on small inputs with one hot key."""
 
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import Window, functions as F
 
 from test_ordered import same_rows
+from weftline import scratch
 from weftline.operators.joins import (
     as_of_join,
     count_below,
@@ -11,6 +15,7 @@ from weftline.operators.joins import (
     interval_join,
     null_safe_join,
     range_join,
+    range_join_any,
 )
 from weftline.operators.ordered import order_rows, spread
 
@@ -128,3 +133,29 @@ def test_left_rows_of_one_time_and_key_spread_over_slices(spark):
     ordered = order_rows(rows, ["k"], ["t", "s"], slices=20)
     sizes = ordered.df.groupBy("_slice").count()
     assert sizes.agg(F.max("count")).first()[0] < 100
+
+
+@pytest.mark.parametrize("bits, rows_per_slice", [(1, 2_000_000), (3, 2_000_000), (2, 40)])
+def test_range_join_of_any_widths_equals_brute_force(spark, bits, rows_per_slice):
+    rng = random.Random(bits)
+    points = [(k, rng.choice([rng.randrange(-50, 50), 7, 7])) for k in range(150)] + [(900, None), (901, 7), (901, 7)]
+    ranges = [(k, low, low + rng.choice([0, 0, 1, 5, 60, 200])) for k in range(60) for low in [rng.randrange(-70, 70)]]
+    ranges += [(100, -1000, 1000), (101, 5, 4), (102, None, 3), (103, 3, None), (104, 1000, 2000), (105, 7, 7), (105, 7, 7)]
+    left = spark.createDataFrame(points, "p long, v long").repartition(3)
+    right = spark.createDataFrame(ranges, "r long, low long, high long").repartition(3)
+    got = range_join_any(left, right, "v", "low", "high", bits=bits, rows_per_slice=rows_per_slice)
+    assert got.columns == ["p", "v", "r", "low", "high"]
+    wanted = [(*p, *r) for p in points for r in ranges if None not in (p[1], *r) and r[1] <= p[1] <= r[2]]
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
+    assert range_join_any(left.limit(0), right, "v", "low", "high").count() == 0
+    assert range_join_any(left, right.limit(0), "v", "low", "high").count() == 0
+
+
+def test_a_range_over_everything_is_few_rows(spark):
+    points = spark.range(10_000).select(F.col("id").alias("v"))
+    ranges = spark.createDataFrame([(1, 0, 9_999), (2, 1, 9_998)], "r long, low long, high long")
+    got = range_join_any(points, ranges, "v", "low", "high")
+    assert got.groupBy("r").count().orderBy("r").collect() == [(1, 10_000), (2, 9_998)]
+    written = sorted(Path(scratch.shared_folder(spark)).glob("*/pieces-*"), key=lambda p: p.stat().st_mtime)
+    pieces = spark.read.parquet(str(written[-1]))
+    assert pieces.where("r = 1").count() <= 16 and pieces.where("r = 2").count() <= 16 * 5

@@ -6,6 +6,7 @@ partitions and broadcasts sides that turn out small.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions.columns import epoch_micros, same, time_bucket
 from weftline.operators.ordered import ROWS_PER_SLICE, order_rows, spread
+from weftline.scratch import written
 
 
 def as_of_join(
@@ -120,6 +122,73 @@ def range_join(
     )
 
 
+def range_join_any(
+    points: DataFrame,
+    ranges: DataFrame,
+    point: str,
+    low: str,
+    high: str,
+    *,
+    bits: int = 3,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Pairs where a point lies in the closed range ``[low, high]``, for ranges of any widths.
+
+    Points are put in order and each range becomes the run of places that it holds. A tree
+    over the places, each node of ``2 ** bits`` of the level below, cuts a run into whole
+    nodes: fewer than ``2 ** (bits + 1)`` a level, so a range over all of ``n`` points is some
+    ``log(n)`` rows. Each point is listed under its node of every level that some range
+    uses. The join is then one of equal nodes, every pair of it is a result, and a node that
+    many points share is split as any skewed key is.
+
+    Values are numbers. Nulls and ranges that end before they begin match nothing; rows that
+    repeat give a pair each. The sides' columns have different names.
+    """
+    set_points = points.where(F.col(point).isNotNull())
+    total = set_points.count()
+    wanted = ranges.where(F.col(low) <= F.col(high))
+    below = count_below(wanted, set_points, low, point, "_before", rows_per_slice=rows_per_slice)
+    turned = set_points.select((-F.col(point)).alias("_turned"))
+    counted = count_below(
+        below.withColumn("_high", -F.col(high)), turned, "_high", "_turned", "_beyond", rows_per_slice=rows_per_slice
+    )
+    runs = counted.select(
+        *ranges.columns, F.col("_before").alias("_lo"), (F.lit(total) - F.col("_beyond") - 1).alias("_hi")
+    ).where("_lo <= _hi")
+    # One level more than the places need: its nodes have nothing above them.
+    levels = 0
+    while total >> (bits * levels):
+        levels += 1
+    nodes = f"""flatten(transform(sequence(0, {levels}), l -> transform(
+        array_distinct(concat({_span("i(l)", "least(j(l), shiftleft(i(l + 1), {b}) - 1)")},
+                              {_span("greatest(i(l), shiftleft(j(l + 1) + 1, {b}))", "j(l)")})),
+        n -> struct(l AS _level, n AS _node))))"""
+    first = r"shiftright(_lo + shiftleft(1L, {b} * (\1)) - 1, {b} * (\1))"
+    last = r"(shiftright(_hi + 1, {b} * (\1)) - 1)"
+    for name, form in (("i", first), ("j", last)):
+        nodes = re.sub(rf"\b{name}\((l(?: \+ 1)?)\)", form, nodes)
+    pieces = runs.withColumn("_n", F.explode(F.expr(nodes.replace("{b}", str(bits))))).select(*ranges.columns, "_n.*")
+    pieces = written(pieces, "pieces")
+    used = sorted(r[0] for r in pieces.select("_level").distinct().collect())  # a level each
+    placed = order_rows(
+        set_points.withColumn("_spread", spread(set_points)), [], [point, "_spread"], rows_per_slice=rows_per_slice
+    ).with_row_number("_place")
+    listed = placed.result().select(
+        *points.columns,
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(k).alias("_level"), F.shiftright(F.col("_place") - 1, bits * k).alias("_node")) for k in used or [0]]
+            )
+        ).alias("_n"),
+    )
+    return listed.select(*points.columns, "_n.*").join(pieces, ["_level", "_node"]).drop("_level", "_node")
+
+
+def _span(first: str, last: str) -> str:
+    """SQL of the numbers from first to last, none if they are the other way round."""
+    return f"CASE WHEN {first} <= {last} THEN sequence({first}, {last}) ELSE CAST(array() AS ARRAY<BIGINT>) END"
+
+
 def count_below(
     left: DataFrame,
     right: DataFrame,

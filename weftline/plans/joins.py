@@ -11,6 +11,7 @@ from weftline.operators.joins import (
     full_outer_join,
     interval_join,
     range_join,
+    range_join_any,
 )
 from weftline.plans.registry import query
 from weftline.plans.sizes import few_rows
@@ -150,6 +151,24 @@ def join_range(spark, folder):
     return range_join(customers, suppliers, "c_acctbal", "low", "high", 2 * width).drop("low", "high")
 
 
+@query("""
+WITH width AS (SELECT 2000.0::DOUBLE / count(*) AS w FROM supplier)
+SELECT c_custkey, c_acctbal, s_suppkey, s_acctbal FROM supplier, width
+JOIN customer ON s_acctbal BETWEEN c_acctbal AND c_acctbal + w * CASE c_custkey % 100 WHEN 0 THEN 200 WHEN 1 THEN 20 ELSE 1 END
+""")
+def join_range_any_width(spark, folder):
+    """Ranges of widths far apart: one in a hundred is two hundred times as wide as most."""
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_acctbal")
+    width = 2000.0 / max(suppliers.count(), 1)
+    wide = F.when(F.col("c_custkey") % 100 == 0, 200.0).when(F.col("c_custkey") % 100 == 1, 20.0).otherwise(1.0)
+    customers = table(spark, folder, "customer").select(
+        "c_custkey", "c_acctbal", (F.col("c_acctbal") + F.lit(width) * wide).alias("upto")
+    )
+    ranges = customers.withColumnRenamed("c_acctbal", "from")
+    pairs = range_join_any(suppliers, ranges, "s_acctbal", "from", "upto")
+    return pairs.select("c_custkey", F.col("from").alias("c_acctbal"), "s_suppkey", "s_acctbal")
+
+
 @query("""
 SELECT a.event_id AS view_id, b.event_id AS purchase_id, a.user_id
 FROM events a JOIN events b ON a.user_id = b.user_id
