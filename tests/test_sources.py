@@ -78,6 +78,35 @@ def test_ltsv_reads_some_of_the_labels(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, "x"), (None, "y"), (None, None), (3, None)], key=str)
 
 
+def test_ltsv_filters_where_the_rows_are_read(spark):
+    spark.dataSource.register(LtsvSource)
+    data = [(i if i % 7 else None, ["a", "b\tc", None, ""][i % 4], i % 3 == 0, i / 2) for i in range(300)]
+    frame = spark.createDataFrame(data, "n long, s string, b boolean, x double")
+    path = scratch.fresh_path(spark, "ltsv")
+    frame.write.format("ltsv").mode("append").save(path)
+    got = spark.read.format("ltsv").schema(frame.schema).load(path)
+    for condition in ("n = 5", "n > 100 AND s = 'b\tc'", "n IS NULL", "s IS NOT NULL AND n <= 40", "n IN (1, 2, 7, 1000)", "b AND x < 20", "s = ''", "x = 3.5", "n = 5 OR s IS NULL", "NOT (n < 250)"):
+        same_rows(got.where(condition), frame.where(condition))
+    read = [m["numOutputRows"] if isinstance(m, dict) else m for m in [_rows_scanned(got.where("n = 5"))]]
+    assert read == [1]
+
+
+def _rows_scanned(frame):
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_ltsv_repeated_and_bare_labels(spark):
+    folder = Path(scratch.fresh_path(spark, "ltsv"))
+    folder.mkdir()
+    (folder / "a.ltsv").write_text("a:1\ta:2\tb\nba:x\tb:\\\\t\\\\\\t\\q\n")
+    spark.dataSource.register(LtsvSource)
+    got = spark.read.format("ltsv").schema("a int, b string").load(str(folder)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(2, ""), (None, "\\t\\\t\\q")], key=str)
+
+
 def test_ltsv_needs_a_schema(spark):
     spark.dataSource.register(LtsvSource)
     with pytest.raises(Exception, match="schema"):

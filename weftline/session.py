@@ -25,6 +25,8 @@ RUNTIME_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Data sources in Python are told of filters.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # Python sees batches bounded by bytes, so long texts do not make them large.
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     # Stream-stream joins keep their state in one store per partition, not four.

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -20,17 +21,27 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    IsNull,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DateType, IntegralType, StringType, StructType
 
 # How control characters are written inside a field.
 _ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
 
 ROWS_PER_BATCH = 10_000
 SPLIT_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 4 * 1024 * 1024
 
 
 class LtsvSource(DataSource):
@@ -59,6 +70,17 @@ class _Split(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, path: str, schema: StructType, split_bytes: int):
         self._path, self._schema, self._split_bytes = path, schema, split_bytes
+        self._filters: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Keeps what Arrow compares as Spark does, by columns of whole values; the rest goes back."""
+        kinds = {f.name: f.dataType for f in self._schema}
+        for f in filters:
+            column = f.attribute[0] if isinstance(f, (*_COMPARED, IsNull, IsNotNull, In)) and len(f.attribute) == 1 else None
+            if isinstance(kinds.get(column), (StringType, IntegralType, BooleanType, DateType)):
+                self._filters.append(f)
+            else:
+                yield f
 
     def partitions(self) -> list[_Split]:
         store, root = fs.FileSystem.from_uri(_uri(self._path))
@@ -72,29 +94,29 @@ class _Reader(DataSourceReader):
 
     def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(self._schema)
-        text = pa.schema([(name, pa.string()) for name in arrow.names])
-        rows: list[dict] = []
-        for line in self._lines(split):
-            rows.append(_fields(line))
-            if len(rows) == ROWS_PER_BATCH:
-                yield _typed(rows, text, arrow)
-                rows = []
-        if rows:
-            yield _typed(rows, text, arrow)
-
-    def _lines(self, split: _Split) -> Iterator[str]:
-        """The lines that start inside the split."""
+        for lines in self._lines(split):
+            for at in range(0, len(lines), ROWS_PER_BATCH):
+                batch = _parsed(pa.array(lines[at : at + ROWS_PER_BATCH], pa.string()), arrow)
+                for f in self._filters:
+                    batch = batch.filter(_holds(f, batch.column(f.attribute[0])))
+                if batch.num_rows:
+                    yield batch
+
+    def _lines(self, split: _Split) -> Iterator[list[str]]:
+        """The lines that start inside the split, a block at a time."""
         store, _ = fs.FileSystem.from_uri(_uri(self._path))
         with io.BufferedReader(store.open_input_file(split.path), 1 << 20) as file:
             if split.start:
                 # The line across the boundary belongs to the split before.
                 file.seek(split.start - 1)
                 file.readline()
-            while file.tell() < split.end:
-                line = file.readline()
-                if not line:
+            while (at := file.tell()) < split.end:
+                block = file.read(min(BLOCK_BYTES, split.end - at))
+                if not block:
                     return
-                yield line.decode("utf-8").rstrip("\n")
+                if not block.endswith(b"\n"):
+                    block += file.readline()
+                yield block.decode("utf-8").removesuffix("\n").split("\n")
 
 
 @dataclass
@@ -144,15 +166,55 @@ def _uri(path: str) -> str:
     return path if "://" in path or not path.startswith("/") else f"file://{path}"
 
 
-def _fields(line: str) -> dict[str, str]:
-    pairs = (field.partition(":") for field in line.split("\t"))
-    return {name: _unescape(value) for name, _, value in pairs}
+def _parsed(lines: pa.Array, arrow: pa.Schema) -> pa.RecordBatch:
+    """The wanted labels of each line, typed. Of a label that repeats the last counts; one
+    without a colon is empty."""
+    split = pc.split_pattern(lines, "\t")
+    fields = split.values
+    owner = np.repeat(np.arange(len(lines)), np.diff(split.offsets.to_numpy()))
+    columns = []
+    for field in arrow:
+        mark = f"{field.name}:"
+        hits = pc.or_(pc.starts_with(fields, mark), pc.equal(fields, field.name))
+        found = np.flatnonzero(hits.to_numpy(zero_copy_only=False))
+        last = np.full(len(lines), -1)
+        last[owner[found]] = found
+        values = fields.take(pa.array(last, mask=last < 0))
+        columns.append(_unescaped(pc.utf8_slice_codeunits(values, len(mark))).cast(field.type))
+    return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
 
-def _typed(rows: list[dict], text: pa.Schema, arrow: pa.Schema) -> pa.RecordBatch:
-    batch = pa.RecordBatch.from_pylist(rows, schema=text)
-    columns = [c.cast(f.type) for c, f in zip(batch.columns, arrow)]
-    return pa.RecordBatch.from_arrays(columns, schema=arrow)
+def _unescaped(values: pa.Array) -> pa.Array:
+    escaped = pc.fill_null(pc.match_substring(values, "\\"), False)
+    if not pc.any(escaped).as_py():
+        return values
+    # Double backslashes go first, from the left; what is between them has single marks only.
+    pieces = pc.split_pattern(values.filter(escaped), "\\\\")
+    plain = pieces.values
+    for raw, written in _ESCAPES[1:]:
+        plain = pc.replace_substring(plain, written, raw)
+    whole = pc.binary_join(pa.ListArray.from_arrays(pieces.offsets, plain), "\\")
+    return pc.replace_with_mask(values, escaped, whole)
+
+
+_COMPARED = {
+    EqualTo: pc.equal,
+    GreaterThan: pc.greater,
+    GreaterThanOrEqual: pc.greater_equal,
+    LessThan: pc.less,
+    LessThanOrEqual: pc.less_equal,
+}
+
+
+def _holds(f: Filter, column: pa.Array) -> pa.Array:
+    if isinstance(f, IsNull):
+        return column.is_null()
+    if isinstance(f, IsNotNull):
+        return column.is_valid()
+    if isinstance(f, In):
+        values = pa.array([v for v in f.value if v is not None], column.type)
+        return pc.and_(column.is_valid(), pc.is_in(column, values))
+    return _COMPARED[type(f)](column, pa.scalar(f.value, column.type))
 
 
 def _lines(batch: pa.RecordBatch) -> list[str]:
@@ -164,15 +226,3 @@ def _lines(batch: pa.RecordBatch) -> list[str]:
             text = pc.replace_substring(text, plain, written)
         fields.append(pc.binary_join_element_wise(f"{name}:", text, ""))
     return pc.binary_join_element_wise(*fields, "\t", null_handling="skip").to_pylist()
-
-
-def _unescape(value: str) -> str:
-    if "\\" not in value:
-        return value
-    plain = {written: p for p, written in _ESCAPES}
-    pieces, rest = [], value
-    while rest:
-        mark = rest[:2]
-        pieces.append(plain.get(mark, rest[0]))
-        rest = rest[2:] if mark in plain else rest[1:]
-    return "".join(pieces)
