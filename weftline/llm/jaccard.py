@@ -235,8 +235,10 @@ def link_sets(documents: DataFrame, threshold: tuple[int, int]) -> tuple[DataFra
 
     rows = profile.where("slice IS NULL").drop("slice", "packed")
     sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    # Numbers that stay as they are, as the table is written.
-    nodes = written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Numbers in the order of ids, so that a star's centre is the first of its kind; they stay
+    # as they are, as the table is written.
+    ordered = sets.repartitionByRange("rep", "s1").sortWithinPartitions("rep", "s1", "s2", "n")
+    nodes = written(ordered.withColumn("node", F.monotonically_increasing_id()), "nodes")
     named = nodes.select("n", "s1", "s2", "node").withColumn("named", F.lit(True))
     placed = rows.join(named, ["n", "s1", "s2"], "left")
     placed = written(placed.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))).drop("named", "s2"), "rows")
