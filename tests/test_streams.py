@@ -131,6 +131,18 @@ def test_completions_forget_keys_after_a_while_and_count_late_rows(spark):
     assert (run.late, run.held) == (1, 0)
 
 
+def test_completions_of_many_keys_share_state(spark):
+    rows = [(u, "ab"[k], f"2024-01-01T{(u * (k + 3)) % 24:02d}:00:00Z") for u in range(400) for k in range(1 + u % 2)]
+    wanted = sorted((u, max(3 * u % 24, 4 * u % 24)) for u in range(400) if u % 2)
+    closing = Closing(stream_of(spark, [rows[::2], rows[1::2]]), "ts")
+    stream = completions(closing.stream, "user_id", "kind", "ts", ["a", "b"], delay="2 days", buckets=3)
+    run = run_to_end(stream, closing)
+    assert sorted((r.user_id, r.completed.hour) for r in run.rows.collect()) == wanted
+    assert run.late == 0
+    open_run = run_to_end(completions(stream_of(spark, [rows]), "user_id", "kind", "ts", ["a", "b"], delay="2 days", buckets=3))
+    assert open_run.held == 3 and open_run.rows.isEmpty()
+
+
 def test_rows_out_and_rows_late_are_all_rows(spark):
     """Newest first: what the watermark has passed is dropped, and said to be."""
     rows = [(k, "a", f"2024-01-{1 + k // 24:02d}T{k % 24:02d}:30:00Z") for k in range(240)]

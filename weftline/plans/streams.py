@@ -19,6 +19,7 @@ from weftline.streaming.reduce import earliest_per_batch
 from weftline.streaming.runs import Closing, replay, run_to_end, run_to_partials, run_to_table, table_stream
 
 EVENTS_PER_BATCH = 20_000_000
+EVENTS_PER_BUCKET = 20_000
 
 
 def _events(spark, folder):
@@ -29,9 +30,9 @@ def _ending(spark, folder):
     return Closing(_events(spark, folder), "ts")
 
 
-def _replayed(spark, folder):
-    """The events as several files in the order of time, one a micro-batch."""
-    events = table(spark, folder, "events")
+def _replayed(spark, folder, *columns):
+    """These columns of the events as several files in the order of time, one a micro-batch."""
+    events = table(spark, folder, "events").select(*columns)
     return replay(events, _batches(events), "ts").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -210,8 +211,10 @@ GROUP BY user_id HAVING count(*) = 3
 def stream_custom_state(spark, folder):
     """When each user had viewed, clicked and purchased, over several micro-batches in the
     order of time; each user is given out when the watermark has passed that time."""
-    closing = Closing(_replayed(spark, folder), "ts")
-    done = completions(closing.stream, "user_id", "event_type", "ts", ["view", "click", "purchase"])
+    closing = Closing(_replayed(spark, folder, "user_id", "event_type", "ts"), "ts")
+    buckets = max(64, table(spark, folder, "events").count() // EVENTS_PER_BUCKET)
+    wanted = ["view", "click", "purchase"]
+    done = completions(closing.stream, "user_id", "event_type", "ts", wanted, buckets=buckets)
     return run_to_table(done, closing)
 
 
@@ -219,7 +222,7 @@ def stream_custom_state(spark, folder):
 def stream_accounts(spark, folder):
     """Every event of several micro-batches is in a closed window, reported late or left in
     state: in the order of time none is late, and after the closing row none is left."""
-    closing = Closing(_replayed(spark, folder), "ts")
+    closing = Closing(_replayed(spark, folder, "event_type", "ts"), "ts")
     counted = (
         closing.stream.withWatermark("ts", "10 minutes")
         .groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
