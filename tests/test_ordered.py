@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from weftline.operators.ordered import order_rows
+from weftline.operators.ordered import SLICE, order_rows
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +81,10 @@ def test_equal_order_values_stay_in_one_slice(rows):
     ordered = order_rows(rows.withColumn("t", F.col("t") % 4), ["k"], ["t"], slices=16)
     spread = ordered.df.groupBy("k", "t").agg(F.count_distinct("_slice").alias("n"))
     assert spread.agg(F.max("n")).first()[0] == 1
+
+
+@pytest.mark.parametrize("slices", [7, 40])
+def test_each_slice_has_its_own_bucket(rows, slices):
+    cut = order_rows(rows, ["k"], ["t", "id"], slices=slices).df
+    found = cut.select(SLICE).distinct().withColumn("b", F.pmod(F.hash(SLICE), F.lit(slices)))
+    assert found.count() == slices == found.select("b").distinct().count()

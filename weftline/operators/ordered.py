@@ -13,12 +13,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
 from weftline.functions.columns import same
 from weftline.scratch import written, written_buckets
 
-ROWS_PER_SLICE = 2_000_000
+# One task orders and keeps a slice, or a key of that many rows, at a time.
+ROWS_PER_SLICE = 500_000
 # The most slices for which the driver's sample for the range bounds stays small.
 MAX_SLICES = 20_000
 
@@ -300,11 +301,25 @@ def _sliced(
     df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], slices: int
 ) -> OrderedRows:
     ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *_sort(order))
-    numbered = ranged.withColumn(SLICE, F.spark_partition_id())
+    labels = F.lit(bucket_labels(df.sparkSession, slices)).cast("array<int>")
+    numbered = ranged.withColumn(SLICE, F.get(labels, F.spark_partition_id()))
     rows = written_buckets(numbered, [SLICE], slices, "slices")
     return OrderedRows(rows, keys, order, _spanning_slices(rows, keys))
 
 
+def bucket_labels(spark: SparkSession, buckets: int) -> list[int]:
+    """Rising numbers that hash into different buckets, one for each: numbered from 0 on,
+    several slices would share a bucket, and one task would hold them all."""
+    tried = buckets
+    while True:
+        tried *= 2
+        bucket = F.pmod(F.hash(F.col("id").cast("int")), F.lit(buckets)).alias("b")
+        first = spark.range(0, tried, 1, 1).groupBy(bucket).agg(F.min("id").alias("id"))
+        labels = sorted(r["id"] for r in first.collect())  # a row a bucket
+        if len(labels) == buckets:
+            return labels
+
+
 def _spanning_slices(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Positions and row counts of the slices of keys that span several. Slices
     are consecutive ranges and share at most one key with the slice before, so
