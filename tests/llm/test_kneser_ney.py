@@ -122,3 +122,16 @@ def test_long_text_and_extra_columns(documents):
 def test_query_beats_the_base_on_held_out_text(spark, small):
     rows = kn.op2_kneser_ney(spark, small).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_blocks_are_narrow_and_come_back_whole():
+    rng = np.random.default_rng(2)
+    blocks, grams, counts = [], [], []
+    for size, most in ((5, 9), (0, 1), (300, 1 << 40)):
+        grams.append(rng.integers(0, 1 << 32, (size, 3), dtype=np.uint32))
+        counts.append(rng.integers(1, most, size) if size else np.zeros(0, np.int64))
+        row = kn._block(kn.NUMBERS, 0, grams[-1], [counts[-1]])
+        blocks.append(dict(zip(kn._BLOCK.names, row)))
+    assert np.array_equal(kn._grams(blocks, "uint32", 3), np.concatenate(grams))
+    assert np.array_equal(kn._counts(blocks, "a"), np.concatenate(counts))
+    assert len(blocks[0]["a"]) == 6

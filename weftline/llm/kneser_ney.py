@@ -60,9 +60,20 @@ class Model:
 
 
 def _block(kind: int, shard, grams=None, values=(), stats=(None,) * 4) -> tuple:
-    packed = [np.ascontiguousarray(v).tobytes() for v in values]
+    packed = [_narrow(v) for v in values]
     packed += [None] * (4 - len(packed))
-    return (kind, shard, None if grams is None else np.ascontiguousarray(grams).tobytes(), *packed, *stats)
+    return (kind, shard, None if grams is None else _planes(grams), *packed, *stats)
+
+
+def _planes(grams: np.ndarray) -> bytes:
+    """All first bytes, then all second ones: the high bytes of word numbers compress well so."""
+    return np.ascontiguousarray(grams).view(np.uint8).reshape(len(grams), -1 if len(grams) else 1).T.tobytes()
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, after its letter."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return kind.char.encode() + counts.astype(kind).tobytes()
 
 
 _BLOCK = pa.schema(
@@ -146,7 +157,7 @@ def _count_words(bits: int):
         def flush():
             keys, _, (sums,) = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
             bounds = np.searchsorted(place.shard(keys), np.arange((1 << bits) + 1))
-            return _batch([_block(NUMBERS, s, keys[x:y], [sums[x:y].astype(np.uint32)]) for s, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x])
+            return _batch([_block(NUMBERS, s, keys[x:y], [sums[x:y]]) for s, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x])
 
         for _, _, _, data, offsets in _texts(batches):
             keys, counts = np.unique(tokens_of(data, offsets)[0], return_counts=True)
@@ -175,14 +186,21 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield shard, held
 
 
-def _joined(blocks: list[dict], name: str, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b[name], kind) for b in blocks])
+def _grams(blocks: list[dict], kind: str, width: int = 1) -> np.ndarray:
+    """The rows that ``_planes`` took apart."""
+    size = np.dtype(kind).itemsize * width
+    planes = [np.frombuffer(b["grams"], np.uint8).reshape(size, -1) for b in blocks]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(kind)
+
+
+def _counts(blocks: list[dict], name: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b[name][1:], bytes(b[name][:1]).decode()).astype(np.int64) for b in blocks])
 
 
 def _merge_words(store: Table):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, blocks in _by_shard(batches):
-            keys, _, (counts,) = _summed(_joined(blocks, "grams", "uint64"), _joined(blocks, "a", "uint32").astype(np.int64))
+            keys, _, (counts,) = _summed(_grams(blocks, "uint64")[:, 0], _counts(blocks, "a"))
             store.write(shard, keys, counts)
             yield _batch([_block(STATISTICS, shard, stats=(len(keys), int(counts.sum()), 0, 0))])
 
@@ -213,7 +231,7 @@ def _count_grams(order: int, vocabulary: Table, base, frequent, bits: int):
             keys, first, (sums,) = _summed(*(np.concatenate(x) for x in ([k for k, _, _ in held], [c for _, _, c in held])))
             grams = np.concatenate([g for _, g, _ in held])[first]
             bounds = np.searchsorted(place.shard(keys), np.arange((1 << bits) + 1))
-            return _batch([_block(NUMBERS, s, grams[x:y], [sums[x:y].astype(np.uint32)]) for s, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x])
+            return _batch([_block(NUMBERS, s, grams[x:y], [sums[x:y]]) for s, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x])
 
         for _, _, _, data, offsets in _texts(batches):
             tokens, text = tokens_of(data, offsets)
@@ -236,8 +254,8 @@ def _merge_grams(order: int, counts: Table, frequent, bits: int):
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, blocks in _by_shard(batches):
-            grams = _joined(blocks, "grams", "uint32").reshape(-1, order)
-            keys, first, (sums,) = _summed(gram_key(grams, frequent), _joined(blocks, "a", "uint32").astype(np.int64))
+            grams = _grams(blocks, "uint32", order)
+            keys, first, (sums,) = _summed(gram_key(grams, frequent), _counts(blocks, "a"))
             grams = grams[first]
             counts.write(shard, keys, sums)
             out = [_block(STATISTICS, shard, stats=tuple(int((sums == n).sum()) for n in (1, 2, 3, 4)))]
@@ -248,7 +266,7 @@ def _merge_grams(order: int, counts: Table, frequent, bits: int):
                 out += _dealt(CONTEXTS, found, contexts[at], totals, bits)
                 lower = grams[:, 1:]
                 found, at, ways = _summed(gram_key(lower, frequent), np.ones(len(lower), np.int64))
-                out += _dealt(NUMBERS, found, lower[at], [w.astype(np.uint32) for w in ways], bits)
+                out += _dealt(NUMBERS, found, lower[at], ways, bits)
             else:
                 out.append(_block(CONTEXTS, 0, grams[:0], [np.array([sums.sum()]), *(np.array([test(sums).sum()]) for test in _CLASSES)]))
             yield _batch(out)
@@ -267,9 +285,9 @@ def _dealt(kind: int, keys: np.ndarray, grams: np.ndarray, values: list[np.ndarr
 def _merge_contexts(width: int, store: Table, discounts: tuple[float, float, float]):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, blocks in _by_shard(batches):
-            grams = _joined(blocks, "grams", "uint32").reshape(-1, width)
-            keys, _, sums = _summed(gram_hash(grams), *(_joined(blocks, c, "int64") for c in "abcd"))
-            store.write(shard, keys, sums[0], sum(d * n for d, n in zip(discounts, sums[1:])) / sums[0])
+            grams = _grams(blocks, "uint32", width)
+            keys, _, sums = _summed(gram_hash(grams), *(_counts(blocks, c) for c in "abcd"))
+            store.write(shard, keys, sum(d * n for d, n in zip(discounts, sums[1:])) / sums[0], sums[0])
             yield _batch([_block(STATISTICS, shard, stats=(len(keys), 0, 0, 0))])
 
     return merge
@@ -342,8 +360,10 @@ def train(documents: DataFrame, order: int = 3) -> Model:
 
     counted = texts.mapInArrow(_count_grams(order, vocabulary, base, frequent, bits), BLOCK)
     levels: list[Level] = []
+    # No count or total is above the number of tokens.
+    whole = "uint32" if tokens < 1 << 32 else "int64"
     for n in range(order, 0, -1):
-        counts = Table(f"{folder}/counts{n}", bits, ("int64",))
+        counts = Table(f"{folder}/counts{n}", bits, (whole,))
         merged = _exchange(counted, shards).mapInArrow(_merge_grams(n, counts, frequent, bits), BLOCK)
         merged = written(merged, f"grams{n}")
         seen = merged.where(F.col("kind") == STATISTICS).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4")]).first()
@@ -351,11 +371,11 @@ def train(documents: DataFrame, order: int = 3) -> Model:
         contexts = None
         found = merged.where(F.col("kind") == CONTEXTS)
         if n > 1:
-            contexts = Table(f"{folder}/contexts{n}", bits, ("int64", "float64"))
+            contexts = Table(f"{folder}/contexts{n}", bits, ("float64", whole))
             stored = _exchange(found, shards).mapInArrow(_merge_contexts(n - 1, contexts, discounts), BLOCK)
             written(stored, "contexts")
         else:
-            parts = [[np.frombuffer(r[c], "int64")[0] for c in "abcd"] for r in found.collect()]  # a row a shard
+            parts = [[_counts([r], c)[0] for c in "abcd"] for r in found.collect()]  # a row a shard
             total, *kinds = np.sum(parts, axis=0) if parts else (0, 0, 0, 0)
         levels.append(Level(counts, contexts, discounts))
         counted = merged.where(F.col("kind") == NUMBERS)
@@ -374,7 +394,7 @@ def probabilities(model: Model, grams: np.ndarray) -> np.ndarray:
         p += kept(model.levels[0], model.levels[0].counts.find(gram_key(grams[:, -1:], model.frequent))[0]) / model.start_total
     for n in range(2, model.order + 1):
         level, part = model.levels[n - 1], grams[:, -n:]
-        total, gamma, known, _ = level.contexts.find(gram_hash(part[:, :-1]))
+        gamma, total, known, _ = level.contexts.find(gram_hash(part[:, :-1]))
         counts = level.counts.find(gram_key(part, model.frequent))[0]
         p = np.where(known, kept(level, counts) / np.maximum(total, 1) + gamma * p, p)
     return p
