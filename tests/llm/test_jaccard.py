@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import jaccard
 from weftline.llm.graph import components
+from weftline.scratch import written
 
 
 def shingles(text):
@@ -87,3 +88,17 @@ def test_an_id_with_several_texts_keeps_all_its_links(documents):
     kept = sorted((r["doc_id"], r["text"] or "") for r in jaccard.one_of_each(documents(rows[::-1])).collect())
     # The other text of 5 is a copy of nothing that stays.
     assert kept == sorted([(3, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (8, " ".join(c)), (8, ""), (9, "")])
+
+
+def test_texts_stay_where_they_are_read(documents, spark):
+    """Copies are left out without an exchange of the texts, however many there are."""
+    rows = [(k, f"the same {k // 2} few words in two texts") for k in range(40)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = written(documents([*rows, (None, rows[0][1]), (77, None)]))
+        kept = jaccard.one_of_each(docs)
+        assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [*range(0, 40, 2), 77]
+        assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

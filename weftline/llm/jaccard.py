@@ -24,14 +24,16 @@ from pyspark.sql.window import Window
 
 from weftline.llm import sketches, textbytes
 from weftline.llm.graph import components
+from weftline.llm.mapped import Table, key_table
 from weftline.llm.registry import query
-from weftline.scratch import written
+from weftline.scratch import fresh_path, written
 from weftline.sources.tables import table
 
 SHINGLE = 5
 COUNTER_BITS = 21
 FRAGMENTS = 8
 STAR_ROUNDS = 2
+COPY_BITS = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -393,10 +395,20 @@ def one_of_each(documents: DataFrame, *, threshold: tuple[int, int] = (3, 4)) ->
     are rows without an id or without words."""
     placed, nodes, links = link_sets(documents, threshold)
     rows = placed.join(_grouped(nodes, links), "node")
-    gone = rows.where("doc_id <> first").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
-    gone = written(gone, "copies")
-    copy = (documents["doc_id"] == gone["_gone"]) & (text_mark(documents["text"]) == gone["_mark"])
-    return documents.join(gone, copy, "left_anti")
+    gone = rows.where("doc_id <> first").select(F.xxhash64("doc_id", "mark").alias("key"))
+    # Looked up where rows are read: a join would move every text.
+    copies = key_table(gone, fresh_path(documents.sparkSession, "copies"), COPY_BITS)
+    return documents.where(~_listed(copies)(F.xxhash64(F.col("doc_id").cast("long"), text_mark(F.col("text")))))
+
+
+def _listed(keys: Table):
+    """Whether a key is in a table of keys."""
+
+    @F.arrow_udf("boolean")
+    def listed(values: pa.Array) -> pa.Array:
+        return pa.array(keys.find(values.to_numpy(zero_copy_only=False).view(np.uint64))[-2])
+
+    return listed
 
 
 OP8_SQL = r"""
