@@ -2,12 +2,15 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import kneser_ney as kn
+from weftline.llm import mapped
+from weftline.scratch import shared_folder
 
 START = "<start>"
 END = "<end>"
@@ -135,3 +138,33 @@ def test_blocks_are_narrow_and_come_back_whole():
     assert np.array_equal(kn._grams(blocks, "uint32", 3), np.concatenate(grams))
     assert np.array_equal(kn._counts(blocks, "a"), np.concatenate(counts))
     assert len(blocks[0]["a"]) == 6
+
+
+def test_packed_tables_give_back_what_they_hold(tmp_path):
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    keys = np.unique(np.append(keys, keys[:400] + np.uint64(2**32)))  # neighbours with equal low bits
+    values = rng.integers(1, 9, len(keys)), rng.random(len(keys)).round(1)
+    packed = mapped.PackedTable(f"file://{tmp_path}/packed", 1, ("uint32", "float64"))
+    for shard in range(2):
+        at = packed.shard(keys) == shard
+        packed.write(shard, keys[at], *(v[at] for v in values))
+    asked = np.concatenate([keys, rng.integers(0, 2**64, 3000, dtype=np.uint64), [np.uint64(0), np.uint64(2**64 - 1)]])
+    one, other, there, _ = packed.find(asked)
+    assert (there == np.isin(asked, keys)).all() and there[: len(keys)].all()
+    assert (one[: len(keys)] == values[0]).all() and (other[: len(keys)] == values[1]).all()
+    assert sum(f.stat().st_size for f in (tmp_path / "packed").iterdir()) < 10 * len(keys)
+
+
+def test_frequent_words_have_small_numbers_and_no_table_of_counts_is_left(documents, spark):
+    texts = documents([(k, " ".join(f"w{j}" for j in range(k % 40))) for k in range(200)])
+    before = set(Path(shared_folder(spark).removeprefix("file://")).glob("*/grams[23]-*"))
+    model = kn.train(texts)
+    words = [f"w{j}".encode() for j in range(39)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    tokens, _ = kn.tokens_of(data, np.array([0, len(data)]))
+    ids, counts = kn.numbers(model.vocabulary, model.base, tokens)
+    assert sorted(ids) == list(range(40))
+    assert (np.diff(kn.class_of(counts[np.argsort(ids)])) <= 0).all()
+    folder = Path(model.vocabulary.folder.removeprefix("file://")).parent.parent
+    assert set(folder.glob("grams3-*")) <= before and set(folder.glob("grams2-*")) <= before

@@ -1,6 +1,7 @@
 """An interpolated modified Kneser-Ney n-gram model over documents.
 
-Words get numbers from a counted vocabulary. Every task counts the n-grams of its own
+Words get numbers from a counted vocabulary, frequent ones the small numbers, which
+pack well. Every task counts the n-grams of its own
 texts and sends them in blocks of arrays, shard by shard; a shard's blocks are merged,
 stored as sorted hash arrays in the shared folder, and give the continuation counts of
 the next lower order. Scoring maps the arrays and looks up each text's n-grams.
@@ -19,9 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import textbytes
-from weftline.llm.mapped import Table, opened
+from weftline.llm.mapped import PackedTable, Table, opened
 from weftline.llm.registry import query
-from weftline.scratch import fresh_path, written
+from weftline.scratch import fresh_path, removed, written
 from weftline.sources.tables import table
 
 ROUTE_BITS = 16
@@ -50,7 +51,7 @@ class Level:
 class Model:
     order: int
     vocabulary: Table
-    base: tuple[int, ...]  # number of the first word of each shard
+    base: np.ndarray  # number of the first word of each shard (a row) and class of counts
     tokens: int
     types: int
     frequent: np.ndarray  # numbers of the words that split contexts
@@ -62,7 +63,22 @@ class Model:
 def _block(kind: int, shard, grams=None, values=(), stats=(None,) * 4) -> tuple:
     packed = [_narrow(v) for v in values]
     packed += [None] * (4 - len(packed))
-    return (kind, shard, None if grams is None else _planes(grams), *packed, *stats)
+    return (kind, shard, None if grams is None else _squeezed(_planes(grams)), *packed, *stats)
+
+
+def _sorted_block(kind: int, shard: int, grams: np.ndarray, values: list[np.ndarray]) -> tuple:
+    """A block whose n-grams lie by their first words, where they pack best."""
+    first = grams[:, 0].astype(np.uint64)
+    order = np.argsort(first << np.uint64(32) | grams[:, 1] if grams.shape[1] > 1 else first, kind="stable")
+    return _block(kind, shard, grams[order], [v[order] for v in values])
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _loosened(packed: bytes) -> bytes:
+    return pa.decompress(bytes(packed[8:]), int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _planes(grams: np.ndarray) -> bytes:
@@ -71,9 +87,12 @@ def _planes(grams: np.ndarray) -> bytes:
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in the narrowest type that holds them, after its letter."""
+    """Counts in the narrowest type that holds them, after its letter; after ``z`` packed,
+    where that is shorter."""
     kind = np.min_scalar_type(int(counts.max(initial=0)))
-    return kind.char.encode() + counts.astype(kind).tobytes()
+    plain = kind.char.encode() + counts.astype(kind).tobytes()
+    packed = b"z" + _squeezed(plain)
+    return packed if len(packed) < len(plain) else plain
 
 
 _BLOCK = pa.schema(
@@ -121,10 +140,18 @@ def gram_key(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return ((textbytes.mix(route) >> top) << top) | (whole >> np.uint64(ROUTE_BITS))
 
 
-def numbers(model_vocabulary: Table, base: tuple[int, ...], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+CLASSES = 64
+
+
+def class_of(counts: np.ndarray) -> np.ndarray:
+    """Counts from one power of two to the next are a class."""
+    return np.frexp(counts.astype(np.float64))[1]
+
+
+def numbers(model_vocabulary: Table, base: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers and training counts of tokens."""
-    count, there, place = model_vocabulary.find(tokens)
-    ids = (np.array(base, np.int64)[model_vocabulary.shard(tokens)] + place).astype(np.uint32)
+    count, place, there, _ = model_vocabulary.find(tokens)
+    ids = (base[model_vocabulary.shard(tokens), class_of(count)] + place).astype(np.uint32)
     return np.where(there, ids, UNKNOWN_ID), count
 
 
@@ -189,34 +216,40 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
 def _grams(blocks: list[dict], kind: str, width: int = 1) -> np.ndarray:
     """The rows that ``_planes`` took apart."""
     size = np.dtype(kind).itemsize * width
-    planes = [np.frombuffer(b["grams"], np.uint8).reshape(size, -1) for b in blocks]
+    planes = [np.frombuffer(_loosened(b["grams"]), np.uint8).reshape(size, -1) for b in blocks]
     return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(kind)
 
 
 def _counts(blocks: list[dict], name: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b[name][1:], bytes(b[name][:1]).decode()).astype(np.int64) for b in blocks])
+    raw = [_loosened(b[name][1:]) if b[name][:1] == b"z" else b[name] for b in blocks]
+    return np.concatenate([np.frombuffer(r[1:], bytes(r[:1]).decode()).astype(np.int64) for r in raw])
 
 
 def _merge_words(store: Table):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, blocks in _by_shard(batches):
             keys, _, (counts,) = _summed(_grams(blocks, "uint64")[:, 0], _counts(blocks, "a"))
-            store.write(shard, keys, counts)
-            yield _batch([_block(STATISTICS, shard, stats=(len(keys), int(counts.sum()), 0, 0))])
+            kinds = class_of(counts)
+            order, sizes = np.argsort(kinds, kind="stable"), np.bincount(kinds, minlength=CLASSES)
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[kinds[order]]
+            store.write(shard, keys, counts, place)
+            yield _batch([_block(STATISTICS, shard, values=[sizes], stats=(len(keys), int(counts.sum()), 0, 0))])
 
     return merge
 
 
-def _frequent_words(vocabulary: Table, base: tuple[int, ...], least: float):
+def _frequent_words(vocabulary: Table, base: np.ndarray, least: float):
     """Numbers and hashes of words with more than ``least`` uses, from the stored shards."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.column("shard").to_pylist():
-                keys, (counts,) = opened(vocabulary, shard)
+                keys, (counts, place) = opened(vocabulary, shard)
                 at = np.flatnonzero(counts > least)
+                ids = base[shard, class_of(counts[at])] + place[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at + base[shard], pa.int64()), pa.array(keys[at].view(np.int64))], names=["id", "hash"]
+                    [pa.array(ids, pa.int64()), pa.array(keys[at].view(np.int64))], names=["id", "hash"]
                 )
 
     return read
@@ -231,7 +264,7 @@ def _count_grams(order: int, vocabulary: Table, base, frequent, bits: int):
             keys, first, (sums,) = _summed(*(np.concatenate(x) for x in ([k for k, _, _ in held], [c for _, _, c in held])))
             grams = np.concatenate([g for _, g, _ in held])[first]
             bounds = np.searchsorted(place.shard(keys), np.arange((1 << bits) + 1))
-            return _batch([_block(NUMBERS, s, grams[x:y], [sums[x:y]]) for s, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x])
+            return _batch([_sorted_block(NUMBERS, s, grams[x:y], [sums[x:y]]) for s, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x])
 
         for _, _, _, data, offsets in _texts(batches):
             tokens, text = tokens_of(data, offsets)
@@ -279,7 +312,7 @@ _CLASSES = (lambda c: c == 1, lambda c: c == 2, lambda c: c > 2)
 
 def _dealt(kind: int, keys: np.ndarray, grams: np.ndarray, values: list[np.ndarray], bits: int) -> list[tuple]:
     bounds = np.searchsorted(Table("", bits, ()).shard(keys), np.arange((1 << bits) + 1))
-    return [_block(kind, s, grams[x:y], [v[x:y] for v in values]) for s, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]
+    return [_sorted_block(kind, s, grams[x:y], [v[x:y] for v in values]) for s, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]
 
 
 def _merge_contexts(width: int, store: Table, discounts: tuple[float, float, float]):
@@ -308,11 +341,11 @@ def _exchange(blocks: DataFrame, shards: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Counted words: their table, the number of the first word of each shard, and how
-    many tokens and types there are."""
+    """Counted words: their table, the number of the first word of each shard and class,
+    and how many tokens and types there are."""
 
     table: Table
-    base: tuple[int, ...]
+    base: np.ndarray
     tokens: int
     types: int
 
@@ -324,12 +357,16 @@ class Vocabulary:
 def count_vocabulary(texts: DataFrame, folder: str) -> Vocabulary:
     """All words and text ends of the column ``text``, counted into a table."""
     bits = max(4, min(ROUTE_BITS, int(texts.rdd.getNumPartitions()).bit_length() + 1))
-    store = Table(f"{folder}/words", bits, ("int64",))
+    store = Table(f"{folder}/words", bits, ("int64", "uint32"))
     blocks = _exchange(texts.mapInArrow(_count_words(bits), BLOCK), 1 << bits)
     words = written(blocks.mapInArrow(_merge_words(store), BLOCK), "words")
-    sizes = {r["shard"]: (r["n1"], r["n2"]) for r in words.select("shard", "n1", "n2").collect()}  # a row a shard
-    base = tuple(int(b) for b in np.cumsum([0, *(sizes.get(s, (0, 0))[0] for s in range(1 << bits))])[:-1])
-    return Vocabulary(store, base, sum(n for _, n in sizes.values()), sum(n for n, _ in sizes.values()))
+    rows = words.select("shard", "n1", "n2", "a").collect()  # a row a shard
+    sizes = np.zeros((1 << bits, CLASSES), np.int64)
+    for r in rows:
+        sizes[r["shard"]] = _counts([r], "a")
+    ordered = sizes[:, ::-1].T.ravel()  # the most frequent class of all shards first
+    base = (np.cumsum(ordered) - ordered).reshape(CLASSES, -1).T[:, ::-1]
+    return Vocabulary(store, base, sum(r["n2"] for r in rows), sum(r["n1"] for r in rows))
 
 
 def frequent_words(spark: SparkSession, words: Vocabulary, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -360,18 +397,22 @@ def train(documents: DataFrame, order: int = 3) -> Model:
 
     counted = texts.mapInArrow(_count_grams(order, vocabulary, base, frequent, bits), BLOCK)
     levels: list[Level] = []
+    above = None
     # No count or total is above the number of tokens.
     whole = "uint32" if tokens < 1 << 32 else "int64"
     for n in range(order, 0, -1):
-        counts = Table(f"{folder}/counts{n}", bits, (whole,))
+        counts = PackedTable(f"{folder}/counts{n}", bits, (whole,))
         merged = _exchange(counted, shards).mapInArrow(_merge_grams(n, counts, frequent, bits), BLOCK)
         merged = written(merged, f"grams{n}")
+        if above is not None:
+            removed(above)
+        above = merged
         seen = merged.where(F.col("kind") == STATISTICS).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4")]).first()
         discounts = discounts_of(*seen)
         contexts = None
         found = merged.where(F.col("kind") == CONTEXTS)
         if n > 1:
-            contexts = Table(f"{folder}/contexts{n}", bits, ("float64", whole))
+            contexts = PackedTable(f"{folder}/contexts{n}", bits, ("float64", whole))
             stored = _exchange(found, shards).mapInArrow(_merge_contexts(n - 1, contexts, discounts), BLOCK)
             written(stored, "contexts")
         else:
