@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,16 @@ def test_frequent_words_have_small_numbers_and_no_table_of_counts_is_left(docume
     assert (np.diff(kn.class_of(counts[np.argsort(ids)])) <= 0).all()
     folder = Path(model.vocabulary.folder.removeprefix("file://")).parent.parent
     assert set(folder.glob("grams3-*")) <= before and set(folder.glob("grams2-*")) <= before
+
+
+def test_texts_of_a_batch_are_scored_at_once_not_in_small_pieces():
+    # Every piece looks into all shards of all tables.
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words " * 2000] * 100)], names=["text"])
+    assert len(list(kn._texts(iter([batch]), kn.SCORED))) == 1
+
+
+@pytest.mark.parametrize("frequent", [[], [kn.START_ID], [3, 5, kn.START_ID], [0, 9]])
+def test_frequent_numbers_are_those_listed(frequent):
+    ids = np.array([[0, 3], [9, 5], [10, kn.START_ID], [kn.UNKNOWN_ID, 4]], np.uint32)
+    frequent = np.array(frequent, np.uint32)
+    assert (kn._frequent(ids, frequent) == np.isin(ids, frequent)).all()

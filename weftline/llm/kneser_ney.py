@@ -27,6 +27,8 @@ from weftline.sources.tables import table
 
 ROUTE_BITS = 16
 HELD_ENTRIES = 2_000_000
+# Bytes of texts scored at once: every shard is looked into for each.
+SCORED = 4 << 20
 
 # The end of a text as a hash, and word numbers of text starts and of
 # words outside the vocabulary.
@@ -69,7 +71,7 @@ def _block(kind: int, shard, grams=None, values=(), stats=(None,) * 4) -> tuple:
 def _sorted_block(kind: int, shard: int, grams: np.ndarray, values: list[np.ndarray]) -> tuple:
     """A block whose n-grams lie by their first words, where they pack best."""
     first = grams[:, 0].astype(np.uint64)
-    order = np.argsort(first << np.uint64(32) | grams[:, 1] if grams.shape[1] > 1 else first, kind="stable")
+    order = np.argsort(first << np.uint64(32) | grams[:, 1] if grams.shape[1] > 1 else first)
     return _block(kind, shard, grams[order], [v[order] for v in values])
 
 
@@ -105,8 +107,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys in order, where each first stands, and the sums of their values."""
-    order = np.argsort(keys, kind="stable")
+    """Distinct keys in order, a place of each, and the sums of their values."""
+    order = np.argsort(keys)
     ordered = keys[order]
     heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
     sums = [np.add.reduceat(v[order], heads) if len(heads) else v[:0] for v in values]
@@ -134,12 +136,21 @@ def gram_key(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     of the context are frequent), the rest by all of it."""
     whole = gram_hash(grams)
     context = grams[:, :-1]
-    split = np.isin(context, frequent).all(axis=1)
+    split = _frequent(context, frequent).all(axis=1)
     route = np.where(split, whole, gram_hash(context))
     top = np.uint64(64 - ROUTE_BITS)
     return ((textbytes.mix(route) >> top) << top) | (whole >> np.uint64(ROUTE_BITS))
 
 
+def _frequent(ids: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Whether each number is one of ``frequent``, which are small but for that of text starts."""
+    small = frequent[frequent != START_ID]
+    marks = np.zeros(int(small.max(initial=0)) + 2, bool)
+    marks[small] = True
+    out = marks[np.minimum(ids, np.uint32(len(marks) - 1))]
+    return out | (ids == START_ID) if len(small) < len(frequent) else out
+
+
 CLASSES = 64
 
 
@@ -168,9 +179,9 @@ def histories(ids: np.ndarray, text: np.ndarray, order: int) -> np.ndarray:
     return grams
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _texts(batches: Iterator[pa.RecordBatch], limit: int = textbytes.PIECE) -> Iterator[tuple]:
     for batch in batches:
-        for first, last, data, offsets in textbytes.pieces(batch.column("text")):
+        for first, last, data, offsets in textbytes.pieces(batch.column("text"), limit):
             yield batch, first, last, data, offsets
 
 
@@ -450,7 +461,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, last, data, offsets in _texts(batches):
+        for batch, first, last, data, offsets in _texts(batches, SCORED):
             tokens, text = tokens_of(data, offsets)
             ids, counts = numbers(model.vocabulary, model.base, tokens)
             p = probabilities(model, histories(ids, text, model.order))
